@@ -56,6 +56,7 @@ def map_rows(
     rows: Callable[[Iterator[dict[str, list]]], Iterator[dict[str, list]]],
     keep_row: bool = False,
     carry: list[str] | None = None,
+    slice_rows: int = SLICE_ROWS,
 ) -> DataFrame:
     """Applies a generator over column slices in Arrow batches, without a shuffle.
 
@@ -76,8 +77,8 @@ def map_rows(
 
         def feed() -> Iterator[dict[str, list]]:
             for batch in batches:
-                for at in range(0, batch.num_rows, SLICE_ROWS):
-                    part = batch.slice(at, SLICE_ROWS)
+                for at in range(0, batch.num_rows, slice_rows):
+                    part = batch.slice(at, slice_rows)
                     if keep_row:
                         kept.append(part.column(0))
                     yield {n: _plain(part.column(part.schema.get_field_index(n))) for n in names}

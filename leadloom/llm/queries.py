@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leadloom.llm import decontam, simhash
+from leadloom.llm import decontam, packing, simhash, tokenfile
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_token_files": tokenfile.op2,
     "op6_decontamination": decontam.op6,
+    "op8_packing": packing.op8,
     "op9_simhash": simhash.op9,
 }
 ORACLES: dict[str, str] = {}
