@@ -9,6 +9,7 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -116,3 +117,30 @@ def crc_mod(doc_id: str | Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo; null for a null id."""
     column = F.col(doc_id) if isinstance(doc_id, str) else doc_id
     return F.crc32(column.cast("string").cast("binary")) % modulus
+
+
+def whole_groups(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """(rows, the first row of each group and the end), where no group of rows sorted by keys is cut in two."""
+    held: pa.Table | None = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        if held is not None:
+            rows = pa.concat_tables([held, rows]).combine_chunks()
+        if not rows.num_rows:
+            continue
+        starts = _starts(rows, keys)
+        cut = int(starts[-2])
+        held = rows.slice(cut)
+        if cut:
+            yield rows.slice(0, cut), starts[:-1]
+    if held is not None and held.num_rows:
+        yield held, _starts(held, keys)
+
+
+def _starts(rows: pa.Table, keys: list[str]) -> np.ndarray:
+    fresh = np.zeros(rows.num_rows, bool)
+    fresh[0] = True
+    for k in keys:
+        column = rows.column(k).to_numpy()
+        fresh[1:] |= column[1:] != column[:-1]
+    return np.append(np.flatnonzero(fresh), rows.num_rows)
