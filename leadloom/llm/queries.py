@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leadloom.llm import decontam, nndescent, packing, simhash, tokenfile, toxicity
+from leadloom.llm import decontam, nndescent, packing, secrets, simhash, tokenfile, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_files": tokenfile.op2,
@@ -15,5 +15,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_toxicity": toxicity.op7,
     "op8_packing": packing.op8,
     "op9_simhash": simhash.op9,
+    "op10_secrets": secrets.op10,
 }
 ORACLES: dict[str, str] = {"op4_nn_descent": nndescent.OP4_SQL}
