@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leadloom.llm import decontam, nndescent, packing, pii, secrets, simhash, tokenfile, toxicity
+from leadloom.llm import decontam, licenses, nndescent, packing, pii, secrets, simhash, tokenfile, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_files": tokenfile.op2,
     "op3_personal_data": pii.op3,
     "op4_nn_descent": nndescent.op4,
+    "op5_licenses": licenses.op5,
     "op6_decontamination": decontam.op6,
     "op7_toxicity": toxicity.op7,
     "op8_packing": packing.op8,
