@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leadloom.llm import decontam, licenses, nndescent, packing, pii, secrets, simhash, tokenfile, toxicity
+from leadloom.llm import decontam, licenses, lm, nndescent, packing, pii, secrets, simhash, tokenfile, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_lm_scoring": lm.op1,
     "op2_token_files": tokenfile.op2,
     "op3_personal_data": pii.op3,
     "op4_nn_descent": nndescent.op4,
