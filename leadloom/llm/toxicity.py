@@ -21,28 +21,26 @@ from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadloom.llm.common import alnum_words, crc_mod, map_rows, read_table
+from leadloom.llm.common import alnum_words, crc_mod, map_rows, materialize, read_table
 
 TRAIN_ROWS, PREFIXES = 20_000, (4, 5, 6)
 PRIOR, BOUND, DRIFT, ALPHA = 10.0, 2.5, 0.1, 0.3
 #: A feature of fewer toxic documents has no positive bound; features that a task counts before it passes them on.
-LEAST_TOXIC, COUNTED = 3, 400_000
+LEAST_TOXIC, COUNTED, COPY_WORD = 3, 400_000, 9
 #: Token scores are counted in bins of this width for the extreme-value law.
 BIN, BINS, LOWEST = 0.05, 256, -2.0
 CACHE_WORDS = 400_000
 #: Stands among the features for the documents themselves.
-DOCUMENTS = 0
+DOCUMENTS = ""
 
 
-def features(word: bytes) -> list[int]:
-    """64-bit hashes of a word and of its prefixes."""
+def features(word: bytes) -> list[str]:
+    """A word and its prefixes."""
     text = word.decode("utf-8", "replace")
-    parts = [text, *(f"{text[:n]}*" for n in PREFIXES if len(text) >= n)]
-    return [xxhash.xxh64_intdigest(p.encode()) - (1 << 63) for p in parts]
+    return [text, *(f"{text[:n]}*" for n in PREFIXES if len(text) >= n)]
 
 
 def log_odds(toxic: np.ndarray, clean: np.ndarray, n_toxic: float, n_clean: float) -> np.ndarray:
@@ -58,23 +56,33 @@ def log_odds(toxic: np.ndarray, clean: np.ndarray, n_toxic: float, n_clean: floa
 class TokenScores:
     """Token scores under a table of features' log-odds, with a bounded cache."""
 
-    def __init__(self, table: dict[int, float]):
+    def __init__(self, table: dict[str, float]):
         self.table, self.cache = table, {}
+        #: Every feature of a word begins with its first characters, so most words are settled by one look here.
+        self.stems = {f[: PREFIXES[0]] for f in table}
+
+    def score(self, word: bytes) -> float:
+        if word.decode("utf-8", "replace")[: PREFIXES[0]] not in self.stems:
+            return -DRIFT
+        return max([self.table.get(f, 0.0) for f in features(word)]) - DRIFT
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
-        cache, get = self.cache, self.table.get
+        cache = self.cache
         if len(cache) > CACHE_WORDS:
             cache.clear()
         for w in set(words).difference(cache):
-            cache[w] = max([get(f, 0.0) for f in features(w)]) - DRIFT
+            cache[w] = self.score(w)
         return np.fromiter(map(cache.__getitem__, words), np.float64, len(words))
 
 
 def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (first, last, score) of a sequence, in linear time."""
+    high = np.flatnonzero(scores > 0).tolist()
+    if not high:
+        return []
     total = np.concatenate(([0.0], np.cumsum(scores)))
     found: list[list[float]] = []  # first, last + 1, sum before, sum after
-    for at in np.flatnonzero(scores > 0).tolist():
+    for at in high:
         new = [at, at + 1, total[at], total[at + 1]]
         while True:
             k = len(found) - 1
@@ -141,16 +149,21 @@ def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, mark
     rows = known.orderBy("h", "mark").limit(train_rows).collect()
     chosen = docs.sparkSession.createDataFrame([(r.k, r.mark, int(r.h >> 7 & 1)) for r in rows], "k string, mark int, half int")
     texts = docs.select(F.col(id_col).cast("string").alias("k"), F.col(text_col).cast("string").alias("text"))
-    return texts.join(F.broadcast(chosen), "k").select("text", "mark", "half")
+    sample = texts.join(F.broadcast(chosen), "k")
+    # Near copies would count the same evidence again: of rows with the same least hash among their long words, one stays.
+    long_words = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) >= COPY_WORD)
+    least = F.coalesce(F.array_min(F.transform(long_words, lambda w: F.xxhash64(w))), F.xxhash64("text"))
+    one = F.min_by(F.struct("text", "mark", "half"), F.struct("k", "mark"))
+    return materialize(sample.groupBy(least.alias("least")).agg(one.alias("s")).select("s.*"), "labelled")
 
 
-def train(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", mark_col: str = "toxic", train_rows: int = TRAIN_ROWS) -> tuple[dict[int, float], Law]:
+def train(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", mark_col: str = "toxic", train_rows: int = TRAIN_ROWS) -> tuple[dict[str, float], Law]:
     """(features' log-odds, law) from a bounded sample of labelled documents."""
     spark = docs.sparkSession
     sample = _sample(docs, labels, id_col, text_col, mark_col, learn, train_rows)
 
     def count(slices: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
-        cache: dict[bytes, list[int]] = {}
+        cache: dict[bytes, list[str]] = {}
         total: list[Counter] = [Counter() for _ in range(4)]  # half, mark
 
         def out() -> dict[str, list]:
@@ -173,14 +186,14 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_
         yield out()
 
     inputs = {c: F.col(c) for c in ("text", "mark", "half")}
-    counted = map_rows(sample, inputs, "kind int, feature bigint, n bigint", count)
+    counted = map_rows(sample, inputs, "kind int, feature string, n bigint", count)
     columns = [F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("n"))), F.lit(0)).alias(f"n{k}") for k in range(4)]
-    counted = counted.groupBy("feature").agg(*columns).filter(f"feature = {DOCUMENTS} or n1 + n3 >= {LEAST_TOXIC}").toPandas()
+    counted = counted.groupBy("feature").agg(*columns).filter(f"feature = '{DOCUMENTS}' or n1 + n3 >= {LEAST_TOXIC}").toPandas()
     docs_of = counted.loc[counted["feature"] == DOCUMENTS, [f"n{k}" for k in range(4)]].to_numpy(float).sum(axis=0)
     counted = counted[counted["feature"] != DOCUMENTS]
     feature, table = counted["feature"].tolist(), counted[[f"n{k}" for k in range(4)]].to_numpy(float).T
 
-    def positive(toxic: list[int], clean: list[int]) -> dict[int, float]:
+    def positive(toxic: list[int], clean: list[int]) -> dict[str, float]:
         odds = log_odds(table[toxic].sum(axis=0), table[clean].sum(axis=0), docs_of[toxic].sum(), docs_of[clean].sum())
         return {f: float(x) for f, x in zip(feature, odds.tolist(), strict=True) if x > 0}
 
@@ -217,7 +230,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_
 SCORED = "score double, predicted int, passages array<struct<first_word:bigint,last_word:bigint,score:double,p_value:double>>"
 
 
-def score_documents(docs: DataFrame, model: tuple[dict[int, float], Law], text_col: str = "text", significance: float = 0.05, carry: list[str] | None = None) -> DataFrame:
+def score_documents(docs: DataFrame, model: tuple[dict[str, float], Law], text_col: str = "text", significance: float = 0.05, carry: list[str] | None = None) -> DataFrame:
     """Each row of docs (or its columns carry) as _row, with its score, decision and significant passages."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
