@@ -17,7 +17,7 @@ import struct
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Pieces held by a worker in each of two generations; when the younger is full, the older goes.
-CACHE_PIECES = 350_000
+CACHE_PIECES = 500_000
 #: Longer pieces aren't held.
 CACHED_BYTES = 48
 
@@ -28,6 +28,8 @@ _ODD = (b"  ", b" \n", b"\n ", b"\n\n", b"\xC2\xA0", b"\xC2\x85", b"\xE1\x9A\x80
 _SURE_CUT = re.compile(rb"(?<=[!-~])(?= [!-~])")
 #: Full stops and commas become q, other visible ASCII that isn't a letter or digit (and white space) p.
 _MARKS = bytes(ord("q") if chr(b) in ".," else ord("a") if b >= 0x80 or chr(b).isalnum() else ord("p") for b in range(256))
+#: A word and a run of marks after it (no apostrophe, which may open a contraction) are two pre-tokens.
+_WORD_MARKS = re.compile(r"( ?[^\s!-@\[-`{-\x7F]+)([!#$%&()*+,./:;<=>?@\[\\\]^{|}~-]+)")
 #: Bytes of ASCII and of U+00C0 to U+017F, which are letters but for two signs.
 _LATIN = bytes([*range(0xC0), 0xC3, 0xC4, 0xC5])
 _SIGNS = (b"\xC3\x97", b"\xC3\xB7")
@@ -59,8 +61,9 @@ class Encoder(dict):
         if ids is None:
             text = piece.decode()
             if (text[1:] if text[:1] == " " else text).isalpha():
-                name = text.replace(" ", self.letters[32]) if text.isascii() else "".join([self.letters[b] for b in piece])
-                found = [t.id for t in self.model.tokenize(name)]
+                found = self._pre_token(piece)
+            elif (cut := _WORD_MARKS.fullmatch(text)) and (cut[1][1:] if cut[1][:1] == " " else cut[1]).isalpha():
+                found = self._pre_token(cut[1].encode()) + self._pre_token(cut[2].encode())
             else:
                 found = self.tokenizer.encode(text, add_special_tokens=False).ids
             ids = struct.pack(f"<{len(found)}I", *found)
@@ -68,6 +71,10 @@ class Encoder(dict):
             self[piece] = ids
         return ids
 
+    def _pre_token(self, piece: bytes) -> list[int]:
+        name = piece.decode().replace(" ", self.letters[32]) if piece.isascii() else "".join([self.letters[b] for b in piece])
+        return [t.id for t in self.model.tokenize(name)]
+
     def _pieces(self, text: bytes) -> list[bytes]:
         if any(s in text for s in self.special):
             return [text]

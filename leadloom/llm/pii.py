@@ -126,8 +126,8 @@ def find_personal_data(
     return found.select(id_col, "k1", "k2", "base", F.concat("base", F.coalesce("terms", spans.no_spans())).alias("spans"))
 
 
-def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs with personal data in the text column replaced; other columns and all rows stay."""
+def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size_col: str | None = None, **options) -> DataFrame:
+    """docs with personal data in the text column replaced; all rows and other columns stay, but size_col gets a changed text's length."""
     found = find_personal_data(docs, id_col, text_col, **options).filter("size(spans) > 0").select("k1", "k2", "spans").dropDuplicates(["k1", "k2"])
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     keyed = docs.select(F.struct("*").alias("_row"), F.xxhash64(F.col(id_col).cast("string")).alias("k1"), F.xxhash64(text).alias("k2"), F.col(text_col).cast("string").alias("_text"))
@@ -138,7 +138,9 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
         return F.when(s["kind"] != "term", F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))).when(s["value"] == "removed", "[TERM]").otherwise(generalised)
 
     clean = F.when(F.col("_text").isNotNull() & F.col("spans").isNotNull(), spans.replaced(F.col("_text"), F.col("spans"), mask)).otherwise(F.col("_text"))
-    return both.withColumn("_text", clean).select(*[(F.col("_text") if c == text_col else F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])
+    size = F.when(F.col("spans").isNotNull(), F.length("_text").cast("bigint")).otherwise(F.col(f"_row.`{size_col}`")) if size_col in docs.columns else None
+    own = {text_col: F.col("_text"), size_col: size}
+    return both.withColumn("_text", clean).select(*[(own[c] if c in own else F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -50,16 +50,15 @@ def fingerprint(words: list[bytes], shingle: int = SHINGLE, seed: int = SEED) ->
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big", signed=True)
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, keep_row: bool = False) -> DataFrame:
-    """(id_col or the whole row as _row, fp long)."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, carry: list[str] | None = None) -> DataFrame:
+    """(id_col, or the columns carry as _row; fp long)."""
 
     def rows(slices: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
         for part in slices:
             yield {"fp": [fingerprint(space_words(t), shingle) for t in part["text"]]}
 
-    carry = None if keep_row else [id_col]
-    out = map_rows(docs, {"text": F.col(text_col).cast("string")}, "fp bigint", rows, keep_row=True, carry=carry)
-    return out if keep_row else out.select(F.col(f"_row.`{id_col}`").alias(id_col), "fp")
+    out = map_rows(docs, {"text": F.col(text_col).cast("string")}, "fp bigint", rows, keep_row=True, carry=carry or [id_col])
+    return out if carry else out.select(F.col(f"_row.`{id_col}`").alias(id_col), "fp")
 
 
 def _segments() -> list[tuple[int, int]]:
@@ -173,13 +172,13 @@ def links(fps: DataFrame, radius: int = RADIUS, n_pivots: int = PIVOTS, bucket_r
 
 
 def classes(fps: DataFrame, id_col: str = "doc_id", radius: int = RADIUS, **options) -> DataFrame:
-    """(fp, component_id): for each fingerprint the smallest id in its component."""
+    """(fp, root, component_id): for each fingerprint a name of its component, and the smallest id in it."""
     least = materialize(fps.groupBy("fp").agg(F.min(id_col).alias("low")), "fingerprints")
     roots = components(links(least.select("fp"), radius, **options))
     named = least.join(roots, least.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "low")
     named = materialize(named, "rooted")
     lows = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    return named.join(lows, "root").select("fp", "component_id")
+    return named.join(lows, "root").select("fp", "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -189,5 +188,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """docs with one row of each near-duplicate group, the first by id (nulls last), columns unchanged.
+
+    Row ids are written together with the rows, so they hold when tasks run again.
+    """
+    rows = docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("rid"))
+    keyed = rows.select("row", "rid", F.col(f"row.`{text_col}`").alias("text"))
+    written = fingerprints(keyed, text_col="text", carry=["row", "rid"])
+    written = materialize(written.select(F.col("_row.row").alias("row"), F.col("_row.rid").alias("rid"), "fp"), "fps")
+    named = written.select(F.col(f"row.`{id_col}`").alias("id"), "rid", "fp")
+    first = F.min(F.struct(F.col("id").isNull().alias("unnamed"), F.col("id").alias("id"), F.col("rid").alias("rid")))
+    kept = named.join(classes(named, "id", **options), "fp").groupBy("root").agg(first.alias("first")).select("first.rid")
+    return written.join(kept, "rid", "left_semi").select("row.*")
+
+
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))

@@ -8,7 +8,7 @@ place, so a lookup is one hash, one comparison and one slice, and an unknown key
 fingerprint collision (2^-32). Spark's committer writes the shards, so a lost executor only repeats its tasks.
 
 Defined cases: a null or empty text is the end id alone; null ids come first; rows of an equal id are
-ordered by a hash of their text, each is written, and the index key of the k-th such row in a shard is (id, k).
+in the order of the input, each is written, and the index key of the k-th such row in a shard is (id, k).
 """
 
 from __future__ import annotations
@@ -129,9 +129,8 @@ def write_ids(docs: DataFrame, path: str, vocabulary: str, id_col: str = "doc_id
         if held:
             yield shard()
 
-    text = F.col(text_col).cast("string")
-    ordered = docs.select(F.col(id_col).cast("bigint").alias("id"), text.alias("text"), F.xxhash64(text).alias("h"))
-    ordered = ordered.repartitionByRange("id", "h").sortWithinPartitions("id", "h").select("id", "text")
+    ordered = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"), F.monotonically_increasing_id().alias("row"))
+    ordered = ordered.repartitionByRange("id", "row").sortWithinPartitions("id", "row").select("id", "text")
     shards = map_rows(ordered, {"id": "id", "text": "text"}, SHARD, rows)
     # Small row groups keep readers' memory to a few shards.
     shards.write.option("compression", "zstd").option("parquet.block.size", 16 << 20).parquet(path)
