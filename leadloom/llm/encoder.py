@@ -59,18 +59,22 @@ class Encoder(dict):
     def __missing__(self, piece: bytes) -> bytes:
         ids = self.older.get(piece)
         if ids is None:
-            text = piece.decode()
-            if (text[1:] if text[:1] == " " else text).isalpha():
-                found = self._pre_token(piece)
-            elif (cut := _WORD_MARKS.fullmatch(text)) and (cut[1][1:] if cut[1][:1] == " " else cut[1]).isalpha():
-                found = self._pre_token(cut[1].encode()) + self._pre_token(cut[2].encode())
-            else:
-                found = self.tokenizer.encode(text, add_special_tokens=False).ids
-            ids = struct.pack(f"<{len(found)}I", *found)
+            ids = self.encoded(piece)
         if len(piece) <= CACHED_BYTES:
             self[piece] = ids
         return ids
 
+    def encoded(self, piece: bytes) -> bytes:
+        """A piece's ids, not from the cache."""
+        text = piece.decode()
+        if (text[1:] if text[:1] == " " else text).isalpha():
+            found = self._pre_token(piece)
+        elif (cut := _WORD_MARKS.fullmatch(text)) and (cut[1][1:] if cut[1][:1] == " " else cut[1]).isalpha():
+            found = self._pre_token(cut[1].encode()) + self._pre_token(cut[2].encode())
+        else:
+            found = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(found)}I", *found)
+
     def _pre_token(self, piece: bytes) -> list[int]:
         name = piece.decode().replace(" ", self.letters[32]) if piece.isascii() else "".join([self.letters[b] for b in piece])
         return [t.id for t in self.model.tokenize(name)]
