@@ -1,7 +1,8 @@
 """Secrets by patterns and by character Markov models, with DataFrame expressions only.
 
 Two first-order character models are trained: random strings (the values that the base patterns find) and
-ordinary identifiers (long tokens outside them). A long token whose log-likelihood ratio exceeds `least_llr`
+ordinary identifiers (long tokens outside them that hold no digit, as
+unlabelled keys among them would teach the wrong model). A long token whose log-likelihood ratio exceeds `least_llr`
 is a secret. The counts cover the whole corpus; the model is a table of 128 x 128 ratios whatever the
 corpus, so it travels as a literal. The text is scanned once; what the scan keeps is written to the shared
 folder for training and scoring.
@@ -26,7 +27,7 @@ LONG = r"[A-Za-z0-9+/_=-]{16,}+"
 KINDS = ["assign", "access", "hex", "markov"]
 #: Log-likelihood ratio (natural) from which a token is a secret; about ten thousand to one.
 LEAST_LLR = 9.2
-SMOOTHING, SYMBOLS = 0.5, 64
+SMOOTHING, SYMBOLS, BACKOFF = 0.5, 64, 4.0
 
 
 def base_spans(text: Column) -> Column:
@@ -49,12 +50,24 @@ def ratios(strings: DataFrame) -> Column:
     """array<double> of 16384 log-likelihood ratios, as a literal, from (random boolean, value) samples."""
     spark = strings.sparkSession
     counts = materialize(_transitions(strings), "transitions")
-    first = F.floor(F.col("pair") / 128)
-    totals = counts.groupBy(first.alias("first")).agg(*[F.coalesce(F.sum(F.when(F.col("random") == r, F.col("n"))), F.lit(0)).alias(c) for r, c in ((True, "all_r"), (False, "all_o"))])
-    each = counts.groupBy("pair").agg(*[F.coalesce(F.sum(F.when(F.col("random") == r, F.col("n"))), F.lit(0)).alias(c) for r, c in ((True, "r"), (False, "o"))])
-    p = lambda n, total: (F.coalesce(n, F.lit(0)) + SMOOTHING) / (F.coalesce(total, F.lit(0)) + SMOOTHING * SYMBOLS)
-    table = spark.range(128 * 128).withColumnRenamed("id", "pair").join(each, "pair", "left").withColumn("first", first).join(totals, "first", "left")
-    llr = F.log(p(F.col("r"), F.col("all_r"))) - F.log(p(F.col("o"), F.col("all_o")))
+    first, second = F.floor(F.col("pair") / 128), F.col("pair") % 128
+
+    def sums(by: list, names: tuple[str, str]) -> DataFrame:
+        n = [F.coalesce(F.sum(F.when(F.col("random") == r, F.col("n"))), F.lit(0)).alias(c) for r, c in zip((True, False), names, strict=True)]
+        return counts.groupBy(*by).agg(*n)
+
+    total = dict(zip("ro", sums([], ("r", "o")).first(), strict=True))
+    table = spark.range(128 * 128).withColumnRenamed("id", "pair").withColumn("first", first).withColumn("second", second)
+    table = table.join(sums(["pair"], ("r", "o")), "pair", "left").join(sums([first.alias("first")], ("row_r", "row_o")), "first", "left")
+    table = table.join(sums([second.alias("second")], ("one_r", "one_o")), "second", "left")
+
+    def chance(kind: str) -> Column:
+        """Of a character after another: its count, backed off to the smoothed share of the character."""
+        n = lambda c: F.coalesce(F.col(f"{c}_{kind}" if c else kind), F.lit(0))
+        share = (n("one") + SMOOTHING) / (total[kind] + SMOOTHING * SYMBOLS)
+        return (n("") + BACKOFF * share) / (n("row") + BACKOFF)
+
+    llr = F.log(chance("r")) - F.log(chance("o"))
     both = counts.agg(F.count_distinct("random") == 2).first()[0]
     row = table.agg(F.sort_array(F.collect_list(F.struct("pair", F.round(llr, 6).alias("llr")))).alias("t")).select(F.array_join(F.transform("t", lambda x: x["llr"].cast("string")), ",")).first()
     return F.split(F.lit(row[0] if both else ",".join(["0"] * 16384)), ",").cast("array<double>")
@@ -72,7 +85,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # Tokens that touch a base span are that span's; the rest are the ordinary samples and the candidates.
     scanned = materialize(scanned.withColumn("long", F.filter("long", lambda s: spans.apart(s, F.col("base")))), "scanned")
     sample = lambda column, random: scanned.select(F.explode(column).alias("s")).select(F.lit(random).alias("random"), F.col("s.value").alias("value"))
-    table = ratios(sample("base", True).unionAll(sample("long", False)))
+    table = ratios(sample("base", True).unionAll(sample("long", False).filter(~F.col("value").rlike("[0-9]"))))
     added = F.filter("long", lambda s: llr(s["value"], table) >= least_llr)
     return scanned.select(id_col, "base", F.concat("base", added).alias("spans"))
 

@@ -157,6 +157,8 @@ def links(fps: DataFrame, radius: int = RADIUS, n_pivots: int = PIVOTS, bucket_r
             return pa.RecordBatch.from_arrays([pa.array(fp[child]), pa.array(fp[parent])], ["a", "b"])
 
         for batch in batches:
+            if not batch.num_rows:
+                continue
             cols = [np.array(c.to_numpy(zero_copy_only=False)) for c in batch.columns]
             if held is not None:
                 cols = [np.concatenate(c) for c in zip(held, cols, strict=True)]

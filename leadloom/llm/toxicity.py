@@ -80,20 +80,22 @@ def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     high = np.flatnonzero(scores > 0).tolist()
     if not high:
         return []
-    total = np.concatenate(([0.0], np.cumsum(scores)))
-    found: list[list[float]] = []  # first, last + 1, sum before, sum after
+    total = [0.0, *np.cumsum(scores).tolist()]
+    # Of each segment: first, last + 1, sum before, sum after, and the nearest earlier segment with a smaller sum before;
+    # following these links instead of stepping back makes the scan linear.
+    found: list[tuple[int, int, float, float, int]] = []
     for at in high:
-        new = [at, at + 1, total[at], total[at + 1]]
+        first, end, low, top = at, at + 1, total[at], total[at + 1]
         while True:
             k = len(found) - 1
-            while k >= 0 and found[k][2] >= new[2]:
-                k -= 1
-            if k < 0 or found[k][3] >= new[3]:
-                found.append(new)
+            while k >= 0 and found[k][2] >= low:
+                k = found[k][4]
+            if k < 0 or found[k][3] >= top:
+                found.append((first, end, low, top, k))
                 break
-            new = [found[k][0], new[1], found[k][2], new[3]]
+            first, low = found[k][0], found[k][2]
             del found[k:]
-    return [(int(a), int(b) - 1, float(d - c)) for a, b, c, d in found]
+    return [(a, b - 1, float(d - c)) for a, b, c, d, _ in found]
 
 
 class Law:
