@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leadloom.functions import contact, numbers, text
-from leadloom.operators import coverage, domains, match, reports, resolve, score
+from leadloom.operators import cascade, coverage, domains, gates, match, reports, resolve, score
 from leadloom.sources import pages, tables
 from leadloom.streaming import live
 
@@ -415,6 +415,34 @@ def q_email_extract(spark, sf):
     return rows.select("doc_id", F.array_join(F.array_sort(contact.emails(F.col("text"))), ",").alias("emails"))
 
 
+# --- gates and cascades -----------------------------------------------------------------------------------------
+
+_MODEL = "CASE " + " ".join(f"WHEN regexp_matches(lower(category), '{w}') THEN '{m}'" for m, w in gates.MODELS) + " ELSE 'unknown' END"
+
+
+@query("q_gates", f"""SELECT seq, {_MODEL} AS model, CASE WHEN regexp_matches(lower(category), 'rivendit|dropship|intermediazion|grossist') THEN 'pure_reseller' WHEN NOT ({_HAS.format('company_name')} OR {_HAS.format('website')} OR {_HAS.format('vat_code')}) THEN 'no_identity' END AS disqualifier,
+ CASE WHEN contains({KEY_TEXT.format('category')}, 'agenzie') OR contains({KEY_TEXT.format('category')}, 'immobiliari') THEN 'confirmed' ELSE 'mismatch' END AS category_match FROM leads""", "leads")
+def q_gates(spark, sf):
+    rows = leads(spark, sf)
+    why = gates.disqualifier(F.lit(False), F.col("category"), F.col("company_name"), F.col("website"), F.col("vat_code"))
+    return rows.select("seq", gates.business_model(F.col("category")).alias("model"), why.alias("disqualifier"), gates.category_match(F.lit("agenzie immobiliari"), F.col("category")).alias("category_match"))
+
+
+@query("q_ladder", """WITH o AS (SELECT user_id AS lead, event_id AS ord, event_type AS stage, value > 90 AS found, CASE WHEN value < 10 THEN 'DISCOVERY_EXHAUSTED' WHEN value < 30 THEN 'DIRECTORY_SITE' END AS reason FROM events)
+SELECT lead, CASE WHEN bool_or(found) THEN 'FOUND_WEBSITE_ONLY' ELSE 'NOT_FOUND' END AS status, first(stage ORDER BY ord) FILTER (WHERE found) AS stage,
+ CASE WHEN bool_or(found) THEN 'FOUND_WEBSITE_ONLY' ELSE coalesce(first(reason ORDER BY ord) FILTER (WHERE reason = 'DIRECTORY_SITE'), last(reason ORDER BY ord) FILTER (WHERE reason IS NOT NULL), 'DISCOVERY_EXHAUSTED') END AS reason FROM o GROUP BY lead""")
+def q_ladder(spark, sf):
+    e, v = tables.table(spark, sf, "events"), F.col("value")
+    return cascade.ladder_status(e.select(F.col("user_id").alias("lead"), F.col("event_id").alias("ord"), F.col("event_type").alias("stage"), (v > 90).alias("found"), F.when(v < 10, "DISCOVERY_EXHAUSTED").when(v < 30, "DIRECTORY_SITE").alias("reason")))
+
+
+@query("q_cascade")
+def q_cascade(spark, sf):
+    e, v = tables.table(spark, sf, "events"), F.col("value")
+    steps = e.select(F.col("user_id").alias("lead"), F.lit("email").alias("field"), F.col("event_id").alias("ord"), (F.col("event_id") % 5 != 0).alias("enabled"), (F.col("event_id") % 3).cast("int").alias("tier"), F.when(F.col("event_id") % 3 == 1, 0.02).otherwise(0.0).alias("cost"), F.when(v > 10, F.col("event_type")).alias("value"), (v / 100).alias("confidence"))
+    return cascade.run_cascade(steps)
+
+
 # --- ledger -----------------------------------------------------------------------------------------------------
 
 
