@@ -2,12 +2,7 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructField, StructType
 
+from leadloom.storage import materialize, shared_path
+
+__all__ = ["ALNUM_LOWER", "alnum_words", "crc_mod", "map_rows", "materialize", "read_table", "shared_path", "space_words", "whole_groups"]
+
 #: Rows turned into Python objects at a time inside a task.
 SLICE_ROWS = 256
 #: Bytes that are not part of a word become spaces; A-Z become a-z; bytes of non-ASCII characters stay.
@@ -28,28 +27,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where it is unset (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        Path("/tmp/checkpoints").mkdir(exist_ok=True)
-        folder = tempfile.mkdtemp(prefix="leadloom-", dir="/tmp/checkpoints")
-        spark.conf.set("spark.checkpoint.dir", folder)
-        atexit.register(shutil.rmtree, folder, True)
-    return folder
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes df once to the shared folder and reads it back, which cuts lineage and survives lost executors."""
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def map_rows(
     df: DataFrame,
     inputs: dict[str, Column | str],

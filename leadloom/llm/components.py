@@ -1,45 +1,5 @@
-"""Connected components of an edge table by alternating large-star and small-star rounds.
+"""Connected components of an edge table; the library's own operator under the name that is used here."""
 
-Each round only groups by node and joins each edge with its group's minimum, so nothing is collected and a
-hub costs as many rows as it has edges (Spark splits a skewed join by itself). Rounds are written to the
-shared folder, which cuts lineage.
-"""
+from leadloom.operators.resolve import connected as components
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from leadloom.llm.common import materialize
-
-
-def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.union(edges.select("b", "a"))
-    low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    return both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-
-
-def _small_star(edges: DataFrame) -> DataFrame:
-    """edges have b < a: each a and its other neighbours move to a's smallest neighbour."""
-    low = edges.groupBy("a").agg(F.min("b").alias("m"))
-    others = edges.join(low, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return others.union(low).distinct()
-
-
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, root) for each node of the edge table (a, b): root is the smallest node that it reaches.
-
-    Nulls and loops are ignored; repeated and reversed edges are as one. An empty table gives an empty one.
-    """
-    edges = edges.toDF("a", "b").filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    edges = materialize(edges.distinct(), "edges")
-    digest = None
-    for _ in range(max_rounds):
-        seen = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if tuple(seen) == digest or not seen[0]:
-            break
-        digest = tuple(seen)
-        edges = materialize(_small_star(_large_star(edges)), "edges")
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select("b", "b").distinct())
+__all__ = ["components"]
