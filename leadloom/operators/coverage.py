@@ -41,7 +41,7 @@ def buckets(leads: DataFrame) -> DataFrame:
 
 def universe_by_cell(spark) -> DataFrame:
     """(division, province, firms, provenance): divisions of one sector share the sum of the sector's universe."""
-    groups = spark.createDataFrame(tables.SECTORS, "division string, member string")
+    groups = tables.sectors(spark)
     known = tables.universe(spark)
     single = known.select("division", F.col("division").alias("member")).distinct().join(groups.select("division").distinct(), "division", "left_anti")
     every = groups.unionByName(single).join(known.withColumnRenamed("division", "member"), "member")

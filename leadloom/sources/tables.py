@@ -103,14 +103,25 @@ def with_views(sql: str, *names: str) -> str:
     return f"WITH {parts} {sql}"
 
 
+def values(spark: SparkSession, rows: list[tuple], names: str) -> DataFrame:
+    """A small fixed table as a local relation, whose size the optimizer knows."""
+    text = lambda x: "'" + x.replace("'", "\\'") + "'" if isinstance(x, str) else str(x)
+    return spark.sql(f"SELECT * FROM VALUES {', '.join('(' + ', '.join(map(text, r)) + ')' for r in rows)} AS t({names})")
+
+
 def regions(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(p, r, m) for r, (m, all_) in REGIONS.items() for p in all_.split()], "province string, region string, macro_area string")
+    return values(spark, [(p, r, m) for r, (m, all_) in REGIONS.items() for p in all_.split()], "province, region, macro_area")
 
 
 def universe(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(d, p, n, 2023, "sample") for d, p, n in UNIVERSE], "division string, province string, active_firms bigint, year int, provenance string")
+    out = values(spark, [(d, p, n, 2023, "sample") for d, p, n in UNIVERSE], "division, province, active_firms, year, provenance")
+    return out.withColumn("active_firms", out.active_firms.cast("bigint"))
+
+
+def sectors(spark: SparkSession) -> DataFrame:
+    return values(spark, SECTORS, "division, member")
 
 
 def crosswalk(spark: SparkSession) -> DataFrame:
     words = [(d, w) for d, ws in CROSSWALK.items() for w in ws]
-    return spark.createDataFrame([(d, w, k) for k, (d, w) in enumerate(words)], "division string, token string, ord int")
+    return values(spark, [(d, w, k) for k, (d, w) in enumerate(words)], "division, token, ord")
