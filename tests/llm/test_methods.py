@@ -280,3 +280,18 @@ def test_nn_descent_links(spark):
     unit = rows / np.linalg.norm(rows, axis=1, keepdims=True)
     true = ((unit @ unit.T >= 0.98) & (label[:, None] == label[None, :])).sum(1) - 1
     assert sum(got.values()) >= 0.97 * true.sum() and all(got[k] <= true[k] for k in got)
+
+
+def test_base_scores_do_not_depend_on_the_broadcast_list(spark):
+    rng = random.Random(8)
+    docs = [(k, " ".join(f"Wörd{int(rng.paretovariate(0.6)) % 50}" for _ in range(rng.randint(0, 30)))) for k in range(60)] + [(60, None), (61, "never seen")]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)
+    train = df.filter("doc_id < 40")
+    tokens = lambda t: [*(w.lower() for w in (t or "").split()), ""]
+    counts = Counter(w for k, t in docs if k < 40 for w in tokens(t))
+    n, v = sum(counts.values()), len(counts)
+    for frequent in (lm.FREQUENT, 5, 0):
+        for r in lm.score_documents(df, train, vocabulary_path(), frequent=frequent).collect():
+            own = tokens(r._row.text)
+            assert (r.n_tokens, r.n_known, r.train_tokens) == (len(own), sum(w in counts for w in own), n)
+            assert abs(r.base_score - sum(np.log10((counts[w] + 1) / (n + v + 1)) for w in own)) < 1e-6
