@@ -8,6 +8,8 @@ inequality) and is discarded, and the survivors are verified bit by bit. A bucke
 forest of its links, never all its pairs, and a bucket of over `bucket_rows` fingerprints is dealt out to
 pairs of chunks, so that each task holds at most two chunks.
 
+deduplicate(), the pipeline's stage, has its own contract: Jaccard similarity of five-word shingles, see there.
+
 Defined cases: a null or empty text has the fingerprint 0, which is linked like any other; rows with a
 null id take part, and a component's id is its smallest non-null id; repeated rows are linked with each other.
 """
@@ -23,13 +25,17 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadloom.llm.common import map_rows, materialize, read_table, space_words
+from leadloom.llm.common import map_rows, materialize, read_table, space_words, whole_groups
 from leadloom.llm.components import components
 
 SHINGLE, SEED, RADIUS, PIVOTS, BUCKET_ROWS = 4, 42, 4, 16, 8192
 SEGMENTS = 6
 #: Shingles whose bits are counted at a time.
 COUNT_ROWS = 1 << 16
+#: Of the pipeline's stage: words of a shingle, similarity of a link, bands and min-hashes of a band, texts of a chunk.
+WORDS, SIMILARITY, BANDS, BAND, CHUNK = 5, 0.8, 24, 4, 256
+#: Shingles that are compared at a time.
+SLAB = 8192
 
 
 def fingerprint(words: list[bytes], shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -190,18 +196,128 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def shingles(words: list[bytes], size: int = WORDS) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of word shingles; one of all words where there are fewer, none without words."""
+    if not words:
+        return np.zeros(0, np.uint64)
+    seen = {w: xxhash.xxh64_intdigest(w, SEED) for w in set(words)}
+    own = np.fromiter(map(seen.__getitem__, words), np.uint64, len(words))
+    n = min(size, len(own))
+    total = np.zeros(len(own) - n + 1, np.uint64)
+    for k in range(n):
+        total = _mixed(total + own[k : len(own) - n + 1 + k])
+    return np.unique(total)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def bands(hashes: np.ndarray) -> list[int]:
+    """A key for each band of min-hashes; sets of similarity s agree in one with 1 - (1 - s ** BAND) ** BANDS."""
+    if not len(hashes):
+        return []
+    odd = np.random.default_rng(1).integers(0, 1 << 63, BANDS * BAND, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    step = COUNT_ROWS // 16
+    least = np.min([(hashes[k : k + step, None] * odd).min(axis=0) for k in range(0, len(hashes), step)], axis=0).reshape(BANDS, BAND)
+    key = np.arange(BANDS, dtype=np.uint64)
+    for k in range(BAND):
+        key = _mixed(key + least[:, k])
+    return key.view(np.int64).tolist()
+
+
+def similar(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """The first row of each row's class, where sets of at least this Jaccard similarity are linked."""
+    size = np.array([len(s) for s in sets])
+    _, at, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row, place = np.repeat(np.arange(len(sets)), size)[held[at] > 1], (np.cumsum(held > 1) - 1)[at[held[at] > 1]]
+    order = np.argsort(place, kind="stable")
+    row, place = row[order], place[order]
+    shared = np.zeros((len(sets), len(sets)))
+    width = int((held > 1).sum())
+    for k in range(0, width, SLAB):
+        lo, hi = np.searchsorted(place, [k, k + SLAB])
+        part = np.zeros((len(sets), min(SLAB, width - k)), np.float32)
+        part[row[lo:hi], place[lo:hi] - k] = 1
+        shared += part @ part.T
+    linked = shared >= similarity * (size[:, None] + size[None, :] - shared) - 1e-9
+    label = np.full(len(sets), -1)
+    for k in range(len(sets)):
+        if label[k] < 0:
+            label[k], fresh = k, np.array([k])
+            while len(fresh):
+                fresh = np.flatnonzero(linked[fresh].any(axis=0) & (label < 0))
+                label[fresh] = k
+    return label
+
+
+def _verified(dealt: DataFrame, size: int, similarity: float) -> DataFrame:
+    """(a, b): a spanning forest of the links among the rows (root, x, y, node, text) of each root, x and y."""
+    dealt = dealt.repartition("root", "x", "y").sortWithinPartitions("root", "x", "y")
+
+    def solve(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, starts in whole_groups(batches, ["root", "x", "y"]):
+            node, text = rows.column("node").to_numpy(), rows.column("text").cast(pa.large_binary())
+            for lo, hi in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+                label = similar([shingles(space_words(t), size) for t in text.slice(lo, hi - lo).to_pylist()], similarity)
+                child = np.flatnonzero(label != np.arange(hi - lo))
+                yield pa.RecordBatch.from_arrays([pa.array(node[lo:hi][child]), pa.array(node[lo:hi][label[child]])], ["a", "b"])
+
+    return dealt.select("root", "x", "y", "node", "text").mapInArrow(solve, "a bigint, b bigint").filter("a <> b").distinct()
+
+
+def similar_texts(texts: DataFrame, size: int = WORDS, similarity: float = SIMILARITY, chunk: int = CHUNK) -> DataFrame:
+    """(node, root): the classes of texts (root, node, text) that links of at least this shingle similarity connect.
+
+    Only texts of one candidate class (root, its smallest node) are compared. Each of its chunks is solved with the
+    class's first text; then the texts outside the class's largest part meet all others, chunk by chunk.
+    """
+    spread = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    own = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    sizes = texts.groupBy("root").agg(F.ceil(F.count("*") / chunk).cast("int").alias("n"))
+    each = texts.join(sizes, "root")
+    first = each.filter("node = root").withColumn("x", spread(F.col("n"))).filter(F.col("x") != own(F.col("n")))
+    inner = _verified(each.withColumn("x", own(F.col("n"))).unionByName(first).withColumn("y", F.lit(0)), size, similarity)
+    inner = materialize(inner, "inner-links")
+    parts = components(inner).select("node", F.col("root").alias("part"))
+    parts = materialize(texts.select("root", "node").join(parts, "node", "left").select("root", "node", F.coalesce("part", "node").alias("part")), "parts")
+    largest = parts.groupBy("root", "part").count().groupBy("root").agg(F.max_by("part", F.struct("count", "part")).alias("largest"), F.sum("count").alias("all"), F.max("count").alias("most"))
+    rest = largest.filter(F.col("all") > F.col("most")).select("root", "largest", F.ceil((F.col("all") - F.col("most")) / chunk).cast("int").alias("m"))
+    open_ = materialize(each.join(parts, ["root", "node"]).join(rest, "root"), "open")
+    outside = open_.filter("part <> largest").withColumn("x", own(F.col("m"))).withColumn("y", spread(F.col("n")))
+    whole = open_.withColumn("x", spread(F.col("m"))).withColumn("y", own(F.col("n")))
+    met = whole.filter((F.col("part") == F.col("largest")) | (F.col("x") != own(F.col("m"))))
+    met = met.unionByName(outside).dropDuplicates(["root", "x", "y", "node"])
+    return components(inner.unionByName(_verified(met, size, similarity)))
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WORDS, similarity: float = SIMILARITY, chunk: int = CHUNK) -> DataFrame:
     """docs with one row of each near-duplicate group, the first by id (nulls last), columns unchanged.
 
-    Row ids are written together with the rows, so they hold when tasks run again.
+    Texts are linked when the Jaccard similarity of their word shingles is at least `similarity`, counted exactly. A
+    64-bit fingerprint can't propose the pairs: at 0.8 they differ in about ten bits, so bands of min-hashes do.
+    Texts with equal shingles are one node. Row ids are written together with the rows, so they hold when tasks run again.
     """
     rows = docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("rid"))
-    keyed = rows.select("row", "rid", F.col(f"row.`{text_col}`").alias("text"))
-    written = fingerprints(keyed, text_col="text", carry=["row", "rid"])
-    written = materialize(written.select(F.col("_row.row").alias("row"), F.col("_row.rid").alias("rid"), "fp"), "fps")
-    named = written.select(F.col(f"row.`{id_col}`").alias("id"), "rid", "fp")
-    first = F.min(F.struct(F.col("id").isNull().alias("unnamed"), F.col("id").alias("id"), F.col("rid").alias("rid")))
-    kept = named.join(classes(named, "id", **options), "fp").groupBy("root").agg(first.alias("first")).select("first.rid")
+
+    def keys(slices: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
+        for part in slices:
+            sets = [shingles(space_words(t), size) for t in part["text"]]
+            yield {"same": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets], "bands": [bands(s) for s in sets]}
+
+    written = map_rows(rows, {"text": F.col(f"row.`{text_col}`").cast("string")}, "same binary, bands array<bigint>", keys, keep_row=True)
+    written = materialize(written.select("_row.row", "_row.rid", "same", "bands"), "shingled")
+    nodes = materialize(written.groupBy("same").agg(F.min("rid").alias("node"), F.first("bands").alias("bands")), "sets")
+    each = nodes.select("node", F.explode("bands").alias("band"))
+    first = each.groupBy("band").agg(F.min("node").alias("first"), F.count("*").alias("n")).filter("n > 1")
+    roots = components(each.join(first, "band").select("node", "first"))
+    texts = written.select(F.col("rid").alias("node"), F.col(f"row.`{text_col}`").cast("string").alias("text")).join(roots, "node")
+    found = similar_texts(materialize(texts.select("root", "node", "text"), "candidates"), size, similarity, chunk)
+    named = written.select(F.col(f"row.`{id_col}`").alias("id"), "rid", "same").join(nodes.select("same", "node"), "same").join(found, "node", "left")
+    one = F.min(F.struct(F.col("id").isNull().alias("unnamed"), F.col("id").alias("id"), F.col("rid").alias("rid")))
+    kept = named.groupBy(F.coalesce("root", "node").alias("root")).agg(one.alias("first")).select("first.rid")
     return written.join(kept, "rid", "left_semi").select("row.*")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 import re
 from collections import Counter, defaultdict
@@ -114,6 +115,29 @@ def test_hot_buckets_are_dealt_without_loss(spark):
     assert got[8192] == got[16] and len(got[16]) == len(values)
 
 
+def test_deduplicate_finds_every_copy_above_the_similarity(spark):
+    rng = random.Random(12)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    texts = []
+    for wanted in (0.7, 0.76, 0.8, 0.82, 0.85, 0.9, 0.95):
+        for _ in range(8):
+            base = [word() for _ in range(204)]
+            n = 200 - math.ceil(400 * wanted / (1 + wanted))  # shingles to lose at the end
+            texts += [" ".join(base), " ".join(base[: len(base) - n] + [word() for _ in range(n)])]
+    hub = [word() for _ in range(204)]
+    texts += [" ".join(hub), *(" ".join(hub[:-12] + [word() for _ in range(12)]) for _ in range(30))]
+    sets = [set(zip(*(t.split()[k:] for k in range(5)), strict=False)) for t in texts]
+    root = list(range(len(texts)))
+    for j in range(len(texts)):
+        for i in range(j):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) and root[i] != root[j]:
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    for chunk in (256, 4):
+        assert {r.doc_id for r in simhash.deduplicate(df, chunk=chunk).collect()} == set(root)
+
+
 def test_components(spark):
     edges = [(a, a + 1) for a in range(0, 40)] + [(100, 100 + k) for k in range(1, 30)] + [(7, 7), (200, 150), (150, 200)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
