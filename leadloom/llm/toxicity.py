@@ -7,7 +7,8 @@ of the largest segment gives each segment a p-value and each document a length-c
 logistic curve turns into a probability.
 
 The classifier is fitted on at most `train_rows` labelled documents, those with the smallest hashes of their
-ids; labels of such a bounded sample are broadcast, so no text is shuffled. The curve and the extreme-value
+ids, of which equal texts (their words in order) with equal marks count once and no other row is dropped; labels of
+such a bounded sample are broadcast, so only the sample's texts are shuffled. The curve and the extreme-value
 law are fitted on scores from the half of the sample that the log-odds did not see.
 
 Defined cases: a null or empty text scores as a document without a passage; labels with a null id or mark
@@ -29,7 +30,7 @@ from leadloom.llm.common import alnum_words, crc_mod, map_rows, materialize, rea
 TRAIN_ROWS, PREFIXES = 20_000, (4, 5, 6)
 PRIOR, BOUND, DRIFT, ALPHA = 10.0, 2.5, 0.1, 0.3
 #: A feature of fewer toxic documents has no positive bound; features that a task counts before it passes them on.
-LEAST_TOXIC, COUNTED, COPY_WORD = 3, 400_000, 9
+LEAST_TOXIC, COUNTED = 3, 400_000
 #: Token scores are counted in bins of this width for the extreme-value law.
 BIN, BINS, LOWEST = 0.05, 256, -2.0
 CACHE_WORDS = 400_000
@@ -152,11 +153,10 @@ def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, mark
     chosen = docs.sparkSession.createDataFrame([(r.k, r.mark, int(r.h >> 7 & 1)) for r in rows], "k string, mark int, half int")
     texts = docs.select(F.col(id_col).cast("string").alias("k"), F.col(text_col).cast("string").alias("text"))
     sample = texts.join(F.broadcast(chosen), "k")
-    # Near copies would count the same evidence again: of rows with the same least hash among their long words, one stays.
-    long_words = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) >= COPY_WORD)
-    least = F.coalesce(F.array_min(F.transform(long_words, lambda w: F.xxhash64(w))), F.xxhash64("text"))
-    one = F.min_by(F.struct("text", "mark", "half"), F.struct("k", "mark"))
-    return materialize(sample.groupBy(least.alias("least")).agg(one.alias("s")).select("s.*"), "labelled")
+    # Copies would count the same evidence again: of rows with the same words in the same order and the same mark, one stays.
+    same = F.sha2(F.array_join(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), " "), 256)
+    one = F.min_by(F.struct("text", "mark", "half"), "k")
+    return materialize(sample.groupBy("mark", same.alias("same")).agg(one.alias("s")).select("s.*"), "labelled")
 
 
 def train(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", mark_col: str = "toxic", train_rows: int = TRAIN_ROWS) -> tuple[dict[str, float], Law]:

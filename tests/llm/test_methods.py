@@ -194,6 +194,17 @@ def test_toxicity_held_out(spark):
     assert toxicity.drop_toxic(docs, marks).count() == sum(p == 0 for _, p, _ in held)
 
 
+def test_only_equal_labelled_texts_are_dropped(spark):
+    shared = "constitutional responsibilities"
+    rows = [(k, f"{shared} word{k} other{k % 7}", k % 2) for k in range(40)]  # alike in their long words only
+    rows += [(100, "The same text, twice", 1), (101, "the same text twice", 1), (102, "the same text twice", 0), (103, None, 0), (104, "", 0)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id bigint, toxic int")
+    got = Counter((r.text, r.mark) for r in toxicity._sample(docs, labels, "doc_id", "text", "toxic", F.lit(True), 1000).collect())
+    wanted = [(t, m) for k, t, m in rows if k not in (101,)]
+    assert got == Counter(wanted)
+
+
 def test_attention_gradients():
     counts = np.arange(40)[::-1] ** 2
     vocab = lm.Vocabulary(counts, np.arange(40) % 2 == 0, classes=8, own_slots=16)
