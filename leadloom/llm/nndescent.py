@@ -5,8 +5,12 @@ local joins: the neighbours and reverse neighbours of a vector are compared with
 neighbour's neighbour is likely a neighbour. A join compares only pairs with an entry that the last round
 brought in. Edges at or above the threshold give the link components. Lists in which every entry is a link
 are saturated; lists are then enlarged to their whole component, in blocks of bounded size that send on
-counts, never pairs, so a dense group of any size gets all its links. A sample of vectors is compared with
-all rows after each round; further rounds with fresh tables follow until the audited recall is reached.
+counts, never pairs, so a dense group of any size gets all its links. A saturated list also hides links to other
+components, but only to saturated vectors, since any other list would show the link from its side. So the saturated
+vectors of a component lie within an angle of one of them, its pivot; components whose pivots are farther apart than
+both angles and the threshold's can't be linked (triangle inequality), and the rest meet in blocks. A sample of
+vectors, as many of each size of component, is compared with all rows after each round; further rounds with fresh
+tables follow until the audited recall, the mean over vectors, is reached.
 
 Equal vectors with equal labels are one node with a multiplicity.
 
@@ -175,9 +179,85 @@ def _counts(nodes: DataFrame, roots: DataFrame, threshold: float, block: int) ->
     return dealt.mapInArrow(count, "node bigint, n bigint").groupBy("node").agg(F.sum("n").alias("n"))
 
 
-def _audit(nodes: DataFrame, counts: DataFrame, threshold: float, rows: int) -> float:
-    """Found share of the links of a bounded sample of nodes, against all rows."""
-    sample = nodes.join(counts, "node", "left").orderBy(F.xxhash64("node")).limit(rows).select("node", "grp", "vec", F.coalesce("n", F.lit(0)).alias("n")).collect()
+def _full(graph: DataFrame, nodes: DataFrame, roots: DataFrame, threshold: float, k: int) -> DataFrame:
+    """(root, grp, node, vec, copies) of the nodes whose k entries are all links."""
+    full = graph.filter(F.col("sim") >= threshold).groupBy(F.col("a").alias("node")).count().filter(F.col("count") >= k).select("node")
+    return materialize(roots.join(full, "node").join(nodes, "node").select("root", "grp", "node", "vec", "copies"), "saturated")
+
+
+def _near_components(full: DataFrame, threshold: float, chunk: int = 1024) -> DataFrame:
+    """(a, b): components whose saturated nodes may be linked, by the angles around a pivot of each."""
+    pivot = materialize(full.groupBy("root", "grp").agg(F.min_by("vec", "node").alias("pivot")), "pivots")
+    few = pivot.count() <= 10 * chunk
+    own = full.select("root", "vec").join(F.broadcast(pivot.select("root", "pivot")) if few else pivot.select("root", "pivot"), "root")
+
+    def angles(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi in _even(batch.column("vec")):
+                cos = (_matrix(batch.column("vec").slice(lo, hi - lo)) * _matrix(batch.column("pivot").slice(lo, hi - lo))).sum(axis=1) if hi > lo else np.zeros(0)
+                yield pa.RecordBatch.from_arrays([batch.column("root").slice(lo, hi - lo), pa.array(np.arccos(np.clip(cos, -1, 1)))], ["root", "angle"])
+
+    wide = own.select("root", "vec", "pivot").mapInArrow(angles, "root bigint, angle double").groupBy("root").agg(F.max("angle").alias("angle"))
+    wide = materialize(pivot.join(wide, "root"), "angles")
+    sizes = wide.groupBy("grp").agg(F.ceil(F.count("*") / chunk).cast("int").alias("n"))
+    dealt = wide.join(sizes, "grp").withColumn("c", F.pmod(F.xxhash64("root"), F.col("n")).cast("int")).withColumn("d", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    dealt = dealt.select("grp", F.least("c", "d").alias("x"), F.greatest("c", "d").alias("y"), "root", "pivot", "angle")
+    dealt = dealt.repartition("grp", "x", "y").sortWithinPartitions("grp", "x", "y")
+    reach = math.acos(threshold) + 1e-6
+
+    def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, starts in whole_groups(batches, ["grp", "x", "y"]):
+            root, angle = rows.column("root").to_numpy(), rows.column("angle").to_numpy()
+            for lo, hi in zip(starts[:-1], starts[1:], strict=True):
+                unit = _matrix(rows.column("pivot").slice(lo, hi - lo))
+                apart = np.arccos(np.clip(unit @ unit.T, -1, 1))
+                a, b = np.nonzero(np.triu(apart <= angle[lo:hi, None] + angle[None, lo:hi] + reach, 1))
+                yield pa.RecordBatch.from_arrays([pa.array(root[lo:hi][a]), pa.array(root[lo:hi][b])], ["a", "b"])
+
+    return dealt.mapInArrow(meet, "a bigint, b bigint").distinct()
+
+
+def _across(graph: DataFrame, nodes: DataFrame, roots: DataFrame, threshold: float, k: int, block: int) -> DataFrame:
+    """(node, n, a, b): of links between components the count for a node (a, b null), and the pairs of components (node, n null)."""
+    full = _full(graph, nodes, roots, threshold, k)
+    wide = components(_near_components(full, threshold)).select(F.col("node").alias("root"), F.col("root").alias("area"))
+    own = materialize(full.join(wide, "root"), "areas")
+    sizes = own.groupBy("area").agg(F.ceil(F.count("*") / block).cast("int").alias("n"))
+    own = own.join(sizes, "area").withColumn("c", F.pmod(F.xxhash64("node"), F.col("n")).cast("int")).withColumn("d", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    dealt = own.select("area", F.least("c", "d").alias("x"), F.greatest("c", "d").alias("y"), "c", "root", "node", "vec", "copies")
+    dealt = dealt.repartition("area", "x", "y").sortWithinPartitions("area", "x", "y")
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, starts in whole_groups(batches, ["area", "x", "y"]):
+            c, x, y, root, node, copies = (rows.column(name).to_numpy() for name in ("c", "x", "y", "root", "node", "copies"))
+            for lo, hi in zip(starts[:-1], starts[1:], strict=True):
+                unit = _matrix(rows.column("vec").slice(lo, hi - lo))
+                r = root[lo:hi]
+                near = (unit @ unit.T >= threshold) & (r[:, None] != r[None, :])
+                if x[lo] != y[lo]:
+                    near &= c[lo:hi, None] != c[None, lo:hi]
+                n = near @ copies[lo:hi]
+                some = np.flatnonzero(n)
+                i, j = np.nonzero(np.triu(near, 1))
+                pairs = np.unique(np.stack([r[i], r[j]], axis=1), axis=0)
+                none = lambda m: pa.nulls(m, pa.int64())
+                columns = [[pa.array(node[lo:hi][some]), none(len(pairs))], [pa.array(n[some]), none(len(pairs))], [none(len(some)), pa.array(pairs[:, 0])], [none(len(some)), pa.array(pairs[:, 1])]]
+                yield pa.RecordBatch.from_arrays([pa.concat_arrays(v) for v in columns], ["node", "n", "a", "b"])
+
+    return materialize(dealt.mapInArrow(count, "node bigint, n bigint, a bigint, b bigint"), "across")
+
+
+def _audit(nodes: DataFrame, counts: DataFrame, roots: DataFrame, threshold: float, rows: int) -> float:
+    """Found share of a node's links, the mean over a sample with as many nodes of each size of component, against all rows.
+
+    The sample grows with the root of the number of nodes."""
+    rows = max(rows, math.isqrt(nodes.count()))
+    sizes = roots.groupBy("root").agg(F.floor(F.log2(F.count("*"))).alias("level"))
+    known = nodes.join(counts, "node", "left").join(roots.join(sizes, "root").select("node", "level"), "node", "left")
+    known = known.select("node", "grp", "vec", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("level", F.lit(-1)).alias("level"))
+    place = F.row_number().over(Window.partitionBy("level").orderBy(F.xxhash64("node"), "node"))
+    each = math.ceil(rows / max(1, sizes.select("level").distinct().count() + 1))
+    sample = known.withColumn("place", place).filter(F.col("place") <= each).select("node", "grp", "vec", "n").collect()
     sent = nodes.sparkSession.sparkContext.broadcast([(r.node, r.grp, bytes(r.vec)) for r in sample])
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,8 +275,8 @@ def _audit(nodes: DataFrame, counts: DataFrame, threshold: float, rows: int) ->
         yield pa.RecordBatch.from_arrays([pa.array([*total], pa.int64()), pa.array([*total.values()], pa.int64())], ["node", "n"])
 
     true = dict(map(tuple, nodes.mapInArrow(scan, "node bigint, n bigint").groupBy("node").agg(F.sum("n")).collect()))
-    all_links = sum(true.values())
-    return sum(min(r.n, true.get(r.node, 0)) for r in sample) / all_links if all_links else 1.0
+    shares = [min(r.n, true[r.node]) / true[r.node] for r in sample if true.get(r.node)]
+    return sum(shares) / len(shares) if shares else 1.0
 
 
 def near_duplicates(
@@ -226,7 +306,12 @@ def near_duplicates(
                 break
         roots = materialize(components(graph.filter(F.col("sim") >= threshold).select("a", "b")), "roots")
         counts = materialize(_counts(nodes, roots, threshold, block), "counts")
-        measured = _audit(nodes, counts, threshold, audit_rows)
+        across = _across(graph, nodes, roots, threshold, k, block)
+        more = components(across.filter("a is not null").select("a", "b")).select(F.col("node").alias("root"), F.col("root").alias("whole"))
+        roots = materialize(roots.join(more, "root", "left").select("node", F.coalesce("whole", "root").alias("root")), "whole-roots")
+        both = counts.unionByName(across.filter("node is not null").select("node", "n"))
+        counts = materialize(both.groupBy("node").agg(F.sum("n").alias("n")), "all-counts")
+        measured = _audit(nodes, counts, roots, threshold, audit_rows)
         if measured >= recall:
             break
     else:

@@ -317,6 +317,16 @@ def test_nn_descent_links(spark):
     assert sum(got.values()) >= 0.97 * true.sum() and all(got[k] <= true[k] for k in got)
 
 
+def test_links_between_saturated_groups(spark):
+    rng = np.random.default_rng(4)
+    one, other = np.eye(16)[0], math.cos(0.176) * np.eye(16)[0] + math.sin(0.176) * np.eye(16)[1]  # cosine 0.9845
+    rows = np.concatenate([c + 0.001 * rng.standard_normal((12, 16)) for c in (one, other)])
+    df = spark.createDataFrame([(k, v.tolist(), 1) for k, v in enumerate(rows)], "vec_id bigint, embedding array<double>, label int")
+    for block in (512, 8):
+        got = sorted(map(tuple, nndescent.near_duplicates(df, block=block).collect()))
+        assert got == [(k, 23, 0, k == 0) for k in range(24)]
+
+
 def test_base_scores_do_not_depend_on_the_broadcast_list(spark):
     rng = random.Random(8)
     docs = [(k, " ".join(f"Wörd{int(rng.paretovariate(0.6)) % 50}" for _ in range(rng.randint(0, 30)))) for k in range(60)] + [(60, None), (61, "never seen")]
