@@ -1,15 +1,15 @@
 """License texts by an exact set-similarity join, and license phrases.
 
-A text block (a line) matches a template when it holds at least `containment` of the template's distinct
-words. Words are ordered by their document frequency in the whole corpus, rarest first. A template needs
+A text block (any window of twice the template's words, over line breaks) matches a template when it holds at
+least `containment` of the template's distinct words; of overlapping windows the fullest counts. Words are ordered by their document frequency in the whole corpus, rarest first. A template needs
 c = ceil(containment * size) of its words, so a match holds one of its size - c + 1 rarest (prefix filter);
 a block of fewer than c distinct words can't match (length filter); and a shared prefix word at place i of
 the template leaves at most size - i shared words (positional filter). The survivors are counted exactly, so
-every match is found. Blocks are never compared with each other, and the templates are a parameter of
+every match is found. The filters see all words of a document, the windows only the templates left. Blocks are never compared with each other, and the templates are a parameter of
 stated size (they are fixed here), so the join needs no shuffle but for the frequencies of template words.
 
 Defined cases: a null or empty text has no words, no labels and the score 0; repeated rows are judged each;
-empty lines are no blocks; extra columns are kept; an empty table gives an empty result.
+a block's line is that of its first word; extra columns are kept; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -68,6 +68,7 @@ class TemplateIndex:
         self.rank = {w: k for k, w in enumerate(ordered)}
         self.sets = {label: {self.rank[w] for w in words} for label, words in sets.items()}
         self.need = {label: max(1, math.ceil(containment * len(words) - 1e-9)) for label, words in sets.items()}
+        self.width = {label: 2 * len(alnum_words(text.encode())) for label, text in templates.items()}
         #: For a prefix word: the templates, and how many of a template's words are not rarer than it.
         self.prefix: dict[int, list[tuple[str, int]]] = {}
         for label, words in self.sets.items():
@@ -92,6 +93,31 @@ class TemplateIndex:
         return [(label, n / len(self.sets[label])) for label, n in shared if n >= self.need[label]]
 
 
+    def passages(self, words: list[bytes]) -> list[tuple[str, int, float]]:
+        """(template, place of the first word, containment) of each window that holds a template, in order of place."""
+        found = []
+        labels = self.matches(set(words))
+        known = [(k, self.rank[w]) for k, w in enumerate(words) if w in self.rank] if labels else []
+        for label, _ in labels:
+            size, at = len(self.sets[label]), [x for x in known if x[1] in self.sets[label]]
+            held: Counter = Counter()
+            first, best = 0, (0, 0, 0)  # words, first place, last place
+            for place, word in at:
+                held[word] += 1
+                while at[first][0] <= place - self.width[label] or held[at[first][1]] > 1:
+                    held[at[first][1]] -= 1
+                    held += Counter()
+                    first += 1
+                if best[0] and at[first][0] > best[2]:
+                    found.append((label, best[1], best[0] / size))
+                    best = (0, 0, 0)
+                if len(held) >= self.need[label] and len(held) > best[0]:
+                    best = (len(held), at[first][0], place)
+            if best[0]:
+                found.append((label, best[1], best[0] / size))
+        return sorted(found, key=lambda x: (x[1], x[0]))
+
+
 def word_frequencies(docs: DataFrame, text_col: str, words: set[bytes]) -> dict[bytes, int]:
     """Documents that hold each of a bounded list of words."""
 
@@ -127,8 +153,9 @@ def find_licenses(
                 places = phrase_places(words, phrases) if words else []
                 blocks = []
                 if not index.opening.isdisjoint(words):
-                    for line, block in enumerate(text.translate(_LINES).split(b"\n")):
-                        blocks += [dict(label=label, line=line, containment=c) for label, c in index.matches(set(block.split()))]
+                    passages = index.passages(words)
+                    lines = [n for n, line in enumerate(text.translate(_LINES).split(b"\n")) for _ in line.split()] if passages else []
+                    blocks = [dict(label=label, line=lines[at], containment=c) for label, at, c in passages]
                 out["n_words"].append(len(words))
                 out["phrases"].append([dict(label=label, word=at, n_words=n) for at, label, n in places])
                 out["blocks"].append(blocks)

@@ -260,6 +260,14 @@ def test_licenses_against_brute_force():
         assert index.matches(block) == wanted
 
 
+def test_wrapped_notices_and_scattered_words(spark):
+    grant = "x = 1\n# Permission is hereby granted, free of charge, to any person obtaining a copy\n# of this software and associated documentation files, to deal"
+    scattered = " ".join(w + " filler" * 30 for w in "released under the mit license".split())
+    df = spark.createDataFrame([(0, grant), (1, scattered), (2, "a\nreleased under\nthe MIT license\n" * 2)], "doc_id bigint, text string")
+    got = {r._row.doc_id: [(b.label, b.line, b.containment) for b in r.blocks] for r in licenses.find_licenses(df).collect()}
+    assert got == {0: [("notice:mit-grant", 1, 1.0)], 1: [], 2: [("notice:mit", 1, 1.0), ("notice:mit", 4, 1.0)]}
+
+
 BASE = [
     ("email", pii.EMAIL, r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", None),
     ("ip", pii.IP, r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", None),
