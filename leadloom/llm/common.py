@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -13,10 +14,10 @@ from pyspark.sql.types import StructField, StructType
 
 from leadloom.storage import materialize, shared_path
 
-__all__ = ["ALNUM_LOWER", "alnum_words", "crc_mod", "map_rows", "materialize", "read_table", "shared_path", "space_words", "whole_groups"]
+__all__ = ["ALNUM_LOWER", "alnum_words", "crc_mod", "map_rows", "materialize", "read_table", "shared_path", "space_words", "vector_sum", "whole_groups"]
 
-#: Rows turned into Python objects at a time inside a task.
-SLICE_ROWS = 256
+#: Rows turned into Python objects at a time inside a task, and bytes, whichever is reached first.
+SLICE_ROWS, SLICE_BYTES = 256, 8 << 20
 #: Bytes that are not part of a word become spaces; A-Z become a-z; bytes of non-ASCII characters stay.
 ALNUM_LOWER = bytes(
     b if b >= 0x80 or chr(b).isdigit() or chr(b).islower() else b + 32 if chr(b).isupper() else 0x20 for b in range(256)
@@ -55,8 +56,7 @@ def map_rows(
 
         def feed() -> Iterator[dict[str, list]]:
             for batch in batches:
-                for at in range(0, batch.num_rows, slice_rows):
-                    part = batch.slice(at, slice_rows)
+                for part in _slices(batch, slice_rows):
                     if keep_row:
                         kept.append(part.column(0))
                     yield {n: _plain(part.column(part.schema.get_field_index(n))) for n in names}
@@ -73,6 +73,34 @@ def map_rows(
     return taken.mapInArrow(run, empty.schema)
 
 
+def _slices(batch: pa.RecordBatch, rows: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of at most so many rows and, but for single long rows, about so many bytes of text."""
+    size = np.zeros(batch.num_rows, np.int64)
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_binary(column.type) or pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type):
+            size += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    upto, at = np.cumsum(size), 0
+    while at < batch.num_rows:
+        before = upto[at - 1] if at else 0
+        end = min(at + rows, max(at + 1, int(np.searchsorted(upto, before + most, "right"))))
+        yield batch.slice(at, end - at)
+        at = end
+
+
+def vector_sum(df: DataFrame, size: int, parts: int = 16) -> np.ndarray:
+    """The sum of equally long double vectors (column v, binary); tasks add up all but the last few."""
+
+    def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size)
+        for batch in batches:
+            for v in batch.column(0):
+                total += np.frombuffer(v.as_py(), "<f8")
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()])], ["v"])
+
+    few = df.repartition(parts, F.spark_partition_id()).mapInArrow(add, "v binary").collect()
+    return sum((np.frombuffer(bytes(r[0]), "<f8") for r in few), np.zeros(size))
+
+
 def _plain(column: pa.Array) -> list:
     """Text as UTF-8 bytes, anything else as Python objects."""
     if pa.types.is_string(column.type) or pa.types.is_large_string(column.type):

@@ -1,11 +1,12 @@
 """Benchmark decontamination with training suffix arrays.
 
-Each shard (a slice of the training documents) gets a suffix array over its word ids. Every suffix of
-every benchmark item is binary-searched in it, which finds all places where the suffix's window stands
-verbatim; runs of such places along a diagonal are the longest verbatim matches with their locations.
+The training documents of a task are put into shards of about `shard_words` words. Each shard gets a suffix array over
+its word ids by prefix doubling, to the depth of a window. Every suffix of every benchmark item is searched: the
+names that prefix doubling gives to runs of 2, 4, 8 words refuse most suffixes at once, the others are found by
+binary search, which gives all places where the suffix's window stands verbatim. Where the word before differs, the
+common prefix is followed to its end, which gives the longest verbatim matches with their locations.
 
-The array is sparse without loss: a suffix can only open a match if its first two words stand next to
-each other in some item (one word, for an item of one word), so only those suffixes are sorted.
+Words that no item holds can't be in a match, so they have one id, 0, and no suffix.
 
 The benchmark is never assumed to be small. It is cut into blocks of at most `block_bytes` of text by
 item; each block is broadcast in turn and all documents pass it, carrying what earlier blocks hit.
@@ -17,6 +18,7 @@ judged; an empty benchmark leaves every document clean; extra columns are kept u
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +30,7 @@ from leadloom.llm.common import alnum_words, map_rows, read_table
 WINDOW = 13
 #: Benchmark text that is broadcast at a time.
 BLOCK_BYTES = 16 << 20
-#: Words in a shard's suffix array, at least (a single longer document is a shard of its own).
+#: A shard is closed at so many words.
 SHARD_WORDS = 1 << 20
 
 FOUND = (
@@ -38,101 +40,112 @@ FOUND = (
 
 
 class TestSuffixes:
-    """The windows of a block of items, as rows of word ids (0: no further word)."""
+    """A block of items as word ids on end, each with a zero after it, and where the windows begin."""
 
     __test__ = False
 
     def __init__(self, items: list[tuple[str | None, bytes | None]], window: int):
-        self.window, self.vocab = window, {}
-        rows, self.item, self.at, self.length = [], [], [], []
-        self.ids = []
+        self.window, self.vocab, self.ids = window, {}, []
+        parts, begin, at, sizes, lengths = [], [], 1, [], []
         for name, text in items:
-            words = [self.vocab.setdefault(w, len(self.vocab) + 1) for w in alnum_words(text)]
-            size = min(window, len(words))
-            if not size:
-                continue
-            for k in range(len(words) - size + 1):
-                rows.append(words[k : k + size] + [0] * (window - size))
-                self.item.append(len(self.ids))
-                self.at.append(k)
-                self.length.append(size)
-            self.ids.append(name)
-        self.rows = np.array(rows, dtype=">u4").reshape(-1, window)
-        self.item, self.at, self.length = (np.array(x, dtype=np.int64) for x in (self.item, self.at, self.length))
-        self.low = _keys(self.rows)
-        high = self.rows.copy()
-        high[np.arange(window)[None, :] >= self.length[:, None]] = 0xFFFFFFFF
-        self.high = _keys(high)
-        base = len(self.vocab) + 1
-        pairs = self.rows[self.length > 1][:, :2].astype(np.int64)
-        self.pairs = np.unique(pairs[:, 0] * base + pairs[:, 1])
-        self.singles = np.unique(self.rows[self.length == 1][:, 0].astype(np.int64))
-
-    def openers(self, words: np.ndarray) -> np.ndarray:
-        """Positions in a shard whose suffix can open a match."""
-        base = len(self.vocab) + 1
-        after = np.append(words[1:], 0)
-        known = np.flatnonzero(words > 0)
-        pair = words[known] * base + after[known]
-        ok = _member(pair, self.pairs) & (after[known] > 0)
-        if len(self.singles):
-            ok |= _member(words[known], self.singles)
-        return known[ok]
-
-
-def _member(values: np.ndarray, among: np.ndarray) -> np.ndarray:
-    if not len(among):
-        return np.zeros(len(values), bool)
-    at = np.searchsorted(among, values)
-    return among[np.minimum(at, len(among) - 1)] == values
-
-
-def _keys(rows: np.ndarray) -> np.ndarray:
-    """Rows of big-endian ids as byte strings, whose order is the suffixes' order."""
-    return np.ascontiguousarray(rows).view(f"S{4 * rows.shape[1]}").ravel()
-
-
-def shard_matches(words: np.ndarray, tests: TestSuffixes) -> tuple[np.ndarray, np.ndarray]:
-    """(position in the shard, test suffix) of each verbatim window; words has at least a window of zeros at its end."""
-    none = np.zeros(0, np.int64)
-    at = tests.openers(words)
-    if not len(at) or not len(tests.low):
-        return none, none
-    suffixes = _keys(words[at[:, None] + np.arange(tests.window)[None, :]].astype(">u4"))
-    order = np.argsort(suffixes, kind="stable")  # the shard's suffix array
-    array, places = suffixes[order], at[order]
-    first = np.searchsorted(array, tests.low, "left")
-    count = np.searchsorted(array, tests.high, "right") - first
-    suffix = np.repeat(np.arange(len(count)), count)
-    within = np.arange(len(suffix)) - np.repeat(np.cumsum(count) - count, count)
-    return places[np.repeat(first, count) + within], suffix
+            words = alnum_words(text)
+            if words:
+                parts.append(np.array([self.vocab.setdefault(w, len(self.vocab) + 1) for w in words] + [0], np.int64))
+                begin.append(at)
+                sizes.append(min(window, len(words)))
+                lengths.append(len(words))
+                at += len(words) + 1
+                self.ids.append(name)
+        self.words = np.concatenate([np.zeros(1, np.int64), *parts, np.zeros(2 * window, np.int64)])
+        begin, sizes, lengths = (np.array(x, dtype=np.int64) for x in (begin, sizes, lengths))
+        count = lengths - sizes + 1
+        self.item = np.repeat(np.arange(len(count)), count)
+        self.at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)  # place in the item
+        self.place, self.size = np.repeat(begin, count) + self.at, np.repeat(sizes, count)
+
+
+class SuffixArray:
+    """Suffixes of a shard that begin with a known word, in the order of their words to the depth of a window."""
+
+    def __init__(self, words: np.ndarray, known: int, window: int):
+        self.words = words  # ends with at least two windows of zeros
+        at, name, base, h = np.flatnonzero(words), words, known + 1, 1
+        #: Of each doubling: the length h of the halves, the number of their names, and the keys of the runs of 2 h words.
+        self.levels: list[tuple[int, int, np.ndarray]] = []
+        while h < window:
+            keys, own = np.unique(name[at] * base + name[at + h], return_inverse=True)
+            self.levels.append((h, base, keys))
+            name = np.zeros_like(words)
+            name[at] = own + 1
+            base, h = len(keys) + 1, 2 * h
+        self.places = at[np.argsort(name[at], kind="stable")]
+
+    def alive(self, tests: TestSuffixes) -> np.ndarray:
+        """Test windows whose leading runs of 2, 4, ... words all stand somewhere in the shard."""
+        ok, name = np.ones(len(tests.place), bool), tests.words
+        for h, base, keys in self.levels:
+            at = np.flatnonzero(name)
+            at = at[at + h < len(name)]
+            key = name[at] * base + name[at + h]
+            found = np.minimum(np.searchsorted(keys, key), max(0, len(keys) - 1))
+            there = keys[found] == key if len(keys) else np.zeros(len(key), bool)
+            name = np.zeros_like(name)
+            name[at[there]] = found[there] + 1
+            ok &= (name[tests.place] > 0) | (tests.size < 2 * h)
+        return np.flatnonzero(ok)
+
+    def bound(self, tests: TestSuffixes, which: np.ndarray, after: bool) -> np.ndarray:
+        """The first place in the array whose suffix isn't less than the window, or is beyond all that begin with it."""
+        low, high = np.zeros(len(which), np.int64), np.full(len(which), len(self.places))
+        ahead = np.arange(tests.window)
+        wanted = tests.words[tests.place[which, None] + ahead]
+        inside = ahead < tests.size[which, None]
+        while (open_ := np.flatnonzero(low < high)).size:
+            middle = (low[open_] + high[open_]) // 2
+            apart = (self.words[self.places[middle, None] + ahead] - wanted[open_]) * inside[open_]
+            differ = apart[np.arange(len(open_)), (apart != 0).argmax(axis=1)]
+            less = differ <= 0 if after else differ < 0
+            low[open_[less]], high[open_[~less]] = middle[less] + 1, middle[~less]
+        return low
+
+
+def shard_matches(words: np.ndarray, tests: TestSuffixes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place in the shard, test window, words) of each longest verbatim match that holds a window; words begins with a zero and ends with two windows of zeros."""
+    array = SuffixArray(words, len(tests.vocab), tests.window)
+    which = array.alive(tests)
+    first = array.bound(tests, which, False)
+    count = array.bound(tests, which, True) - first
+    within = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    place, which = array.places[np.repeat(first, count) + within], np.repeat(which, count)
+    before = words[place - 1]
+    opens = (before == 0) | (before != tests.words[tests.place[which] - 1])
+    place, which = place[opens], which[opens]
+    at, length = tests.place[which], tests.size[which].copy()
+    going = np.arange(len(place))
+    while going.size:
+        a, b = words[place[going] + length[going]], tests.words[at[going] + length[going]]
+        going = going[(a == b) & (a > 0)]
+        length[going] += 1
+    return place, which, length
 
 
 def _judge(block: list[list[bytes]], old: list[list], tests: TestSuffixes) -> dict[str, list]:
     """Matches of a shard of documents, merged with the hits of earlier blocks."""
     lengths = np.array([len(w) for w in block], dtype=np.int64)
-    starts = np.concatenate(([0], np.cumsum(lengths + 1)))  # a zero after each document parts it from the next
-    words = np.zeros(starts[-1] + tests.window + 1, np.int64)
+    starts = 1 + np.concatenate(([0], np.cumsum(lengths + 1)))  # a zero before each document parts it from the others
+    words = np.zeros(starts[-1] + 2 * tests.window + 1, np.int64)
     for k, w in enumerate(block):
-        words[starts[k] : starts[k] + len(w)] = np.fromiter(map(tests.vocab.get, w, _zeros()), np.int64, len(w))
-    place, suffix = shard_matches(words, tests)
+        words[starts[k] : starts[k] + len(w)] = np.fromiter(map(tests.vocab.get, w, itertools.repeat(0)), np.int64, len(w))
+    place, which, length = shard_matches(words, tests)
     doc = np.searchsorted(starts, place, "right") - 1
-    # Runs along a diagonal of one item in one document are longest matches.
-    item, offset, length = tests.item[suffix], tests.at[suffix], tests.length[suffix]
-    order = np.lexsort((offset, place - offset, item, doc))
-    doc, item, offset, place, length = (x[order] for x in (doc, item, offset, place, length))
-    fresh = np.ones(len(doc), bool)
-    if len(doc) > 1:
-        same = (np.diff(doc) == 0) & (np.diff(item) == 0) & (np.diff(place - offset) == 0) & (np.diff(offset) == 1)
-        fresh[1:] = ~same
-    begin = np.flatnonzero(fresh)
-    end = np.append(begin[1:], len(doc)) - 1 if len(begin) else begin
+    order = np.lexsort((tests.at[which], place, tests.item[which], doc))
+    doc, place, which, length = (x[order] for x in (doc, place, which, length))
     out: dict[str, list] = {k: [] for k in ("n_words", "n_hit", "hits", "items", "longest", "matches")}
-    edge = np.searchsorted(doc[begin], np.arange(len(block) + 1)) if len(begin) else np.zeros(len(block) + 1, np.int64)
+    edge = np.searchsorted(doc, np.arange(len(block) + 1))
     for k, w in enumerate(block):
         found = [
-            {"item_id": tests.ids[item[b]], "item_word": int(offset[b]), "doc_word": int(place[b] - starts[k]), "n_words": int(place[e] - place[b] + length[e])}
-            for b, e in zip(begin[edge[k] : edge[k + 1]], end[edge[k] : edge[k + 1]], strict=True)
+            {"item_id": tests.ids[tests.item[which[m]]], "item_word": int(tests.at[which[m]]), "doc_word": int(place[m] - starts[k]), "n_words": int(length[m])}
+            for m in range(edge[k], edge[k + 1])
         ]
         before = old[k] or {"hits": [], "items": [], "longest": 0, "matches": []}
         spans = sorted([(m["doc_word"], m["doc_word"] + m["n_words"] - 1) for m in found] + [(h["first"], h["last"]) for h in before["hits"]])
@@ -151,11 +164,6 @@ def _judge(block: list[list[bytes]], old: list[list], tests: TestSuffixes) -> di
     return out
 
 
-def _zeros() -> Iterator[int]:
-    while True:
-        yield 0
-
-
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Iterator[tuple[list[tuple[str | None, bytes | None]], bool]]:
     """(items, whether other blocks exist): the items, at most about block_bytes of text at a time."""
     items = benchmark.select(F.col(id_col).cast("string").alias("_id"), F.col(text_col).cast("binary").alias("_text")).filter("_text is not null")
@@ -185,17 +193,22 @@ def find_matches(
 
         def rows(slices: Iterator[dict[str, list]], sent=sent) -> Iterator[dict[str, list]]:
             tests = TestSuffixes(sent.value, window)
+            words, old, cuts = [], [], [0]
+
+            def judged() -> Iterator[dict[str, list]]:
+                out = _judge(words, old, tests)
+                for a, b in itertools.pairwise(cuts):  # what came in one slice goes out in one
+                    yield {k: v[a:b] for k, v in out.items()}
+
             for part in slices:
-                words = [alnum_words(t) for t in part["text"]]
-                old = part.get("old") or [None] * len(words)
-                out: dict[str, list] = {}
-                a = 0
-                for b in range(1, len(words) + 1):
-                    if b == len(words) or sum(map(len, words[a:b])) >= shard_words:
-                        for k, v in _judge(words[a:b], old[a:b], tests).items():
-                            out.setdefault(k, []).extend(v)
-                        a = b
-                yield out
+                words += [alnum_words(t) for t in part["text"]]
+                old += part.get("old") or [None] * len(part["text"])
+                cuts.append(len(words))
+                if sum(map(len, words)) >= shard_words:
+                    yield from judged()
+                    words, old, cuts = [], [], [0]
+            if words:
+                yield from judged()
 
         if done is None:
             done = map_rows(docs, {"text": F.col(text_col).cast("string")}, FOUND, rows, keep_row=True, carry=carry and ([*dict.fromkeys([*carry, text_col])] if more else carry))

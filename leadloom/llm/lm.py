@@ -5,14 +5,16 @@ unigram over words. Its counts are an aggregate over the whole training part; th
 list of stated length) are broadcast and scored where the text is, and only the other words of each document
 are joined with the counts, so neither frequent words nor a growing vocabulary are sent to every task.
 
-The attention model predicts a class of the next subword id (ids of like frequency, apart for ids that open a
-word), and the id within its class by the smoothed counts of the whole training part, so probabilities of all
-ids add up to one. Its input is the id (the class for rarer ids) with a position. Training in numpy runs on
-all partitions at once, on the documents of a fixed share of the training part (so it grows with the corpus),
-and the weights are averaged after each round. Scoring slides a window over each document by `stride`
-positions; a window's first positions are context, and each token is scored just once.
-
-Defined cases: a null or empty text is the end mark alone; a row with a null id is neither learned from nor
+The attention model predicts a group of classes, a class of the group (ids of like frequency, apart for ids that
+open a word), and the id within its class by the smoothed counts of the whole training part, so probabilities of
+all ids add up to one. Three things come from counts over all training documents: the classes, the logits of a
+class after the last id, and the embeddings (the leading singular vectors of these logits). The attention
+weights on top are trained in numpy, on every training document once: documents are dealt by row to trainers of
+about `TRAINER_IDS` ids and to rounds; the trainers of a round start from the same weights, and their
+weights are averaged after it, so the number of executors changes nothing. Scoring slides a window over each
+document by `stride` positions; a window's first positions are context, and each token is scored just once.
+
+Defined cases: a null or empty text is the end mark alone; a row where learn is null is neither learned from nor
 held out; repeated rows are learned and scored each; with nothing to learn from, all ids are equally likely.
 """
 
@@ -22,21 +24,22 @@ import functools
 import itertools
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadloom.llm.common import crc_mod, map_rows, materialize, read_table, space_words
+from leadloom.llm.common import crc_mod, map_rows, materialize, read_table, space_words, vector_sum, whole_groups
 from leadloom.llm.encoder import encoder, vocabulary_path
 
 FREQUENT, COUNTED, CACHED_WORDS = 300_000, 300_000, 500_000
 #: Levels for each doubling of a count, by which the frequent words are chosen.
 COUNT_LEVELS = 16
-WINDOW, STRIDE, WIDTH, CLASSES, OWN_SLOTS = 16, 12, 16, 64, 512
-SHARE, ROUNDS, BATCH, RATE, WINDOWS_AT_ONCE = 32, 3, 64, 0.01, 1024
+WINDOW, STRIDE, WIDTH, CLASSES, GROUPS, OWN_SLOTS = 32, 24, 16, 128, 8, 512
+#: Each document is in one round; ids of a trainer in all rounds; windows of a step of training and of scoring.
+ROUNDS, TRAINER_IDS, BATCH, RATE, WINDOWS_AT_ONCE = 3, 4_000_000, 96, 0.01, 96
 #: Exponents are held below this, where sums of them stay finite.
 LARGEST = np.float32(60)
 #: Stands for the end mark among the words.
@@ -91,27 +94,6 @@ def word_counts(docs: DataFrame, text_col: str) -> DataFrame:
     return counted.groupBy("token").agg(F.sum("n").alias("n")).filter("n > 0")
 
 
-def id_counts(counts: DataFrame, vocabulary: str) -> np.ndarray:
-    """Occurrences of each subword id in the training part, the end mark last, from its word counts."""
-    size = encoder(vocabulary).tokenizer.get_vocab_size()
-
-    def rows(slices: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
-        coder, total = encoder(vocabulary), np.zeros(size + 1, np.int64)
-        for part in slices:
-            coded = [coder.encoded(b" " + w) if w else b"" for w in part["token"]]
-            ids = np.frombuffer(b"".join(coded), "<u4")
-            total[:size] += np.bincount(ids, np.repeat(part["n"], [len(c) // 4 for c in coded]), size).astype(np.int64)
-            total[size] += sum(n for w, n in zip(part["token"], part["n"], strict=True) if not w)
-        at = np.flatnonzero(total)
-        yield {"id": at.tolist(), "n": total[at].tolist()}
-
-    found = map_rows(counts, {"token": "token", "n": "n"}, "id int, n bigint", rows).groupBy("id").agg(F.sum("n")).collect()
-    out = np.zeros(size + 1, np.int64)
-    for k, n in found:  # at most one row for each id
-        out[k] = n
-    return out
-
-
 class Vocabulary:
     """Classes, input slots and probabilities within a class, from the counts of ids; the last id is the end mark."""
 
@@ -133,6 +115,10 @@ class Vocabulary:
         top = np.argsort(-counts, kind="stable")[:own_slots]
         self.slot[top] = np.arange(len(top), dtype=np.int32)
         self.begin, self.slots, self.classes = own_slots + classes, own_slots + classes + 1, classes
+        self.groups = math.gcd(GROUPS, classes)
+        self.members = classes // self.groups
+        # Begin and padding marks follow the ids.
+        self.slot_of, self.class_of = np.append(self.slot, [self.begin, self.begin]), np.append(self.cls, [0, 0])
 
 
 def windows(sequences: list[np.ndarray], begin: int, window: int = WINDOW, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -140,24 +126,35 @@ def windows(sequences: list[np.ndarray], begin: int, window: int = WINDOW, strid
     parts, starts, at = [], [], 0
     for s in sequences:
         tail = -len(s) % stride
-        parts += [np.full(window - stride + 1, begin), s, np.full(tail, -1)]
+        parts += [np.full(window - stride + 1, begin), s, np.full(tail, begin + 1)]
         starts.append(at + np.arange(0, len(s), stride))
         at += window - stride + 1 + len(s) + tail
     return np.concatenate(parts), np.concatenate(starts), np.array([len(s) for s in sequences])
 
 
 class Attention:
-    """One causal self-attention layer with a direct input-to-class table."""
+    """One causal self-attention layer over fixed embeddings, added to fixed logits of a class after an id."""
 
-    NAMES = ("embed", "place", "query", "key", "value", "out", "table", "base")
+    NAMES = ("place", "query", "key", "value", "out", "base")
 
-    def __init__(self, vocab: Vocabulary, seed: int = 0):
-        rng, s, c = np.random.default_rng(seed), vocab.slots, vocab.classes
-        shapes = {"embed": (s, WIDTH), "place": (WINDOW, WIDTH), "query": (WIDTH, WIDTH), "key": (WIDTH, WIDTH), "value": (WIDTH, WIDTH), "out": (WIDTH, c)}
+    def __init__(self, vocab: Vocabulary, after: np.ndarray | None = None, seed: int = 0):
+        rng, c = np.random.default_rng(seed), vocab.classes
+        shapes = {"place": (WINDOW, WIDTH), "query": (WIDTH, WIDTH), "key": (WIDTH, WIDTH), "value": (WIDTH, WIDTH)}
         self.weights = {k: (0.2 * rng.standard_normal(v)).astype(np.float32) for k, v in shapes.items()}
-        self.weights["table"] = np.zeros((s, c), np.float32)
-        self.weights["base"] = np.log(np.maximum(vocab.class_share, 1e-12)).astype(np.float32)
-        self.mask = np.triu(np.full((WINDOW, WINDOW), -1e9, np.float32), 1)
+        self.weights |= {"out": np.zeros((WIDTH, vocab.groups + c), np.float32), "base": np.zeros(vocab.groups + c, np.float32)}
+        after = np.zeros((vocab.slots, c)) if after is None else after
+        share = np.maximum(vocab.class_share, 1e-12)
+        seen = after.sum(axis=1, keepdims=True)
+        chance = (after + 4 * share) / (seen + 4)
+        lift = np.log(chance) - np.log(share)
+        self.groups, self.members = vocab.groups, vocab.members
+        self.table = np.log(np.concatenate([chance.reshape(len(chance), self.groups, -1).sum(axis=2), chance], axis=1)).astype(np.float32)
+        weight = np.sqrt(seen / max(1.0, seen.sum()))
+        left = np.linalg.svd(weight * lift, full_matrices=False)[2][:WIDTH]
+        embed = np.zeros((vocab.slots, WIDTH))
+        embed[:, : len(left)] = lift @ left.T
+        self.embed = (embed / np.maximum(1e-6, np.sqrt((embed**2).mean()))).astype(np.float32)
+        self.mask = np.triu(np.full((WINDOW, WINDOW), -1e9, np.float32), 1)[WINDOW - STRIDE :]
 
     def vector(self) -> np.ndarray:
         return np.concatenate([self.weights[k].ravel() for k in self.NAMES])
@@ -170,129 +167,167 @@ class Attention:
             at += w.size
         return self
 
-    def log_class(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """Log-probabilities of the classes y that follow the last stride positions of the windows x."""
+    def _forward(self, x: np.ndarray, y: np.ndarray) -> tuple:
+        """(queries, keys, values, attention, its result, of the groups and of the group's members the exponents and the place of y) of the windows x."""
         w, first = self.weights, WINDOW - STRIDE
-        q = ((w["embed"] @ w["query"])[x[:, first:]] + (w["place"] @ w["query"])[first:]) * np.float32(WIDTH**-0.5)
-        k = (w["embed"] @ w["key"])[x] + w["place"] @ w["key"]
-        v = (w["embed"] @ w["value"])[x] + w["place"] @ w["value"]
+        scale = np.float32(WIDTH**-0.5)
+        own, whole = x[:, first:].ravel(), x.ravel()
+        place = w["place"]
+        # np.take copies short rows several times faster than indexing.
+        q = np.take((self.embed @ w["query"]) * scale, own, axis=0).reshape(len(x), STRIDE, WIDTH) + (place[first:] @ w["query"]) * scale
+        k = np.take(self.embed @ w["key"], whole, axis=0).reshape(len(x), WINDOW, WIDTH) + place @ w["key"]
+        v = np.take(self.embed @ w["value"], whole, axis=0).reshape(len(x), WINDOW, WIDTH) + place @ w["value"]
         a = q @ k.transpose(0, 2, 1)
-        a += self.mask[first:]
+        a += self.mask
         np.exp(np.minimum(a, LARGEST, out=a), out=a)
-        o = (a @ v).reshape(-1, WIDTH)
         # Products with ones sum short rows faster than sum().
-        o /= (a.reshape(-1, WINDOW) @ np.ones((WINDOW, 1), np.float32))
-        z = o @ w["out"]
-        z += np.take(w["table"] + w["base"], x[:, first:].ravel(), axis=0)
-        np.minimum(z, LARGEST, out=z)
-        picked = z[np.arange(len(z)), y.ravel()]
-        return (picked - np.log(np.exp(z, out=z) @ np.ones(z.shape[1], np.float32))).reshape(y.shape)
+        a /= (a.reshape(-1, WINDOW) @ np.ones((WINDOW, 1), np.float32)).reshape(len(x), STRIDE, 1)
+        o = (a @ v).reshape(-1, WIDTH)
+        rows, (group, member) = np.arange(len(o)), np.divmod(y.ravel(), self.members)
+        table, logits, g = self.table + w["base"], o @ w["out"], self.groups
+        parts = []
+        for columns, blocks, width, at, n in ((slice(g), 1, g, 0, group), (slice(g, None), g, self.members, group, member)):
+            z = np.take(np.ascontiguousarray(logits[:, columns]).reshape(-1, width), rows * blocks + at, axis=0)
+            z += np.take(np.ascontiguousarray(table[:, columns]).reshape(-1, width), own * blocks + at, axis=0)
+            np.minimum(z, LARGEST, out=z)
+            picked = z[rows, n]
+            np.exp(z, out=z)
+            total = z @ np.ones((width, 1), np.float32)
+            parts.append((z, total, picked - np.log(total.ravel()), n))
+        return q, k, v, a, o, group, parts
+
+    def log_class(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Log-probabilities of the classes y that follow the last stride positions of the windows x."""
+        parts = self._forward(x, y)[-1]
+        return (parts[0][2] + parts[1][2]).reshape(y.shape)
 
     def gradients(self, x: np.ndarray, y: np.ndarray, live: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """(loss, gradients) over the positions after a window's context that live marks, so each token counts once."""
         w, scale, first = self.weights, np.float32(WIDTH**-0.5), WINDOW - STRIDE
         flat = lambda t: t.reshape(-1, t.shape[-1])
-        own, y, live = x[:, first:], y[:, first:].ravel(), live[:, first:].ravel()
-        h = w["embed"][x] + w["place"]
-        q, k, v = h[:, first:] @ w["query"], h @ w["key"], h @ w["value"]
-        a = q @ k.transpose(0, 2, 1) * scale + self.mask[first:]
-        a = np.exp(a - a.max(axis=2, keepdims=True))
-        a /= a.sum(axis=2, keepdims=True)
-        o = a @ v
-        z = (w["table"] + w["base"])[own.ravel()] + flat(o) @ w["out"]
-        z = np.exp(z - z.max(axis=1, keepdims=True))
-        z /= z.sum(axis=1, keepdims=True)
-        n, rows = max(1, int(live.sum())), np.arange(len(z))
-        loss = -float(np.log(z[rows, y] + 1e-30)[live].sum()) / n
-        dz = z
-        dz[rows, y] -= 1
-        dz *= live[:, None] / np.float32(n)
-        do = (dz @ w["out"].T).reshape(o.shape)
+        live = live.ravel()
+        q, k, v, a, o, group, parts = self._forward(x, y)
+        rows, n = np.arange(len(o)), np.float32(max(1, int(live.sum())))
+        loss = -float((parts[0][2] + parts[1][2])[live].sum()) / float(n)
+        for z, total, _, at in parts:
+            z *= live[:, None] / (total * n)
+            z[rows, at] -= live / n
+        dz = np.zeros((len(o), w["base"].size), np.float32)
+        dz[:, : self.groups] = parts[0][0]
+        at = self.groups + group[:, None] * self.members + np.arange(self.members)
+        np.put_along_axis(dz, at, parts[1][0], axis=1)
+        do = (dz @ w["out"].T).reshape(len(x), STRIDE, WIDTH)
         da = do @ v.transpose(0, 2, 1)
-        ds = a * (da - (da * a).sum(axis=2, keepdims=True)) * scale
-        dq, dk, dv = ds @ k, ds.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ do
-        dh = dk @ w["key"].T + dv @ w["value"].T
-        dh[:, first:] += dq @ w["query"].T
-        g = {"query": flat(h[:, first:]).T @ flat(dq), "key": flat(h).T @ flat(dk), "value": flat(h).T @ flat(dv), "out": flat(o).T @ dz, "base": dz.sum(0), "place": dh.sum(0)}
-        for name, at, d in (("embed", x, dh), ("table", own, dz)):
-            order = np.argsort(at, axis=None, kind="stable")
-            slots, begin = np.unique(at.ravel()[order], return_index=True)
-            g[name] = np.zeros_like(w[name])
-            g[name][slots] = np.add.reduceat(flat(d)[order], begin, axis=0)
-        return loss, g
-
-    def fit(self, x: np.ndarray, y: np.ndarray, live: np.ndarray, seed: int, rate: float = RATE) -> list[float]:
-        """One pass of Adam over the windows; gives the losses."""
+        da -= (do * o.reshape(do.shape)).sum(axis=2, keepdims=True)
+        da *= a
+        dq, dk, dv = da @ k * scale, da.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ do  # q is scaled already
+        h = np.take(self.embed, x.ravel(), axis=0).reshape(len(x), WINDOW, WIDTH) + w["place"]
+        place = dk.sum(0) @ w["key"].T + dv.sum(0) @ w["value"].T
+        place[first:] += dq.sum(0) @ w["query"].T
+        return loss, {"query": flat(h[:, first:]).T @ flat(dq), "key": flat(h).T @ flat(dk), "value": flat(h).T @ flat(dv), "out": o.T @ dz, "base": dz.sum(0), "place": place}
+
+    def fit(self, batches: Iterable[tuple[np.ndarray, np.ndarray, np.ndarray]], rate: float = RATE) -> list[float]:
+        """Adam over batches of windows; gives the losses."""
         m = {k: np.zeros_like(v) for k, v in self.weights.items()}
         s = {k: np.zeros_like(v) for k, v in self.weights.items()}
-        order, losses = np.random.default_rng(seed).permutation(len(x)), []
-        for step, at in enumerate(range(0, len(x), BATCH), 1):
-            some = order[at : at + BATCH]
-            loss, g = self.gradients(x[some], y[some], live[some])
+        losses = []
+        for step, (x, y, live) in enumerate(batches, 1):
+            loss, g = self.gradients(x, y, live)
             losses.append(loss)
             for k, d in g.items():
                 m[k] += 0.1 * (d - m[k])
                 s[k] += 0.01 * (d * d - s[k])
-                self.weights[k] -= np.float32(rate) * (m[k] / (1 - 0.9**step)) / (np.sqrt(s[k] / (1 - 0.99**step)) + 1e-8)
+                self.weights[k] = self.weights[k] - np.float32(rate) * (m[k] / (1 - 0.9**step)) / (np.sqrt(s[k] / (1 - 0.99**step)) + 1e-8)
         return losses
 
 
-def _sequences(ids: WordIds, texts: list[bytes | None], end: int) -> tuple[list[list[bytes]], list[np.ndarray]]:
-    words = [space_words(t) for t in texts]
-    return words, [ids.sequence(w, end) for w in words]
+def _examples(sequences: list[np.ndarray], vocab: Vocabulary, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(input slots, next classes, next ids, live) of at most so many windows at a time, next ones of the last stride positions."""
+    begin, first = len(vocab.cls), WINDOW - STRIDE
+    ids, starts, _ = windows(sequences, begin)
+    slot, cls, live = np.take(vocab.slot_of, ids), np.take(vocab.class_of, ids), ids < begin
+    for at in range(0, len(starts), most):
+        x = starts[at : at + most, None] + np.arange(WINDOW)
+        y = x[:, first:] + 1
+        yield np.take(slot, x), np.take(cls, y), np.take(ids, y), np.take(live, y)
 
 
-def _examples(sequences: list[np.ndarray], vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(input slots, next classes, next ids) of windows; a next id of -1 is padding."""
-    begin = len(vocab.cls)
-    ids, starts, _ = windows(sequences, begin)
-    slot, cls = np.append(vocab.slot, [vocab.begin, vocab.begin]), np.append(vocab.cls, [0, 0])  # begin, padding
-    at = starts[:, None] + np.arange(WINDOW + 1)[None, :]
-    own = ids[np.minimum(at, len(ids) - 1)]
-    return slot[own[:, :-1]], cls[own[:, 1:]], own[:, 1:]
-
-
-def train_attention(docs: DataFrame, text_col: str, vocabulary: str, vocab: Vocabulary, rounds: int = ROUNDS, share: int = SHARE) -> Attention:
-    """Weights averaged over all partitions after each round, on one in `share` documents of docs."""
-    spark, model = docs.sparkSession, Attention(vocab)
-    text = F.col(text_col).cast("string")
-    sample = docs.select(text.alias("text")).filter(text.isNotNull() & (F.pmod(F.xxhash64(text, F.monotonically_increasing_id()), F.lit(share)) == 0))
-    sample = materialize(sample, "lm-sample")
+def _vectors(encoded: DataFrame, add: Callable[[list[np.ndarray], np.ndarray], None], size: int) -> np.ndarray:
+    """The sum over all rows' id sequences of what add puts into a vector."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                add([np.frombuffer(b, "<u4").astype(np.int32) for b in batch.column(0).slice(at, 256).to_pylist()], total)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()])], ["v"])
+
+    return vector_sum(encoded.select("ids").mapInArrow(run, "v binary"), size)
+
+
+def id_counts(encoded: DataFrame, ids: int) -> np.ndarray:
+    """Occurrences of each subword id, the end mark last."""
+
+    def add(sequences: list[np.ndarray], total: np.ndarray) -> None:
+        if sequences:
+            total += np.bincount(np.concatenate(sequences), minlength=ids)
+
+    return _vectors(encoded, add, ids)
+
+
+def class_counts(encoded: DataFrame, vocab: Vocabulary) -> np.ndarray:
+    """How often each class follows each slot."""
+    sent = encoded.sparkSession.sparkContext.broadcast(vocab)
+
+    def add(sequences: list[np.ndarray], total: np.ndarray) -> None:
+        vocab = sent.value
+        if sequences:
+            ids = np.concatenate([p for s in sequences for p in ([len(vocab.cls)], s)])
+            cell = np.take(vocab.slot_of, ids[:-1]).astype(np.int64) * vocab.classes + np.take(vocab.class_of, ids[1:])
+            total += np.bincount(cell[ids[1:] < len(vocab.cls)], minlength=len(total))
+
+    return _vectors(encoded, add, vocab.slots * vocab.classes).reshape(vocab.slots, vocab.classes)
+
+
+def train_attention(encoded: DataFrame, vocab: Vocabulary, after: np.ndarray, n_ids: int, rounds: int = ROUNDS) -> Attention:
+    """Weights trained on each row of encoded (rid, ids) once: in each round on its rows, averaged over its trainers."""
+    spark, model = encoded.sparkSession, Attention(vocab, after)
+    trainers = max(1, -(-int(n_ids) // TRAINER_IDS))
+    at = F.xxhash64("rid")
+    dealt = encoded.select("rid", "ids", F.pmod(at, F.lit(trainers)).alias("trainer"), F.pmod(F.shiftright(at, 32), F.lit(rounds)).alias("round"))
     for turn in range(rounds):
-        sent = spark.sparkContext.broadcast((vocab, model.vector()))
-
-        def learn(batches, sent=sent, turn=turn) -> Iterator[pa.RecordBatch]:
-            vocab, vector = sent.value
-            coder, own, seen = word_ids(vocabulary), Attention(vocab).load(vector), 0
-            for batch in batches:
-                for at in range(0, batch.num_rows, 512):
-                    texts = [t.encode() for t in batch.column(0).slice(at, 512).to_pylist()]
-                    x, y, ids = _examples(_sequences(coder, texts, len(vocab.cls) - 1)[1], vocab)
-                    live = (ids >= 0) & (ids < len(vocab.cls))
-                    own.fit(x, y, live, turn)
-                    seen += len(x)
-            if seen:
-                yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([own.vector()], pa.list_(pa.float32()))], ["n", "w"])
-
-        local = sample.mapInArrow(learn, "n bigint, w array<float>")
-        mean = local.select("n", F.posexplode("w").alias("at", "w")).groupBy("at").agg((F.sum(F.col("n") * F.col("w")) / F.sum("n")).alias("w")).orderBy("at").collect()
-        if mean:
-            model.load(np.array([r[1] for r in mean]))
+        sent = spark.sparkContext.broadcast((vocab, after, model.vector()))
+
+        def learn(batches: Iterable[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            vocab, after, vector = sent.value
+            for rows, starts in whole_groups(batches, ["trainer"]):
+                for lo, hi in itertools.pairwise(starts.tolist()):
+                    own = Attention(vocab, after).load(vector)
+                    column = rows.column("ids")
+
+                    def some(lo=lo, hi=hi, column=column) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+                        for k in range(lo, hi, 64):
+                            sequences = [np.frombuffer(b, "<u4").astype(np.int32) for b in column.slice(k, min(64, hi - k)).to_pylist()]
+                            yield from ((x, y, live) for x, y, _, live in _examples(sequences, vocab, BATCH))
+
+                    steps = float(len(own.fit(some())))
+                    yield pa.RecordBatch.from_arrays([pa.array([np.append(own.vector() * steps, steps).astype(np.float64).tobytes()])], ["v"])
+
+        rows = dealt.filter(F.col("round") == turn).drop("round").repartition("trainer").sortWithinPartitions("trainer", "rid")
+        total = vector_sum(rows.mapInArrow(learn, "v binary"), len(model.vector()) + 1)
+        if total[-1]:
+            model.load(total[:-1] / total[-1])
     return model
 
 
 def sequence_scores(sequences: list[np.ndarray], vocab: Vocabulary, model: Attention) -> np.ndarray:
     """log10 probability of each id sequence."""
-    x, y, ids = _examples(sequences, vocab)
-    first, out = WINDOW - STRIDE, np.zeros(len(x))
-    for at in range(0, len(x), WINDOWS_AT_ONCE):
-        part = slice(at, at + WINDOWS_AT_ONCE)
-        own = ids[part, first:]
-        live = (own >= 0) & (own < len(vocab.cls))
-        scores = model.log_class(x[part], y[part, first:]) + vocab.log_within[np.where(live, own, 0)]
-        out[part] = np.where(live, scores, 0).sum(axis=1, dtype=np.float64)
+    out = []
+    for x, y, ids, live in _examples(sequences, vocab, WINDOWS_AT_ONCE):
+        scores = model.log_class(x, y) + np.take(vocab.log_within, np.where(live, ids, 0))
+        out.append(np.where(live, scores, 0).sum(axis=1, dtype=np.float64))
     of = np.repeat(np.arange(len(sequences)), [-(-len(s) // STRIDE) for s in sequences])
-    return np.bincount(of, out, len(sequences)) / math.log(10)
+    return np.bincount(of, np.concatenate(out), len(sequences)) / math.log(10)
 
 
 def _most_frequent(counts: DataFrame, most: int) -> DataFrame:
@@ -308,47 +343,67 @@ def _most_frequent(counts: DataFrame, most: int) -> DataFrame:
     return counts.filter(end if least is None else end | (level >= F.lit(least)))
 
 
-SCORED = "n_tokens bigint, n_known bigint, logs double, score double, rare array<struct<token:string,n:bigint>>"
+ENCODED = "n_tokens bigint, n_known bigint, logs double, rare array<struct<token:string,n:bigint>>, ids binary"
 
 
-def score_documents(docs: DataFrame, learn_from: DataFrame, vocabulary: str, text_col: str = "text", carry: list[str] | None = None, frequent: int = FREQUENT) -> DataFrame:
-    """Each row of docs (or its columns carry) as _row, with n_tokens, n_known, train_tokens, base_score and score."""
-    spark = docs.sparkSession
-    counts = materialize(word_counts(learn_from, text_col), "word-counts")
-    n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+def encode_documents(docs: DataFrame, learn: Column, counts: DataFrame, vocabulary: str, text_col: str, carry: list[str], frequent: int) -> DataFrame:
+    """(_row, rid, learn, and ENCODED) of each row: its ids, and what its frequent words add to the base score."""
     common = {t.encode(): math.log10(c + 1) for t, c in _most_frequent(counts, frequent).collect()}
-    ids = id_counts(counts, vocabulary)
-    coder = encoder(vocabulary)
-    names = coder.tokenizer.get_vocab()
-    opens = np.zeros(len(ids), bool)
-    opens[[k for t, k in names.items() if t[:1] == coder.letters[32]]] = True
-    opens[-1] = True
-    vocab = Vocabulary(ids, opens)
-    model = train_attention(learn_from, text_col, vocabulary, vocab)
-    sent = spark.sparkContext.broadcast((vocab, model.vector(), common))
+    sent = docs.sparkSession.sparkContext.broadcast(common)
+    end_id = encoder(vocabulary).tokenizer.get_vocab_size()
 
     def rows(slices: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
-        vocab, vector, common = sent.value
-        coder, model = word_ids(vocabulary), Attention(vocab).load(vector)
+        common, coder = sent.value, word_ids(vocabulary)
         end, unknown = common.get(END.encode()), itertools.repeat(math.nan)
         for part in slices:
-            words, sequences = _sequences(coder, part["text"], len(vocab.cls) - 1)
-            out: dict[str, list] = {"n_tokens": [], "n_known": [], "logs": [], "rare": [], "score": sequence_scores(sequences, vocab, model).tolist()}
-            for own in words:
+            out: dict[str, list] = {"n_tokens": [], "n_known": [], "logs": [], "rare": [], "ids": []}
+            for text in part["text"]:
+                own = space_words(text)
                 logs = np.fromiter(map(common.get, own, unknown), np.float64, len(own))
                 rare = np.flatnonzero(np.isnan(logs)).tolist()
                 out["n_tokens"].append(len(own) + 1)
                 out["n_known"].append(len(own) - len(rare) + (end is not None))
                 out["logs"].append(float(np.nansum(logs)) + (end or 0.0))
                 out["rare"].append([*Counter([own[k] for k in rare]).items()])
+                out["ids"].append(coder.sequence(own, end_id).astype("<u4").tobytes())
             yield out
 
-    kept = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry or docs.columns]).alias("kept"), F.col(text_col).cast("string").alias("text"), F.monotonically_increasing_id().alias("rid"))
-    scored = map_rows(kept, {"text": "text"}, SCORED, rows, keep_row=True, carry=["kept", "rid"])
-    scored = materialize(scored.select(F.col("_row.kept").alias("_row"), F.col("_row.rid").alias("rid"), *[c for c in scored.columns if c != "_row"]), "scored")
-    rare = scored.select("rid", F.explode("rare").alias("w")).select("rid", F.col("w.token").alias("token"), F.col("w.n").alias("k"))
+    kept = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("kept"), learn.alias("learn"), F.col(text_col).cast("string").alias("text"), F.monotonically_increasing_id().alias("rid"))
+    found = map_rows(kept, {"text": "text"}, ENCODED, rows, keep_row=True, carry=["kept", "rid", "learn"])
+    return materialize(found.select(F.col("_row.kept").alias("_row"), "_row.rid", "_row.learn", *[c for c in found.columns if c != "_row"]), "encoded")
+
+
+def score_documents(docs: DataFrame, learn: Column, vocabulary: str, text_col: str = "text", carry: list[str] | None = None, frequent: int = FREQUENT) -> DataFrame:
+    """Each row of docs (or its columns carry) as _row, with n_tokens, n_known, train_tokens, base_score and score."""
+    spark = docs.sparkSession
+    counts = materialize(word_counts(docs.filter(learn), text_col), "word-counts")
+    n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    encoded = encode_documents(docs, learn, counts, vocabulary, text_col, carry or docs.columns, frequent)
+    coder = encoder(vocabulary)
+    names = coder.tokenizer.get_vocab()
+    size = coder.tokenizer.get_vocab_size() + 1
+    learned = encoded.filter("learn").select("rid", "ids")
+    ids = id_counts(learned, size)
+    opens = np.zeros(size, bool)
+    opens[[k for t, k in names.items() if t[:1] == coder.letters[32]]] = True
+    opens[-1] = True
+    vocab = Vocabulary(ids, opens)
+    after = class_counts(learned, vocab)
+    model = train_attention(learned, vocab, after, int(ids.sum()))
+    sent = spark.sparkContext.broadcast((vocab, after, model.vector()))
+
+    def rows(slices: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
+        vocab, after, vector = sent.value
+        model = Attention(vocab, after).load(vector)
+        for part in slices:
+            yield {"score": sequence_scores([np.frombuffer(b, "<u4").astype(np.int32) for b in part["ids"]], vocab, model).tolist()}
+
+    kept = ["_row", "rid", "n_tokens", "n_known", "logs"]
+    scored = map_rows(encoded, {"ids": "ids"}, "score double", rows, keep_row=True, carry=kept)
+    scored = scored.select(*[F.col(f"_row.{c}").alias(c) for c in kept], "score")
+    rare = encoded.select("rid", F.explode("rare").alias("w")).select("rid", F.col("w.token").alias("token"), F.col("w.n").alias("k"))
     found = rare.join(counts, "token").groupBy("rid").agg(F.sum("k").alias("more"), F.sum(F.col("k") * F.log10(F.col("n") + 1)).alias("more_logs"))
-    both = scored.drop("rare").join(found, "rid", "left")
+    both = scored.join(found, "rid", "left")
     zero = F.lit(0)
     return both.select(
         "_row",
@@ -362,6 +417,6 @@ def score_documents(docs: DataFrame, learn_from: DataFrame, vocabulary: str, tex
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
-    scored = score_documents(docs, docs.filter(crc_mod("doc_id", 7) != 2), vocabulary_path(), carry=["doc_id"])
+    scored = score_documents(docs, crc_mod("doc_id", 7) != 2, vocabulary_path(), carry=["doc_id"])
     doc_id = F.col("_row.doc_id")
     return scored.select(doc_id.alias("doc_id"), F.coalesce(crc_mod(doc_id, 7) == 2, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -10,7 +10,8 @@ components, but only to saturated vectors, since any other list would show the l
 vectors of a component lie within an angle of one of them, its pivot; components whose pivots are farther apart than
 both angles and the threshold's can't be linked (triangle inequality), and the rest meet in blocks. A sample of
 vectors, as many of each size of component, is compared with all rows after each round; further rounds with fresh
-tables follow until the audited recall, the mean over vectors, is reached.
+tables follow until the audited recall, the mean over vectors, is reached. Each round has larger cells, in which more
+rows are compared, and longer lists; in the end a cell is a whole label and all its rows meet, so rounds do end.
 
 Equal vectors with equal labels are one node with a multiplicity.
 
@@ -21,6 +22,7 @@ with a null id takes part, and a component's id is its smallest non-null id (a r
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterable, Iterator
 
@@ -33,7 +35,7 @@ from pyspark.sql import functions as F
 from leadloom.llm.common import materialize, read_table, whole_groups
 from leadloom.llm.components import components
 
-THRESHOLD, LIST_SIZE, TABLES, SCAN, ROUNDS, BLOCK, AUDIT_ROWS, AUDIT_RECALL, MAX_ROUNDS = 0.98, 10, 8, 8, 2, 512, 100, 0.97, 6
+THRESHOLD, LIST_SIZE, TABLES, SCAN, ROUNDS, BLOCK, AUDIT_ROWS, AUDIT_RECALL = 0.98, 10, 8, 8, 2, 512, 100, 0.97
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -78,11 +80,12 @@ def _start(nodes: DataFrame, bits: int, tables: int, seed: int, scan: int, keep:
                 rng = np.random.default_rng([seed, size])
                 for t in range(tables):
                     side = unit @ rng.standard_normal((unit.shape[1], bits + 1))
-                    cell = ((side[:, :bits] > 0) << np.arange(bits)).sum(axis=1) * tables + t
+                    cell = ((side[:, :bits] > 0) << np.arange(bits)).sum(axis=1).astype(np.int64) * tables + t
                     yield pa.RecordBatch.from_arrays([part.column("grp"), pa.array(cell), pa.array(side[:, bits]), part.column("node"), part.column("vec")], ["grp", "cell", "at", "node", "vec"])
 
     dealt = nodes.select("node", "grp", "vec").mapInArrow(cells, "grp bigint, cell bigint, at double, node bigint, vec binary")
-    dealt = dealt.repartition("grp", "cell", F.pmod(F.floor("at"), F.lit(4))).sortWithinPartitions("grp", "cell", "at")
+    # Ranges cut a large cell wherever it lies along the projection; at a cut only a few pairs of one table are lost.
+    dealt = dealt.repartitionByRange("grp", "cell", "at").sortWithinPartitions("grp", "cell", "at")
 
     def near(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -296,9 +299,11 @@ def near_duplicates(
     rows, nodes = _nodes(vectors, id_col, vec_col, label_col)
     largest = nodes.groupBy("grp").count().agg(F.coalesce(F.max("count"), F.lit(1))).first()[0]
     bits = min(40, max(1, math.ceil(math.log2(max(2, largest) / 8))))
-    graph, measured = None, 0.0
-    for turn in range(MAX_ROUNDS):
-        fresh = _start(nodes, bits, tables, turn, SCAN, 2).withColumn("new", F.lit(1))
+    graph = None
+    for turn in itertools.count():
+        scan = min(largest, SCAN << 2 * turn)
+        fresh = _start(nodes, max(0, bits - 3 * turn), tables, turn, scan, 2 << turn).withColumn("new", F.lit(1))
+        k <<= turn > 0
         graph = materialize(_lists(fresh if graph is None else graph.withColumn("new", F.lit(0)).unionByName(fresh), k), "graph")
         for _ in range(rounds):
             graph = materialize(_refine(graph, nodes, k), "graph")
@@ -311,11 +316,8 @@ def near_duplicates(
         roots = materialize(roots.join(more, "root", "left").select("node", F.coalesce("whole", "root").alias("root")), "whole-roots")
         both = counts.unionByName(across.filter("node is not null").select("node", "n"))
         counts = materialize(both.groupBy("node").agg(F.sum("n").alias("n")), "all-counts")
-        measured = _audit(nodes, counts, roots, threshold, audit_rows)
-        if measured >= recall:
+        if _audit(nodes, counts, roots, threshold, audit_rows) >= recall or scan == largest:
             break
-    else:
-        raise RuntimeError(f"recall {measured:.3f} after {MAX_ROUNDS} rounds")
     found = nodes.select("node", "copies").join(counts, "node", "left").join(roots, "node", "left")
     found = found.select("node", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "node").alias("root"))
     named = _name_rows(rows, nodes, found)

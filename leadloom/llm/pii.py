@@ -1,16 +1,17 @@
 """Personal data: patterns, and information-theoretic sanitisation of what reveals them; DataFrame expressions only.
 
-Protected entities are the values of the base patterns. Terms are words in an entity's context (a number of
-code points on each side). Document counts of entities, terms and both together over the whole corpus give the
-pointwise mutual information PMI(entity; term), which never exceeds the entity's information content
-IC(entity). A term whose PMI is a share of at least `disclosure` of IC reveals the entity too well: it is
-generalised (to its initial) where it stands in that entity's context, or removed from a share of `removal` on.
-A pair must be seen in at least `support` documents, since one document says nothing about co-occurrence.
-
-Document counts of terms are summed from all documents. While the list of terms is small (its rows are
-counted) it is broadcast and filters the words before the sum; otherwise the words are summed first and joined.
-
-Defined cases: a null or empty text has no spans; equal rows get equal spans; a null id stays null; an empty
+Protected entities are the values of the base patterns. Terms are the words of a document that holds an entity, outside
+its entities. Row counts of entities, terms and both together over the whole corpus give the pointwise mutual
+information PMI(entity; term), which never exceeds the entity's information content IC(entity). A term whose PMI is a
+share of at least `disclosure` of IC reveals the entity too well: wherever it stands in a document that holds the
+entity, it is generalised (to its initial), or removed from a share of `removal` on. A pair must be seen in at least
+`support` different texts, since one text, however often copied, says nothing about co-occurrence.
+
+Only texts with an entity of at least `support` texts have candidate terms; a candidate pair takes a row for each such
+text that holds it, and pairs are summed before they meet the document counts of terms. An entity that stands in
+more than one in `HOT` of all entity places is looked up in a broadcast list (of fewer than HOT entries), so no key is hot.
+
+Defined cases: a null or empty text has no spans; equal texts get equal spans; a null id stays null; an empty
 corpus gives an empty result; extra columns are kept by sanitise().
 """
 
@@ -30,9 +31,9 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 OCTETS = r"^(?:0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(?:\.|$)){4}"
 WORD = r"(?<=[^\p{L}\p{N}])\p{L}{4,}+(?=[^\p{L}\p{N}])"
 KINDS = ["email", "ip", "card", "phone", "term"]
-CONTEXT, DISCLOSURE, REMOVAL, SUPPORT = 48, 0.67, 0.9, 2
-#: Terms up to which the list is broadcast.
-BROADCAST_TERMS = 100_000
+DISCLOSURE, REMOVAL, SUPPORT = 0.67, 0.9, 2
+#: An entity of more than one in so many places is hot; parts into which rows of a text are dealt when they are joined.
+HOT, SALTS = 1000, 16
 
 
 def base_spans(text: Column) -> Column:
@@ -46,107 +47,110 @@ def base_spans(text: Column) -> Column:
     return F.concat(email, ip, card, phone)
 
 
-def _context_terms(text: Column, base: Column, context: int) -> Column:
-    """array<struct<entity, term, start, end>>: words of either context of each entity, outside all base spans."""
-    padded = F.concat(F.lit(" "), text, F.lit(" "))  # one code point in, so that a word at an edge has a neighbour
+def _entities(base: Column) -> Column:
+    return F.array_distinct(F.transform(base, lambda s: F.concat_ws(":", s["kind"], F.lower(s["value"]))))
 
-    def side(s: Column, begin: Column, end: Column) -> Column:
-        window = F.substring(padded, begin + 1, end - begin)  # code points begin to end of the padded text
-        found = spans.find(window, WORD, "term", F.lit(True))
-        return F.transform(found, lambda w: F.struct(
-            F.concat_ws(":", s["kind"], F.lower(s["value"])).alias("entity"),
-            F.lower(w["value"]).alias("term"),
-            (w["start"] + begin - 1).alias("start"),
-            (w["end"] + begin - 1).alias("end"),
-        ))
 
-    both = F.transform(base, lambda s: F.concat(
-        side(s, F.greatest(F.lit(0), s["start"] - context), s["start"] + 1),
-        side(s, s["end"] + 1, F.least(s["end"] + 1 + context, F.length(padded))),
-    ))
-    return F.filter(F.array_distinct(F.flatten(both)), lambda w: spans.apart(w, base))
+def _words(text: Column) -> Column:
+    """array<SPAN> of the words of a text."""
+    found = spans.find(F.concat(F.lit(" "), text, F.lit(" ")), WORD, "term", F.lit(True))  # a word at an edge has a neighbour, too
+    return F.transform(found, lambda w: F.struct(F.lit("term").alias("kind"), (w["start"] - 1).alias("start"), (w["end"] - 1).alias("end"), F.lower(w["value"]).alias("value")))
 
 
-def _scan(docs: DataFrame, id_col: str, text_col: str, context: int) -> DataFrame:
-    """(id_col, k1, k2, base, near): spans and context terms of each row; k1 and k2 stand for the row's id and text."""
+def _scan(docs: DataFrame, text_col: str, carry: list[str]) -> DataFrame:
+    """(_row, k1, k2, salt, found, base, text) of each row; k1 and k2 stand for the text, which is kept where it holds a base span."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    keys = [F.xxhash64(F.col(id_col).cast("string")).alias("k1"), F.xxhash64(text).alias("k2")]
-    found = docs.select(F.col(id_col), *keys, text.alias("_text"), base_spans(text).alias("base"))
-    near = F.when(F.size("base") > 0, _context_terms(F.col("_text"), F.col("base"), context)).otherwise(F.expr("cast(array() as array<struct<entity:string,term:string,start:int,end:int>>)"))
-    return materialize(found.select(id_col, "k1", "k2", "base", near.alias("near")), "entities")
-
-
-def _term_counts(docs: DataFrame, text_col: str, terms: DataFrame) -> DataFrame:
-    """(term, df): documents that hold each of the terms."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("_row"), text.alias("_text"))
+    rows = rows.select("_row", "_text", base_spans(F.col("_text")).alias("base"))
+    second = F.shiftleft(F.hash("_text").cast("bigint"), 32).bitwiseOR(F.length("_text"))
+    return materialize(rows.select(
+        "_row", F.xxhash64("_text").alias("k1"), second.alias("k2"), F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int").alias("salt"),
+        (F.size("base") > 0).alias("found"), "base", F.when(F.size("base") > 0, F.col("_text")).alias("text"),
+    ), "entities")
+
+
+def _held(texts: DataFrame, support: int) -> DataFrame:
+    """(k1, k2, copies, entity, dfc): the entities of each text that at least `support` texts hold; dfc counts rows."""
+    each = texts.select("k1", "k2", "copies", F.explode(_entities(F.col("base"))).alias("entity"))
+    counts = each.groupBy("entity").agg(F.sum("copies").alias("dfc"), F.count("*").alias("texts")).filter(F.col("texts") >= support)
+    counts = materialize(counts, "entity-counts")
+    places = counts.agg(F.coalesce(F.sum("texts"), F.lit(0))).first()[0]
+    hot = F.col("texts") * HOT > F.lit(places)
+    some = F.broadcast(counts.filter(hot).select("entity", "dfc"))  # fewer than HOT entities
+    cold = each.join(some.select("entity"), "entity", "left_anti").join(counts.filter(~hot).select("entity", "dfc"), "entity")
+    return materialize(each.join(some, "entity").unionByName(cold), "held")
+
+
+def _candidates(texts: DataFrame, held: DataFrame) -> DataFrame:
+    """(k1, k2, copies, entity, dfc, term): the terms of each text beside each of its entities."""
+    own = texts.join(held.select("k1", "k2").distinct(), ["k1", "k2"], "left_semi")
+    words = F.filter(_words(F.col("text")), lambda w: spans.apart(w, F.col("base")))
+    terms = own.select("k1", "k2", F.explode(F.array_distinct(F.transform(words, lambda w: w["value"]))).alias("term"))
+    return held.join(terms, ["k1", "k2"])
+
+
+def revealing(docs: DataFrame, texts: DataFrame, held: DataFrame, rows: int, text_col: str, disclosure: float, removal: float, support: int) -> DataFrame:
+    """(entity, term, removed): pairs whose share of the entity's information exceeds a threshold."""
+    pairs = _candidates(texts, held).groupBy("entity", "term").agg(F.sum("copies").alias("both"), F.count("*").alias("texts"), F.first("dfc").alias("dfc"))
+    content = F.log2(F.lit(float(max(rows, 1))) / F.col("dfc"))
+    share = lambda df: F.when(content > 0, F.log2(F.lit(float(max(rows, 1))) * F.col("both") / (F.col("dfc") * df)) / content).otherwise(0.0)
+    # No term stands in fewer rows than the pair, which already rules out most pairs.
+    pairs = materialize(pairs.filter((F.col("texts") >= support) & (share(F.col("both")) >= disclosure)).drop("texts"), "pairs")
     text = F.concat(F.lit(" "), F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.lit(" "))
     words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)))).alias("term"))
-    if terms.count() <= BROADCAST_TERMS:
-        return words.join(F.broadcast(terms), "term").groupBy("term").agg(F.count("*").alias("df"))
-    return words.groupBy("term").agg(F.count("*").alias("df")).join(terms, "term")
-
-
-def revealing(docs: DataFrame, scanned: DataFrame, text_col: str, disclosure: float, removal: float, support: int) -> DataFrame:
-    """(entity, term, removed): pairs whose share of the entity's information exceeds a threshold."""
-    n = scanned.count()
-    entities = scanned.filter("size(base) > 0").select(F.explode(F.array_distinct(F.transform("base", lambda s: F.concat_ws(":", s["kind"], F.lower(s["value"]))))).alias("entity"))
-    entities = entities.groupBy("entity").agg(F.count("*").alias("dfc")).filter(F.col("dfc") >= support)
-    pairs = scanned.filter("size(near) > 0").select(F.explode(F.array_distinct(F.transform("near", lambda w: F.struct(w["entity"].alias("entity"), w["term"].alias("term"))))).alias("p"))
-    pairs = pairs.groupBy("p.entity", "p.term").agg(F.count("*").alias("both")).filter(F.col("both") >= support)
-    pairs = materialize(pairs.join(entities, "entity"), "pairs")
-    terms = materialize(pairs.select("term").distinct(), "terms")
-    known = pairs.join(_term_counts(docs, text_col, terms), "term")
-    pmi = F.log2(F.lit(float(max(n, 1))) * F.col("both") / (F.col("dfc") * F.greatest("df", "both")))
-    content = F.log2(F.lit(float(max(n, 1))) / F.col("dfc"))
-    share = F.when(content > 0, pmi / content).otherwise(0.0)
-    return materialize(known.filter(share >= disclosure).select("entity", "term", (share >= removal).alias("removed")), "revealing")
-
-
-def _term_spans(scanned: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(k1, k2, terms array<SPAN>) of the rows in which a revealing term stands; value is 'removed' or 'generalised'."""
-    near = scanned.filter("size(near) > 0").select("k1", "k2", "near").dropDuplicates(["k1", "k2"])
-    each = near.select("k1", "k2", F.explode("near").alias("w")).select("k1", "k2", "w.*").join(pairs, ["entity", "term"])
-    one = each.groupBy("k1", "k2", "start", "end").agg(F.max("removed").alias("removed"))
+    counts = words.groupBy("term").agg(F.count("*").alias("df")).filter(F.col("df") >= support)
+    known = pairs.join(counts, "term")
+    exact = share(F.greatest("df", "both"))
+    return materialize(known.filter(exact >= disclosure).select("entity", "term", (exact >= removal).alias("removed")), "revealing")
+
+
+def _term_spans(texts: DataFrame, held: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(k1, k2, terms array<SPAN>) of the texts in which a revealing term stands; value is 'removed' or 'generalised'."""
+    named = held.join(pairs.select("entity").distinct(), "entity", "left_semi")
+    hit = _candidates(texts, named).join(pairs, ["entity", "term"]).groupBy("k1", "k2", "term").agg(F.max("removed").alias("removed"))
+    own = texts.join(hit.select("k1", "k2").distinct(), ["k1", "k2"], "left_semi")
+    words = own.select("k1", "k2", F.explode(F.filter(_words(F.col("text")), lambda w: spans.apart(w, F.col("base")))).alias("w"))
+    each = words.select("k1", "k2", F.col("w.value").alias("term"), "w.start", "w.end").join(hit, ["k1", "k2", "term"])
     span = F.struct(F.lit("term").alias("kind"), "start", "end", F.when(F.col("removed"), "removed").otherwise("generalised").alias("value"))
-    return one.groupBy("k1", "k2").agg(F.collect_list(span).alias("terms"))
+    return each.groupBy("k1", "k2").agg(F.collect_list(span).alias("terms"))
 
 
 def find_personal_data(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    context: int = CONTEXT,
-    disclosure: float = DISCLOSURE,
-    removal: float = REMOVAL,
-    support: int = SUPPORT,
+    docs: DataFrame, text_col: str = "text", carry: list[str] | None = None, disclosure: float = DISCLOSURE, removal: float = REMOVAL, support: int = SUPPORT
 ) -> DataFrame:
-    """(id_col, k1, k2, base array<SPAN>, spans array<SPAN>), one row per row of docs."""
-    scanned = _scan(docs, id_col, text_col, context)
-    terms = _term_spans(scanned, revealing(docs, scanned, text_col, disclosure, removal, support))
-    found = scanned.join(terms, ["k1", "k2"], "left")
-    return found.select(id_col, "k1", "k2", "base", F.concat("base", F.coalesce("terms", spans.no_spans())).alias("spans"))
-
-
-def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size_col: str | None = None, **options) -> DataFrame:
+    """Each row of docs (or its columns carry) as struct _row, with base and spans, both array<SPAN>."""
+    scanned = _scan(docs, text_col, carry or docs.columns)
+    rows = scanned.count()
+    texts = scanned.filter("found").groupBy("k1", "k2").agg(F.count("*").alias("copies"), F.first(F.struct("base", "text")).alias("one"))
+    texts = materialize(texts.select("k1", "k2", "copies", "one.*"), "entity-texts")
+    held = _held(texts, support)
+    terms = _term_spans(texts, held, revealing(docs, texts, held, rows, text_col, disclosure, removal, support))
+    terms = materialize(terms.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), "terms")
+    own = scanned.filter("found").join(terms, ["k1", "k2", "salt"], "left")
+    own = own.select("_row", "base", F.concat("base", F.coalesce("terms", spans.no_spans())).alias("spans"))
+    return scanned.filter("not found").select("_row", "base", F.col("base").alias("spans")).unionByName(own)
+
+
+def sanitise(docs: DataFrame, text_col: str = "text", size_col: str | None = None, **options) -> DataFrame:
     """docs with personal data in the text column replaced; all rows and other columns stay, but size_col gets a changed text's length."""
-    found = find_personal_data(docs, id_col, text_col, **options).filter("size(spans) > 0").select("k1", "k2", "spans").dropDuplicates(["k1", "k2"])
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    keyed = docs.select(F.struct("*").alias("_row"), F.xxhash64(F.col(id_col).cast("string")).alias("k1"), F.xxhash64(text).alias("k2"), F.col(text_col).cast("string").alias("_text"))
-    both = keyed.join(found, ["k1", "k2"], "left")
+    found = find_personal_data(docs, text_col, **options)
+    text, changed = F.col(f"_row.`{text_col}`").cast("string"), F.size("spans") > 0
 
     def mask(s: Column) -> Column:
-        generalised = F.concat(F.substring("_text", s["start"] + 1, F.lit(1)), F.lit("."))
+        generalised = F.concat(F.substring(text, s["start"] + 1, F.lit(1)), F.lit("."))
         return F.when(s["kind"] != "term", F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))).when(s["value"] == "removed", "[TERM]").otherwise(generalised)
 
-    clean = F.when(F.col("_text").isNotNull() & F.col("spans").isNotNull(), spans.replaced(F.col("_text"), F.col("spans"), mask)).otherwise(F.col("_text"))
-    size = F.when(F.col("spans").isNotNull(), F.length("_text").cast("bigint")).otherwise(F.col(f"_row.`{size_col}`")) if size_col in docs.columns else None
-    own = {text_col: F.col("_text"), size_col: size}
-    return both.withColumn("_text", clean).select(*[(own[c] if c in own else F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])
+    clean = found.withColumn("_text", F.when(changed, spans.replaced(text, F.col("spans"), mask)).otherwise(text)).withColumn("_changed", changed)
+    own = {text_col: F.col("_text")}
+    if size_col in docs.columns:
+        own[size_col] = F.when(F.col("_changed"), F.length("_text").cast("bigint")).otherwise(F.col(f"_row.`{size_col}`"))
+    return clean.select(*[(own[c] if c in own else F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = find_personal_data(read_table(spark, sf_dir, "documents"))
+    found = find_personal_data(read_table(spark, sf_dir, "documents"), carry=["doc_id"])
     return found.select(
-        "doc_id",
+        F.col("_row.doc_id").alias("doc_id"),
         *[spans.count(F.col("base"), k).alias(f"n_{k}") for k in KINDS[:4]],
         F.sha2(spans.joined(F.col("base"), KINDS, True).cast("binary"), 256).alias("base_sha256"),
         spans.joined(F.col("spans"), KINDS, True).alias("spans"),

@@ -16,22 +16,42 @@ def no_spans() -> Column:
     return F.expr(f"cast(array() as array<{SPAN}>)")
 
 
+#: Matches that are placed together, so that a text's cost doesn't grow with the square of its matches.
+BLOCK = 64
+
+
+def _sum(sizes: Column) -> Column:
+    return F.aggregate(sizes, F.lit(0), lambda acc, n: acc + n)
+
+
+def let(value: Column, result) -> Column:
+    """result(value), where value is evaluated once."""
+    return F.element_at(F.transform(F.array(value), result), 1)
+
+
 def find(text: Column, pattern: str, kind: str, guard: Column, group: int = 0) -> Column:
     """array<SPAN> of the leftmost non-overlapping matches; value is the group. Texts without guard aren't scanned."""
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     value = whole if group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    sizes = F.transform(F.split(text, pattern, -1), F.length)
-    rows = F.arrays_zip(sizes.alias("skip"), F.transform(whole, F.length).alias("size"), value.alias("value"))
-    start = F.struct(F.lit(0).alias("at"), no_spans().alias("found"))
-
-    def step(acc: Column, row: Column) -> Column:
-        begin = acc["at"] + row["skip"]
-        end = begin + row["size"]
-        span = F.struct(F.lit(kind).alias("kind"), begin.alias("start"), end.alias("end"), row["value"].alias("value"))
-        # The last part has no match after it.
-        return F.struct(F.coalesce(end, begin).alias("at"), F.when(row["size"].isNull(), acc["found"]).otherwise(F.concat(acc["found"], F.array(span))).alias("found"))
-
-    spans = F.aggregate(rows, start, step, lambda acc: acc["found"])
+    skips = F.transform(F.split(text, pattern, -1), F.length)
+    rows = F.arrays_zip(F.slice(skips, 1, F.size(skips) - 1).alias("skip"), F.transform(whole, F.length).alias("size"), value.alias("value"))
+
+    def placed(block: Column, base: Column) -> Column:
+        def at(row: Column, k: Column) -> Column:
+            first = base + F.aggregate(F.slice(block, 1, k), F.lit(0), lambda acc, r: acc + r["skip"] + r["size"]) + row["skip"]
+            return let(first, lambda first: F.struct(F.lit(kind).alias("kind"), first.alias("start"), (first + row["size"]).alias("end"), row["value"].alias("value")))
+
+        return F.transform(block, at)
+
+    def blocks(rows: Column) -> Column:
+        cut = F.transform(F.sequence(F.lit(1), F.size(rows), F.lit(BLOCK)), lambda k: F.slice(rows, k, BLOCK))
+        return let(cut, based)
+
+    def based(cut: Column) -> Column:
+        sums = F.transform(cut, lambda b: F.aggregate(b, F.lit(0), lambda acc, r: acc + r["skip"] + r["size"]))
+        return let(sums, lambda sums: F.flatten(F.transform(cut, lambda b, k: placed(b, _sum(F.slice(sums, 1, k))))))
+
+    spans = let(rows, lambda rows: F.when(F.size(rows) > 0, blocks(rows)).otherwise(no_spans()))
     return F.when(F.coalesce(guard, F.lit(False)), spans).otherwise(no_spans())
 
 

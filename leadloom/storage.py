@@ -12,8 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a folder of our own where it is unset (local runs and tests)."""
+    """spark.checkpoint.dir; in a local session where it is unset (tests), a folder of our own, removed at the end."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.conf.get("spark.master", "local").startswith("local"):
+        raise ValueError("on a cluster, spark.checkpoint.dir names the folder that driver and executors share")
     if not folder:
         Path("/tmp/checkpoints").mkdir(exist_ok=True)
         folder = tempfile.mkdtemp(prefix="leadloom-", dir="/tmp/checkpoints")
@@ -23,7 +25,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A fresh path; all paths of an application lie in one folder, which can be removed when it has ended."""
+    return f"{shared_dir(spark)}/leadloom-{spark.conf.get('spark.app.id')}/{name}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

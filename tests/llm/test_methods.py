@@ -207,23 +207,23 @@ def test_only_equal_labelled_texts_are_dropped(spark):
 
 def test_attention_gradients():
     counts = np.arange(40)[::-1] ** 2
-    vocab = lm.Vocabulary(counts, np.arange(40) % 2 == 0, classes=8, own_slots=16)
-    model = lm.Attention(vocab)
-    model.weights = {k: v.astype(np.float64) for k, v in model.weights.items()}
+    vocab = lm.Vocabulary(counts, np.arange(40) % 2 == 0, classes=16, own_slots=16)
     rng = np.random.default_rng(1)
-    x, y = rng.integers(0, vocab.slots, (3, lm.WINDOW)), rng.integers(0, 8, (3, lm.WINDOW))
-    live = rng.random((3, lm.WINDOW)) < 0.8
+    model = lm.Attention(vocab, rng.integers(0, 9, (vocab.slots, 16)).astype(float))
+    model.weights = {k: v.astype(np.float64) + 0.1 * rng.standard_normal(v.shape) for k, v in model.weights.items()}
+    x, y = rng.integers(0, vocab.slots, (3, lm.WINDOW)), rng.integers(0, 16, (3, lm.STRIDE))
+    live = rng.random((3, lm.STRIDE)) < 0.8
     _, g = model.gradients(x, y, live)
     for name in model.NAMES:
         w = model.weights[name]
-        at = tuple(rng.integers(0, n) for n in w.shape) if name != "embed" else (x[0, 0], 3)
-        old, eps = w[at], 1e-5
+        at, eps = tuple(rng.integers(0, n) for n in w.shape), 1e-3
+        old = w[at]
         w[at] = old + eps
         up = model.gradients(x, y, live)[0]
         w[at] = old - eps
         down = model.gradients(x, y, live)[0]
         w[at] = old
-        assert abs((up - down) / (2 * eps) - g[name][at]) < 1e-4, name
+        assert abs((up - down) / (2 * eps) - g[name][at]) < 1e-3, name
 
 
 def test_probabilities_add_up_and_training_helps():
@@ -235,13 +235,25 @@ def test_probabilities_add_up_and_training_helps():
     assert abs(sum(10.0**s for s in scores) - 1) < 1e-3
     text = [np.array([0, 1, 6, 7, 9] * 40)] * 8
     before = lm.sequence_scores(text, vocab, model).sum()
-    for turn in range(10):
-        x, y, ids = lm._examples(text, vocab)
-        model.fit(x, y, (ids >= 0) & (ids < 10), turn)
+    model = lm.Attention(vocab, np.random.default_rng(2).integers(1, 3, (vocab.slots, 4)).astype(float))
+    for _ in range(30):
+        model.fit((x, y, live) for x, y, _, live in lm._examples(text, vocab, 16))
     assert lm.sequence_scores(text, vocab, model).sum() > before * 0.8
     assert np.allclose(lm.sequence_scores(text[:1], vocab, model)[0] * 8, lm.sequence_scores(text, vocab, model).sum())
 
 
+def test_every_training_document_is_trained_on_once(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    vocab = lm.Vocabulary(np.arange(1, 41), np.arange(40) % 2 == 0)
+    rows = [(k, rng.integers(0, 39, 50).astype("<u4").tobytes()) for k in range(90)]
+    df = spark.createDataFrame(rows, "rid bigint, ids binary")
+    monkeypatch.setattr(lm, "TRAINER_IDS", 1000)
+    after = lm.class_counts(df, vocab)
+    assert after.sum() == 90 * 50 and lm.id_counts(df, 40).sum() == 90 * 50
+    one, other = (lm.train_attention(df.repartition(n), vocab, after, 90 * 50).vector() for n in (1, 5))
+    assert np.allclose(one, other, atol=1e-4) and not np.allclose(one, lm.Attention(vocab, after).vector())
+
+
 def test_windows_score_each_token_once():
     ids, starts, lengths = lm.windows([np.arange(5), np.arange(100), np.arange(1)], -7)
     first = lm.WINDOW - lm.STRIDE
@@ -305,12 +317,13 @@ def test_terms_that_reveal_an_entity(spark):
     rng = random.Random(6)
     filler = [f"filler{chr(97 + k // 26)}{chr(97 + k % 26)}" .replace("0", "") for k in range(200)]
     rows = [(k, " ".join(rng.choice(filler) for _ in range(30))) for k in range(200)]
-    rows += [(300 + k, f"{rng.choice(filler)} contact Zephyrine at zeph@mail.org {rng.choice(filler)}") for k in range(3)]
+    rows += [(300 + k, f"{rng.choice(filler)} Zephyrine contact {' '.join(rng.choice(filler) for _ in range(40))} at zeph@mail.org {rng.choice(filler)}") for k in range(3)]
     rows += [(400 + k, f"contact somebody at {rng.choice(filler)}") for k in range(100)]
-    out = pii.find_personal_data(spark.createDataFrame(rows, "doc_id bigint, text string"))
-    text = dict(rows)
-    got = {text[r.doc_id][s.start : s.end] for r in out.filter("doc_id between 300 and 399").collect() for s in r.spans if s.kind == "term"}
+    rows += [(600 + k, "Copied Quixote has solo@mail.org") for k in range(5)]
+    out = pii.find_personal_data(spark.createDataFrame(rows, "doc_id bigint, text string")).select("_row.*", "spans")
+    got = {r.text[s.start : s.end] for r in out.filter("doc_id between 300 and 399").collect() for s in r.spans if s.kind == "term"}
     assert "Zephyrine" in got and "contact" not in got
+    assert not [s for r in out.filter("doc_id >= 600").collect() for s in r.spans if s.kind == "term"]  # copies are one text
 
 
 def test_nn_descent_links(spark):
@@ -339,12 +352,11 @@ def test_base_scores_do_not_depend_on_the_broadcast_list(spark):
     rng = random.Random(8)
     docs = [(k, " ".join(f"Wörd{int(rng.paretovariate(0.6)) % 50}" for _ in range(rng.randint(0, 30)))) for k in range(60)] + [(60, None), (61, "never seen")]
     df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)
-    train = df.filter("doc_id < 40")
     tokens = lambda t: [*(w.lower() for w in (t or "").split()), ""]
     counts = Counter(w for k, t in docs if k < 40 for w in tokens(t))
     n, v = sum(counts.values()), len(counts)
     for frequent in (lm.FREQUENT, 5, 0):
-        for r in lm.score_documents(df, train, vocabulary_path(), frequent=frequent).collect():
+        for r in lm.score_documents(df, F.col("doc_id") < 40, vocabulary_path(), frequent=frequent).collect():
             own = tokens(r._row.text)
             assert (r.n_tokens, r.n_known, r.train_tokens) == (len(own), sum(w in counts for w in own), n)
             assert abs(r.base_score - sum(np.log10((counts[w] + 1) / (n + v + 1)) for w in own)) < 1e-6
