@@ -18,8 +18,8 @@ FREIGHT = r"(?i)(autotrasport|trasport[oi]\s+merci|conto\s+terzi|trasporti\s+(?:
 MODELS = [
     ("B2B_manufacturing", "manifatt|industr|meccanic|metalmecc|produzione|produttor|component|impiant|stamp|lavorazione|utensil|macchinari|arredo|serrament|automazione|fonderia|plastica|gomma"),
     ("professional_local", "dentist|odontoiatr|medic|clinic|poliambulator|fisioterap|studio (?:legale|tecnico|dentistico|medico)|avvocat|commercialist|architett|ingegner|notai|veterinar|psicolog|centro (?:medico|estetico|specializzato)"),
-    ("hospitality_retail", "ristorant|pizzeri|trattoria|osteria|hotel|albergo|agriturismo|catering|gelateria|pasticceria|resort|ricettiv"),
-    ("B2C_product", "e-?commerce|negozio|store|abbigliament|calzatur|gioieller|cosmesi|profumeria|alimentar|enotec|cantina|food|moda"),
+    ("hospitality_retail", r"ristorant|pizzeri|trattoria|osteria|hotel|albergo|\bb&b\b|agriturismo|bar\b|catering|gelateria|pasticceria|caff[eè]|resort|ricettiv"),
+    ("B2C_product", r"e-?commerce|negozio|\bshop\b|store|abbigliament|calzatur|gioieller|cosmesi|profumeria|alimentar|enotec|cantina|food|moda|design (?:prodotto)?"),
 ]
 
 
@@ -28,14 +28,25 @@ def name_tokens(name: Column) -> Column:
     return F.array_distinct(F.filter(words, lambda t: (F.length(t) > 2) & ~t.isin(LEGAL)))
 
 
-def names_match(a: Column, b: Column) -> Column:
-    """Whether two firm names name one firm: one shared word only if it is all of both; else containment or half of the union."""
-    x, y = name_tokens(a), name_tokens(b)
+def tokens_match(x: Column, y: Column) -> Column:
+    """Whether two sets of name tokens name one firm: one shared word only if it is all of both; else containment or half of the union."""
     shared = F.size(F.array_intersect(x, y))
     two = (shared == F.size(x)) | (shared == F.size(y)) | (shared / F.size(F.array_union(x, y)) >= 0.5)
     return F.coalesce(F.when(shared == 1, (F.size(x) == 1) & (F.size(y) == 1)).when(shared > 1, two).otherwise(False), F.lit(False))
 
 
+def names_match(a: Column, b: Column) -> Column:
+    """tokens_match of two firm names."""
+    return tokens_match(name_tokens(a), name_tokens(b))
+
+
+def match_keys(tokens: Column) -> Column:
+    """Keys of sorted name tokens; two sets that tokens_match accepts share one: the only token, or a pair of tokens."""
+    rest = lambda i: F.slice(tokens, i + 2, F.size(tokens))
+    pairs = F.flatten(F.transform(tokens, lambda t, i: F.transform(rest(i), lambda u: F.concat_ws(" ", t, u))))
+    return F.when(F.size(tokens) == 1, tokens).otherwise(pairs)
+
+
 def wrong_entity(fetched: Column, own: Column) -> Column:
     """Whether fetched data must be refused; a missing name refuses."""
     return ~names_match(fetched, own)
@@ -52,8 +63,9 @@ def off_target(name: Column) -> Column:
     return F.coalesce(name.rlike(HARD) | (name.rlike(SOFT) & ~name.rlike(FREIGHT)), F.lit(False))
 
 
-def business_model(category: Column) -> Column:
-    text = F.lower(category)
+def business_model(category: Column, shown: Column | None = None) -> Column:
+    """The first model whose words stand in the category and what the lead was shown under."""
+    text = F.lower(F.concat(F.coalesce(category, F.lit("")), F.lit(" "), F.coalesce(shown, F.lit("")) if shown is not None else F.lit("")))
     out = F.lit("unknown")
     for model, words in reversed(MODELS):
         out = F.when(text.rlike(words), model).otherwise(out)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from leadloom.functions.contact import phone_key, suppression_phone, vat_digits
 from leadloom.functions.text import company_key_text, filled, key_text
+from leadloom.operators.gates import match_keys, name_tokens, tokens_match
 
 
 def suppression_keys(rows: DataFrame, *columns: str) -> DataFrame:
@@ -28,30 +29,58 @@ def clear_emails(leads: DataFrame, listed: DataFrame) -> DataFrame:
     return out.withColumns({c: F.when(F.col("hit").isNull(), F.col(c)) for c in ("email", "email_status")}).drop("e", "hit")
 
 
-def match_portal(leads: DataFrame, portal: DataFrame) -> DataFrame:
-    """(rec, seq, how): each portal record's lead by a unique phone, else by phone and name, else by a unique name and
-    city; seq is null and how is ambiguous or unmatched where none is sure."""
-    name = company_key_text(F.col("company_name"))
-    own = leads.select("seq", phone_key(F.col("phone")).alias("phone"), name.alias("name"), key_text(F.col("city")).alias("city"))
-    rec = portal.select("rec", phone_key(F.col("phone")).alias("phone"), name.alias("name"), key_text(F.col("city")).alias("city"))
+def _named(rec: DataFrame, own: DataFrame, place: str) -> DataFrame:
+    """(place, words, n, first): how many leads of a record's place have a matching name, and the first of them.
+
+    Each spelling of a place is compared once, with spellings that share a key; leads are counted by spelling before.
+    """
+    known = own.filter(F.col(place).isNotNull()).groupBy(place, F.col("words").alias("own")).agg(F.count("*").alias("n"), F.min("seq").alias("first"))
+    asked = rec.filter(F.col(place).isNotNull()).select(place, "words").distinct()
+    hits = asked.withColumn("k", F.explode(match_keys(F.col("words")))).join(known.withColumn("k", F.explode(match_keys(F.col("own")))), [place, "k"])
+    hits = hits.filter(tokens_match(F.col("words"), F.col("own"))).select(place, "words", "own", "n", "first").distinct()
+    return hits.groupBy(place, "words").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
 
-    def stage(keys: list[str], how: str) -> DataFrame:
-        pairs = rec.join(own.select("seq", *keys), keys).groupBy("rec").agg(F.count("*").alias("n"), F.min("seq").alias("seq"))
-        return pairs.select("rec", F.col("n").alias(f"n_{how}"), F.when(F.col("n") == 1, F.col("seq")).alias(f"seq_{how}"))
 
-    out = rec.select("rec")
-    for keys, how in ((["phone"], "phone"), (["phone", "name"], "phone_name"), (["name", "city"], "name_city")):
-        out = out.join(stage(keys, how), "rec", "left")
-    how = F.when(F.col("seq_phone").isNotNull(), "phone").when(F.col("seq_phone_name").isNotNull(), "phone_name").when(F.col("seq_name_city").isNotNull(), "name_city")
-    how = how.when(F.coalesce("n_phone", "n_name_city").isNotNull(), "ambiguous").otherwise("unmatched")
-    return out.select("rec", F.coalesce("seq_phone", "seq_phone_name", "seq_name_city").alias("seq"), how.alias("how"))
+def match_portal(leads: DataFrame, portal: DataFrame) -> DataFrame:
+    """(rec, seq, how): each portal record's lead, or a null seq where none is sure.
+
+    A phone that one lead has decides: that lead (phone), or nothing if its name is another firm's (mismatch). Of
+    several leads with the phone, the only one with a matching name (phone_name), else nothing (ambiguous). Without
+    leads of the phone: the only lead of the same name and city (name_city), else the only one of the city with a
+    matching name (fuzzy), else nothing (ambiguous or unmatched). Leads are counted for each key before the joins.
+    """
+    name, city = company_key_text(F.col("company_name")), key_text(F.col("city"))
+    keys = [
+        phone_key(F.col("phone")).alias("phone"), F.when(city != "", city).alias("city"), F.array_sort(name_tokens(F.col("company_name"))).alias("words"),
+        F.when((F.length(name) >= 3) & (F.length(city) >= 2), F.concat_ws("|", name, city)).alias("key"),
+    ]
+    own, rec = leads.select("seq", *keys), portal.select("rec", filled(F.col("company_name")).isNotNull().alias("named"), *keys)
+    count = lambda k: own.filter(F.col(k).isNotNull()).groupBy(k).agg(F.count("*").alias(f"n_{k}"), F.min("seq").alias(f"seq_{k}"), F.min_by("words", "seq").alias(f"words_{k}"))
+    out = rec.join(count("phone"), "phone", "left").join(count("key").drop("words_key"), "key", "left")
+    shared = out.filter("n_phone > 1")
+    for place, some in (("phone", shared), ("city", rec)):
+        found = _named(some, own, place).select(place, "words", F.col("n").alias(f"like_{place}"), F.col("first").alias(f"first_{place}"))
+        out = out.join(found, [place, "words"], "left")
+    same = ~F.col("named") | tokens_match(F.col("words"), F.col("words_phone"))
+    how = (
+        F.when(F.col("n_phone") == 1, F.when(same, "phone").otherwise("mismatch"))
+        .when(F.col("n_phone") > 1, F.when(F.col("like_phone") == 1, "phone_name").otherwise("ambiguous"))
+        .when(F.col("n_key") == 1, "name_city")
+        .when(F.col("like_city") == 1, "fuzzy")
+        .when(F.col("like_city") > 1, "ambiguous")
+        .otherwise("unmatched")
+    )
+    seq = F.when(F.col("how") == "phone", F.col("seq_phone")).when(F.col("how") == "phone_name", F.col("first_phone"))
+    seq = seq.when(F.col("how") == "name_city", F.col("seq_key")).when(F.col("how") == "fuzzy", F.col("first_city"))
+    return out.withColumn("how", how).select("rec", seq.alias("seq"), "how")
 
 
 def attach_portal(leads: DataFrame, portal: DataFrame, matches: DataFrame) -> DataFrame:
-    """(seq, phone, listings, portal_records): leads with what their records add; present values stay."""
-    found = matches.filter("seq is not null").join(portal.select("rec", F.col("phone").alias("p_phone"), "listings"), "rec")
-    best = found.groupBy("seq").agg(F.min_by("p_phone", F.when(F.col("p_phone").isNotNull(), F.col("rec"))).alias("p_phone"), F.max("listings").alias("listings"), F.count("*").alias("portal_records"))
-    return leads.join(best, "seq").select("seq", F.coalesce(filled(F.col("phone")), F.col("p_phone")).alias("phone"), "listings", "portal_records")
+    """(seq, phone, listings, portal_records): leads with what their records add, of the first record that has it. The
+    lead's phone stays as it is, since a portal may print a number of its own."""
+    found = matches.filter("seq is not null").join(portal.select("rec", "listings"), "rec")
+    best = found.groupBy("seq").agg(F.min_by("listings", F.when(F.col("listings").isNotNull(), F.col("rec"))).alias("listings"), F.count("*").alias("portal_records"))
+    return leads.join(best, "seq").select("seq", filled(F.col("phone")).alias("phone"), "listings", "portal_records")
 
 
 def outbound(leads: DataFrame) -> DataFrame:

@@ -47,11 +47,13 @@ def aliases(keyed: DataFrame) -> DataFrame:
 
 
 def review_pairs(keyed: DataFrame) -> DataFrame:
-    """(rule, key, existing, incoming): pairs to look at, each against the first lead of its key; never merged."""
+    """(rule, key, existing, incoming): pairs to look at, each against the first lead of its key; never merged. Meant for
+    leads that no exact key has merged; the first of a key is an aggregate, so a hot key is no group in one task."""
 
     def against_first(key: str, rule: str) -> DataFrame:
-        w = Window.partitionBy(key).orderBy("seq")
-        rows = keyed.filter(F.col(key).isNotNull()).withColumn("f", F.first(F.struct("seq", "k_name_city", "website")).over(w))
+        rows = keyed.filter(F.col(key).isNotNull())
+        first = rows.groupBy(key).agg(F.min_by(F.struct("seq", "k_name_city", "website"), "seq").alias("f"))
+        rows = rows.join(first, key)
         return rows.filter((F.col("seq") != F.col("f.seq")) & ~F.col("k_name_city").eqNullSafe(F.col("f.k_name_city"))).withColumn("rule", F.lit(rule)).withColumn("key", F.col(key))
 
     words = against_first("k_sorted", "token_sort_name_city")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +15,7 @@ from leadloom.functions.text import has
 #: How far an e-mail of a status counts.
 EMAIL_FACTORS = {"deliverable": 1.0, "pec": 0.9, "catch_all": 0.55, "invalid": 0.05}
 EMAIL_UNKNOWN = 0.5
+SOCIAL = ["instagram", "facebook", "linkedin", "tiktok", "youtube"]
 
 
 def quality() -> Column:
@@ -24,27 +28,35 @@ def quality() -> Column:
     return round_up(F.when(total == 0, part(name, 0.1)).otherwise(F.least(total, F.lit(1.0))), 3)
 
 
-def lead_score() -> Column:
-    """Weighted completeness and reputation, 0 to 1 with three decimals."""
+def lead_score(columns: list[str]) -> Column:
+    """Weighted completeness and reputation, 0 to 1 with three decimals, of a lead with the columns; a part that is missing
+    or has no column counts nothing, and the other parts keep their weights."""
+    part = lambda *names: functools.reduce(operator.or_, [has(F.col(c)) for c in names if c in columns], F.lit(False))
+    one = lambda *names: F.when(part(*names), 1.0).otherwise(0.0)
+    text = lambda c: F.col(c).cast("string") if c in columns else F.lit(None).cast("string")
+    yes = lambda c: F.when(text(c) == "true", 1.0).otherwise(0.0)
     email = F.lit(EMAIL_UNKNOWN)
     for status, factor in EMAIL_FACTORS.items():
-        email = F.when(F.col("email_status") == status, factor).otherwise(email)
-    one = lambda c, w: F.when(has(F.col(c)), w).otherwise(0.0)
-    rating, reviews = parse_number(F.col("rating")), F.coalesce(parse_number(F.col("reviews_count")), F.lit(0.0))
+        email = F.when(text("email_status") == status, factor).otherwise(email)
+    rating, reviews = parse_number(text("rating")), F.coalesce(parse_number(text("reviews_count")), F.lit(0.0))
     fame = 0.3 + 0.7 * clamp((rating - 3) / 2) * F.least(F.lit(1.0), F.log10(1 + reviews) / 2)
+    social = sum((one(c) for c in SOCIAL), F.lit(0.0))
+    listings = F.least(F.lit(1.0), F.log10(1 + F.coalesce(parse_number(text("portal_listings_count")), F.lit(0.0))) / 2)
     total = (
-        0.3 * F.when(has(F.col("email")), email).otherwise(0.0)
-        + 0.15 * one("website", 0.4)
-        + 0.15 * (one("vat_code", 0.25) + one("revenue", 0.25) + one("employees", 0.25))
-        + 0.1 * one("phone", 1.0)
+        0.3 * F.when(part("email_inferred", "email"), email).otherwise(0.0)
+        + 0.15 * F.when(part("official_website"), 1.0).when(part("website"), 0.4).otherwise(0.0)
+        + 0.15 * 0.25 * (one("vat_code_final") + one("revenue") + one("employees", "share_capital", "legal_form") + one("decision_maker_name"))
+        + 0.1 * one("phone")
         + 0.1 * F.when(rating.between(0, 5), fame).otherwise(0.0)
-        + 0.05 * F.when(F.col("email_status") == "pec", 1.0).otherwise(0.0)
+        + 0.1 * F.least(F.lit(3.0), social) / 3
+        + 0.05 * one("pec")
+        + 0.05 * (0.5 * listings + 0.25 * yes("portal_is_paid") + 0.25 * yes("portal_fiaip"))
     )
     return round_up(clamp(total), 3)
 
 
 def scored(leads: DataFrame) -> DataFrame:
-    return leads.withColumn("score", lead_score())
+    return leads.withColumn("score", lead_score(leads.columns))
 
 
 def ranked(scores: DataFrame, top: int) -> DataFrame:

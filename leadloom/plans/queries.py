@@ -256,13 +256,17 @@ def q_suppression_dropped(spark, sf):
     return match.suppress(leads(spark, sf), _listed(spark, sf))[1].select("seq")
 
 
-PORTAL_MATCH = f"""own AS (SELECT seq, {_phone('phone')} AS phone, {_name('company_name')} AS name, {KEY_TEXT.format('city')} AS city FROM leads),
-rec AS (SELECT rec, {_phone('phone')} AS phone, {_name('company_name')} AS name, {KEY_TEXT.format('city')} AS city FROM portal),
-p AS (SELECT rec, count(*) AS n, CASE WHEN count(*) = 1 THEN min(seq) END AS seq FROM rec JOIN own USING (phone) GROUP BY rec),
-pn AS (SELECT rec, count(*) AS n, CASE WHEN count(*) = 1 THEN min(seq) END AS seq FROM rec JOIN own USING (phone, name) GROUP BY rec),
-nc AS (SELECT rec, count(*) AS n, CASE WHEN count(*) = 1 THEN min(seq) END AS seq FROM rec JOIN own USING (name, city) GROUP BY rec),
-matches AS (SELECT r.rec, coalesce(p.seq, pn.seq, nc.seq) AS seq, CASE WHEN p.seq IS NOT NULL THEN 'phone' WHEN pn.seq IS NOT NULL THEN 'phone_name' WHEN nc.seq IS NOT NULL THEN 'name_city' WHEN coalesce(p.n, nc.n) IS NOT NULL THEN 'ambiguous' ELSE 'unmatched' END AS how
-  FROM rec r LEFT JOIN p ON r.rec = p.rec LEFT JOIN pn ON r.rec = pn.rec LEFT JOIN nc ON r.rec = nc.rec)"""
+_TOKENS = "list_sort(list_distinct(list_filter(string_split({0}, ' '), lambda t: length(t) > 2 AND t NOT IN ('srl', 'srls', 'spa', 'snc', 'sas', 'sapa', 'scarl', 'scrl', 'soc', 'coop'))))"
+_SHARED = "len(list_intersect(r.words, o.words))"
+_LIKE = f"CASE {_SHARED} WHEN 0 THEN false WHEN 1 THEN len(r.words) = 1 AND len(o.words) = 1 ELSE {_SHARED} = len(r.words) OR {_SHARED} = len(o.words) OR {_SHARED}::DOUBLE / (len(r.words) + len(o.words) - {_SHARED}) >= 0.5 END"
+_KEYS = f"{_phone('phone')} AS phone, nullif({KEY_TEXT.format('city')}, '') AS city, {_name('company_name')} AS name, {_TOKENS.format(_name('company_name'))} AS words"
+PORTAL_MATCH = f"""own AS (SELECT seq, {_KEYS} FROM leads), rec AS (SELECT rec, coalesce(company_name <> '', false) AS named, {_KEYS} FROM portal),
+p AS (SELECT rec, count(*) AS n, min(seq) AS seq, bool_and(NOT named OR coalesce({_LIKE}, false)) AS same, count_if({_LIKE}) AS likes, min(seq) FILTER (WHERE {_LIKE}) AS first FROM rec r JOIN own o ON r.phone = o.phone GROUP BY rec),
+nc AS (SELECT rec, count(*) AS n, min(seq) AS seq FROM rec r JOIN own o ON r.name = o.name AND r.city = o.city WHERE length(r.name) >= 3 AND length(r.city) >= 2 GROUP BY rec),
+fz AS (SELECT rec, count(*) AS n, min(seq) AS seq FROM rec r JOIN own o ON r.city = o.city WHERE {_LIKE} GROUP BY rec),
+ways AS (SELECT r.rec, p.seq AS p_seq, p.first AS p_first, nc.seq AS nc_seq, fz.seq AS fz_seq, CASE WHEN p.n = 1 AND p.same THEN 'phone' WHEN p.n = 1 THEN 'mismatch' WHEN p.likes = 1 THEN 'phone_name' WHEN p.n > 1 THEN 'ambiguous'
+  WHEN nc.n = 1 THEN 'name_city' WHEN fz.n = 1 THEN 'fuzzy' WHEN fz.n > 1 THEN 'ambiguous' ELSE 'unmatched' END AS how FROM rec r LEFT JOIN p ON r.rec = p.rec LEFT JOIN nc ON r.rec = nc.rec LEFT JOIN fz ON r.rec = fz.rec),
+matches AS (SELECT rec, CASE how WHEN 'phone' THEN p_seq WHEN 'phone_name' THEN p_first WHEN 'name_city' THEN nc_seq WHEN 'fuzzy' THEN fz_seq END AS seq, how FROM ways)"""
 
 
 @query("q_portal_join", f"WITH {PORTAL_MATCH} SELECT * FROM matches", "leads", "portal")
@@ -270,18 +274,18 @@ def q_portal_join(spark, sf):
     return match.match_portal(leads(spark, sf), tables.view(spark, sf, "portal"))
 
 
-@query("q_portal_attach", f"""WITH {PORTAL_MATCH}, f AS (SELECT m.seq, first(o.phone ORDER BY o.rec) FILTER (WHERE o.phone IS NOT NULL) AS p_phone, max(listings) AS listings, count(*) AS portal_records FROM matches m JOIN portal o ON m.rec = o.rec WHERE m.seq IS NOT NULL GROUP BY m.seq)
-SELECT seq, coalesce(nullif(l.phone, ''), f.p_phone) AS phone, listings, portal_records FROM leads l JOIN f USING (seq)""", "leads", "portal")
+@query("q_portal_attach", f"""WITH {PORTAL_MATCH}, f AS (SELECT m.seq, first(listings ORDER BY o.rec) FILTER (WHERE listings IS NOT NULL) AS listings, count(*) AS portal_records FROM matches m JOIN portal o ON m.rec = o.rec WHERE m.seq IS NOT NULL GROUP BY m.seq)
+SELECT seq, nullif(l.phone, '') AS phone, listings, portal_records FROM leads l JOIN f USING (seq)""", "leads", "portal")
 def q_portal_attach(spark, sf):
     own, rec = leads(spark, sf), tables.view(spark, sf, "portal")
     return match.attach_portal(own, rec, match.match_portal(own, rec))
 
 
-@query("q_portal_sidecar", f"WITH {PORTAL_MATCH} SELECT DISTINCT o.company_name, o.phone FROM portal o JOIN matches m ON o.rec = m.rec WHERE m.how = 'unmatched' AND o.phone IS NOT NULL", "leads", "portal")
+@query("q_portal_sidecar", f"WITH {PORTAL_MATCH} SELECT DISTINCT o.company_name, o.phone FROM portal o JOIN matches m ON o.rec = m.rec WHERE m.seq IS NULL AND o.phone IS NOT NULL AND o.company_name IS NOT NULL", "leads", "portal")
 def q_portal_sidecar(spark, sf):
     rec = tables.view(spark, sf, "portal")
-    lost = match.match_portal(leads(spark, sf), rec).filter("how <> 'unmatched'").select("rec")
-    return rec.join(lost, "rec", "left_anti").filter("phone is not null").select("company_name", "phone").distinct()
+    lost = match.match_portal(leads(spark, sf), rec).filter("seq is null").select("rec")
+    return rec.join(lost, "rec", "left_semi").filter("phone is not null and company_name is not null").select("company_name", "phone").distinct()
 
 
 @query("q_outbound", f"""WITH k AS (SELECT *, concat_ws('|', {_phone('phone')}, {KEY_TEXT.format('city')}) AS k FROM leads WHERE {_phone('phone')} IS NOT NULL)
@@ -323,10 +327,13 @@ def _number(c: str) -> str:
 _EMAIL_F = "CASE email_status WHEN 'deliverable' THEN 1.0::DOUBLE WHEN 'pec' THEN 0.9::DOUBLE WHEN 'catch_all' THEN 0.55::DOUBLE WHEN 'invalid' THEN 0.05::DOUBLE ELSE 0.5::DOUBLE END"
 _CLAMP = "greatest(0.0::DOUBLE, least(1.0::DOUBLE, {0}))"
 _IF = "CASE WHEN {0} THEN {1}::DOUBLE ELSE 0.0::DOUBLE END"
-SCORES = f"""nums AS (SELECT *, {_number('rating')} AS r, coalesce({_number('reviews_count')}, 0.0::DOUBLE) AS v FROM leads),
-scores AS (SELECT seq, company_name, floor({_CLAMP.format(f'''0.3::DOUBLE * {_IF.format(_HAS.format('email'), '(' + _EMAIL_F + ')')} + 0.15::DOUBLE * {_IF.format(_HAS.format('website'), '0.4')}
- + 0.15::DOUBLE * ({_IF.format(_HAS.format('vat_code'), '0.25')} + {_IF.format(_HAS.format('revenue'), '0.25')} + {_IF.format(_HAS.format('employees'), '0.25')}) + 0.1::DOUBLE * {_IF.format(_HAS.format('phone'), '1.0')}
- + 0.1::DOUBLE * CASE WHEN r BETWEEN 0 AND 5 THEN 0.3::DOUBLE + 0.7::DOUBLE * {_CLAMP.format('(r - 3) / 2')} * least(1.0::DOUBLE, log10(1 + v) / 2) ELSE 0.0::DOUBLE END + 0.05::DOUBLE * {_IF.format("coalesce(email_status = 'pec', false)", '1.0')}''')} * 1000 + 0.5) / 1000 AS score FROM nums)"""
+_ONE = lambda *names: _IF.format(" OR ".join(_HAS.format(c) for c in names), "1.0")
+SCORES = f"""nums AS (SELECT *, {_number('rating')} AS r, coalesce({_number('reviews_count')}, 0.0::DOUBLE) AS v, coalesce(portal_listings_count::DOUBLE, 0.0::DOUBLE) AS found FROM leads),
+scores AS (SELECT seq, company_name, floor({_CLAMP.format(f'''0.3::DOUBLE * {_IF.format(_HAS.format('email'), '(' + _EMAIL_F + ')')} + 0.15::DOUBLE * (CASE WHEN {_HAS.format('official_website')} THEN 1.0::DOUBLE WHEN {_HAS.format('website')} THEN 0.4::DOUBLE ELSE 0.0::DOUBLE END)
+ + 0.15::DOUBLE * 0.25::DOUBLE * ({_ONE('vat_code_final')} + {_ONE('revenue')} + {_ONE('employees', 'legal_form')} + {_ONE('decision_maker_name')}) + 0.1::DOUBLE * {_ONE('phone')}
+ + 0.1::DOUBLE * CASE WHEN r BETWEEN 0 AND 5 THEN 0.3::DOUBLE + 0.7::DOUBLE * {_CLAMP.format('(r - 3) / 2')} * least(1.0::DOUBLE, log10(1 + v) / 2) ELSE 0.0::DOUBLE END
+ + 0.1::DOUBLE * least(3.0::DOUBLE, {_ONE('instagram')} + {_ONE('facebook')} + {_ONE('linkedin')} + {_ONE('tiktok')}) / 3 + 0.05::DOUBLE * {_ONE('pec')}
+ + 0.05::DOUBLE * (0.5::DOUBLE * least(1.0::DOUBLE, log10(1 + found) / 2) + 0.25::DOUBLE * {_IF.format("coalesce(portal_is_paid = 'true', false)", "1.0")} + 0.25::DOUBLE * {_IF.format("coalesce(portal_fiaip = 'true', false)", "1.0")})''')} * 1000 + 0.5) / 1000 AS score FROM nums)"""
 
 
 @query("q_lead_score", f"WITH {SCORES} SELECT seq, score FROM scores", "leads")
@@ -417,7 +424,13 @@ def q_email_extract(spark, sf):
 
 # --- gates and cascades -----------------------------------------------------------------------------------------
 
-_MODEL = "CASE " + " ".join(f"WHEN regexp_matches(lower(category), '{w}') THEN '{m}'" for m, w in gates.MODELS) + " ELSE 'unknown' END"
+#: Fixed values, as the rule states them: words of each business model.
+_MODEL = r"""CASE
+ WHEN regexp_matches(lower(coalesce(category, '')) || ' ', 'manifatt|industr|meccanic|metalmecc|produzione|produttor|component|impiant|stamp|lavorazione|utensil|macchinari|arredo|serrament|automazione|fonderia|plastica|gomma') THEN 'B2B_manufacturing'
+ WHEN regexp_matches(lower(coalesce(category, '')) || ' ', 'dentist|odontoiatr|medic|clinic|poliambulator|fisioterap|studio (?:legale|tecnico|dentistico|medico)|avvocat|commercialist|architett|ingegner|notai|veterinar|psicolog|centro (?:medico|estetico|specializzato)') THEN 'professional_local'
+ WHEN regexp_matches(lower(coalesce(category, '')) || ' ', 'ristorant|pizzeri|trattoria|osteria|hotel|albergo|\bb&b\b|agriturismo|bar\b|catering|gelateria|pasticceria|caff[eè]|resort|ricettiv') THEN 'hospitality_retail'
+ WHEN regexp_matches(lower(coalesce(category, '')) || ' ', 'e-?commerce|negozio|\bshop\b|store|abbigliament|calzatur|gioieller|cosmesi|profumeria|alimentar|enotec|cantina|food|moda|design (?:prodotto)?') THEN 'B2C_product'
+ ELSE 'unknown' END"""
 
 
 @query("q_gates", f"""SELECT seq, {_MODEL} AS model, CASE WHEN regexp_matches(lower(category), 'rivendit|dropship|intermediazion|grossist') THEN 'pure_reseller' WHEN NOT ({_HAS.format('company_name')} OR {_HAS.format('website')} OR {_HAS.format('vat_code')}) THEN 'no_identity' END AS disqualifier,

@@ -63,7 +63,16 @@ SELECT c_custkey AS seq,
   CASE c_custkey % 4 WHEN 0 THEN 'da 10 a 19' WHEN 1 THEN 'oltre 50' ELSE NULL END AS employees,
   CASE c_custkey % 4 WHEN 0 THEN '4,5' WHEN 1 THEN '3.8' WHEN 2 THEN 'N/A' ELSE NULL END AS rating,
   CASE c_custkey % 3 WHEN 0 THEN '(1.234 recensioni)' WHEN 1 THEN '25' ELSE NULL END AS reviews_count,
-  CASE c_custkey % 3 WHEN 0 THEN 'directory' WHEN 1 THEN 'maps' ELSE 'file' END AS source
+  CASE c_custkey % 3 WHEN 0 THEN 'directory' WHEN 1 THEN 'maps' ELSE 'file' END AS source,
+  CASE WHEN c_custkey % 9 = 0 THEN concat('https://ditta', CAST(c_custkey AS VARCHAR(12)), '.it') ELSE NULL END AS official_website,
+  CASE WHEN c_custkey % 8 = 0 THEN lpad(CAST(c_custkey AS VARCHAR(12)), 11, '0') ELSE NULL END AS vat_code_final,
+  CASE WHEN c_custkey % 15 = 0 THEN 'srl' ELSE NULL END AS legal_form,
+  CASE WHEN c_custkey % 17 = 0 THEN 'Mario Rossi' ELSE ' ' END AS decision_maker_name,
+  CASE WHEN c_custkey % 6 = 0 THEN 'i' ELSE NULL END AS instagram, CASE WHEN c_custkey % 4 = 0 THEN 'f' ELSE NULL END AS facebook,
+  CASE WHEN c_custkey % 3 = 0 THEN 'l' ELSE '' END AS linkedin, CASE WHEN c_custkey % 12 = 0 THEN 't' ELSE NULL END AS tiktok,
+  CASE WHEN c_custkey % 10 = 1 THEN 'x@pec.it' ELSE NULL END AS pec,
+  CASE WHEN c_custkey % 5 = 0 THEN CAST(c_custkey % 130 AS VARCHAR(10)) ELSE NULL END AS portal_listings_count,
+  CASE WHEN c_custkey % 20 = 0 THEN 'true' ELSE 'false' END AS portal_is_paid, CASE WHEN c_custkey % 25 = 0 THEN 'true' ELSE NULL END AS portal_fiaip
 FROM customer JOIN nation ON c_nationkey = n_nationkey
 """
 PORTAL_SQL = """

@@ -80,18 +80,44 @@ def test_suppression_and_cleared_emails(spark):
     assert [(r.email, r.email_status) for r in clean.filter("seq = 1").collect()] == [(None, None)]
 
 
+PORTAL = "rec bigint, company_name string, city string, phone string, listings int"
+
+
 def test_portal_match_never_guesses(spark):
     own = leads(spark, dict(company_name="Rossi srl", city="Este", phone="0422000177"), dict(company_name="Verdi srl", city="Este", phone="0422000177"), dict(company_name="Bianchi", city="Este"))
-    rec = spark.createDataFrame([(1, "Rossi S.R.L.", "Padova", "0422 000177", 3), (2, "Neri", "Este", "0422000177", 1), (3, "BIANCHI", "este", None, 2), (4, "Nessuno", "Este", None, 0)], "rec bigint, company_name string, city string, phone string, listings int")
+    rec = spark.createDataFrame([(1, "Rossi S.R.L.", "Padova", "0422 000177", 3), (2, "Neri", "Este", "0422000177", 1), (3, "BIANCHI", "este", None, 2), (4, "Nessuno", "Este", None, 0), (5, "Bianchi", "Este", "0422000177", 0)], PORTAL)
+    got = {r.rec: (r.seq, r.how) for r in match.match_portal(own, rec).collect()}
+    # A phone of several leads decides alone, even where name and city would name one lead.
+    assert got == {1: (0, "phone_name"), 2: (None, "ambiguous"), 3: (2, "name_city"), 4: (None, "unmatched"), 5: (None, "ambiguous")}
+
+
+def test_portal_match_guards_the_phone_and_reads_names_loosely(spark):
+    own = leads(
+        spark, dict(company_name="Rossi srl", city="Este", phone="0422000177"), dict(company_name="Casa Bella Immobiliare srl", city="Este"),
+        dict(company_name="Casa Nuova Affitti", city="Este"), dict(company_name="Casa Nuova Affitti srl", city="Este"), dict(company_name=None, city="Este", phone="0422000188"),
+    )
+    rec = spark.createDataFrame(
+        [(1, "Altra Agenzia", "Este", "0422000177", 3), (2, None, None, "0422000177", 1), (3, "Casa Bella Immobiliare di Mario", "ESTE", None, 2), (4, "Casa Nuova", "Este", None, 1), (5, "Casa", "Este", None, 1), (6, "Uno", "Este", "0422000188", 1), (7, None, None, None, None)],
+        PORTAL,
+    )
     got = {r.rec: (r.seq, r.how) for r in match.match_portal(own, rec).collect()}
-    assert got == {1: (0, "phone_name"), 2: (None, "ambiguous"), 3: (2, "name_city"), 4: (None, "unmatched")}
+    assert got == {1: (None, "mismatch"), 2: (0, "phone"), 3: (1, "fuzzy"), 4: (None, "ambiguous"), 5: (None, "unmatched"), 6: (None, "mismatch"), 7: (None, "unmatched")}
+    added = {r.seq: (r.phone, r.listings, r.portal_records) for r in match.attach_portal(own, rec, match.match_portal(own, rec)).collect()}
+    assert added == {0: ("0422000177", 1, 1), 1: (None, 2, 1)}
 
 
 def test_score_is_monotone_and_bounded(spark):
-    full = dict(email="a@b.it", email_status="deliverable", website="https://x.it", vat_code="1", revenue="1", employees="1", phone="1", rating="5", reviews_count="1000")
+    full = dict(email="a@b.it", email_status="deliverable", website="https://x.it", revenue="1", employees="1", phone="1", rating="5", reviews_count="1000")
     grown = [dict(list(full.items())[:k]) for k in range(len(full) + 1)]
     got = [r.score for r in score.scored(leads(spark, *grown)).orderBy("seq").collect()]
-    assert got == sorted(got) and got[0] == 0 and got[-1] == 0.3 + 0.06 + 0.1125 + 0.1 + 0.1 - 0.0005 + 0.001 or got[-1] <= 1
+    assert got == sorted(got) and got[0] == 0 and got[-1] == 0.635
+
+
+def test_score_of_all_parts(spark):
+    parts = dict(email_inferred="a@b.it", email_status="pec", official_website="x", vat_code_final="1", share_capital="1", decision_maker_name="M", phone="1", rating="4", reviews_count="9", instagram="i", youtube="y", pec="p", portal_listings_count="9", portal_is_paid="true", portal_fiaip="false")
+    rows = spark.createDataFrame([tuple(parts.values())], ", ".join(f"{k} string" for k in parts))
+    wanted = 0.3 * 0.9 + 0.15 + 0.15 * 0.75 + 0.1 + 0.1 * (0.3 + 0.7 * 0.5 * 0.5) + 0.1 * 2 / 3 + 0.05 + 0.05 * (0.25 + 0.25)
+    assert score.scored(rows).first().score == round(wanted, 3)
 
 
 def test_quantiles_by_counts(spark):

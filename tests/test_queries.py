@@ -10,7 +10,7 @@ import pytest
 from leadloom.plans import queries
 
 SMALL = Path("/root/testdata/sf0.001")
-SOME = ["q_coverage_cells", "q_buckets", "q_metrics", "q_dedup_keys", "q_upsert", "q_suppression_kept", "q_portal_join", "q_outbound", "q_lead_score", "q_ledger_by_provider", "q_running_budget", "q_judge_axes", "q_page_links", "q_gates"]
+SOME = ["q_coverage_cells", "q_buckets", "q_metrics", "q_dedup_keys", "q_upsert", "q_suppression_kept", "q_portal_join", "q_portal_attach", "q_portal_sidecar", "q_review_pairs", "q_outbound", "q_lead_score", "q_ledger_by_provider", "q_running_budget", "q_judge_axes", "q_page_links", "q_gates"]
 
 
 @pytest.fixture(scope="module")
