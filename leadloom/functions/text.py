@@ -20,6 +20,11 @@ def strip_diacritics(text: Column) -> Column:
     return F.translate(text, _FROM, _TO)
 
 
+def bind(value: Column, use) -> Column:
+    """use(value) with the value's expression written once, however often use names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def has(value: Column) -> Column:
     """Whether a text holds more than white space."""
     return F.coalesce(F.trim(value) != "", F.lit(False))

@@ -86,7 +86,19 @@ SELECT event_id AS seq, ts, event_type AS provider, event_type <> 'error' AS suc
   CASE WHEN event_type <> 'error' THEN NULL WHEN value < 5 THEN 'timeout' WHEN value < 20 THEN 'empty' ELSE 'blocked' END AS kind
 FROM events
 """
-VIEWS = {"leads": LEADS_SQL, "portal": PORTAL_SQL, "ledger": LEDGER_SQL}
+SITES_SQL = """
+SELECT c_custkey AS seq,
+  CASE c_custkey % 6 WHEN 0 THEN 'Studio Rossi' WHEN 1 THEN 'Mario Rossi' WHEN 2 THEN 'Officina F.lli Bianchi S.R.L.' WHEN 3 THEN 'Ristorante Da Gino Soc. Coop.'
+    WHEN 4 THEN 'Società Semplice Città Nuova & Figli' ELSE NULL END AS company_name,
+  CASE c_custkey % 9 WHEN 0 THEN 'https://www.studio-rossi.it/chi-siamo/?a=1#b' WHEN 1 THEN ' HTTP://Shop.Rossi.co.uk:8080/negozio/ ' WHEN 2 THEN 'mariorossi.it'
+    WHEN 3 THEN 'https://wa.me/39333' WHEN 4 THEN 'https://it-it.facebook.com/ditta' WHEN 5 THEN 'not a url' WHEN 6 THEN NULL WHEN 7 THEN ''
+    ELSE concat('http://www.bianchi', CAST(c_custkey % 211 AS VARCHAR(10)), '.com/') END AS url,
+  CASE c_custkey % 7 WHEN 0 THEN 'https://www.google.com/maps/place/x' WHEN 1 THEN 'https://maps.google.it/?q=x' WHEN 2 THEN 'https://www.google.com/maps/search/x' WHEN 3 THEN 'https://google.com.evil.io/maps/place/x'
+    WHEN 4 THEN 'https://www.google.it/search' WHEN 5 THEN NULL ELSE 'http://google.co.uk/maps' END AS map_url,
+  CASE WHEN c_custkey % 10 = 0 THEN 'Niccolò D’Angelo' WHEN c_custkey % 10 = 1 THEN 'Anna Maria Verdi' ELSE '' END AS person
+FROM customer
+"""
+VIEWS = {"sites": SITES_SQL, "leads": LEADS_SQL, "portal": PORTAL_SQL, "ledger": LEDGER_SQL}
 TABLES = ["region", "nation", "customer", "supplier", "orders", "events", "pages", "documents", "labels"]
 
 
