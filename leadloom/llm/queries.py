@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leadloom.llm import decontam, licenses, lm, nndescent, packing, pii, secrets, simhash, tokenfile, toxicity, trie, urlfilter
+from leadloom.llm import decontam, licenses, lm, nndescent, packing, phrases, pii, secrets, simhash, tokenfile, toxicity, trie, urlfilter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_scoring": lm.op1,
@@ -21,5 +21,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_secrets": secrets.op10,
     "op11_url_filter": urlfilter.op11,
     "op12_prefix_trie": trie.op12,
+    "op13_collocations": phrases.op13,
 }
-ORACLES: dict[str, str] = {"op4_nn_descent": nndescent.OP4_SQL, "op12_prefix_trie": trie.OP12_SQL}
+ORACLES: dict[str, str] = {"op4_nn_descent": nndescent.OP4_SQL, "op12_prefix_trie": trie.OP12_SQL, "op13_collocations": phrases.OP13_SQL}
