@@ -149,9 +149,9 @@ def linked_data(pages: DataFrame, id_col: str = "page_id", html_col: str = "html
     return _scan(pages, "place int, key string, value string", rows_of, id_col, html_col)
 
 
-def _first(value: Column, place: Column | str, where: Column) -> Column:
+def _first(value: Column, place: str, where: Column) -> Column:
     """The value of the first place where the condition holds."""
-    return F.min_by(F.when(where, value), F.when(where, place))
+    return F.min_by(F.when(where, value), F.when(where, F.col(place)))
 
 
 def _is(tag: str) -> Column:

@@ -11,17 +11,26 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Folders of local sessions that name none, by application.
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; in a local session where it is unset (tests), a folder of our own, removed at the end."""
+    """spark.checkpoint.dir; in a local session where it is unset (tests), a folder of our own, removed at the end.
+
+    The session's setting is only read: it can't be changed while a session runs.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder and not spark.conf.get("spark.master", "local").startswith("local"):
+    if folder:
+        return folder
+    if not spark.conf.get("spark.master", "local").startswith("local"):
         raise ValueError("on a cluster, spark.checkpoint.dir names the folder that driver and executors share")
-    if not folder:
+    app = spark.conf.get("spark.app.id")
+    if app not in _OWN:
         Path("/tmp/checkpoints").mkdir(exist_ok=True)
-        folder = tempfile.mkdtemp(prefix="leadloom-", dir="/tmp/checkpoints")
-        spark.conf.set("spark.checkpoint.dir", folder)
-        atexit.register(shutil.rmtree, folder, True)
-    return folder
+        _OWN[app] = tempfile.mkdtemp(prefix="leadloom-", dir="/tmp/checkpoints")
+        atexit.register(shutil.rmtree, _OWN[app], True)
+    return _OWN[app]
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
