@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from leadloom.operators import evidence, lookup, places, progress
 from leadloom.plans.queries import leads, query
-from leadloom.sources import items, markup, suffixes, tables
+from leadloom.sources import bodies, items, markup, suffixes, tables
 from leadloom.storage import materialize, shared_path
 from leadloom.streaming import live, sessions
 
@@ -390,3 +390,40 @@ def s_late_rows(spark, sf):
         e.filter(F.col("event_id") % 4 == k).coalesce(1).write.mode("append").parquet(path)
     out = live.run_once(sessions.mark_late(live.event_stream(spark, path, e.schema), 2 * 86400), "late", "append")
     return out.groupBy("user_id").agg(F.count_if("late").alias("late"), F.count_if(~F.col("late")).alias("in_time"), F.sum(F.col("value").cast("decimal(18,6)")).cast("double").alias("value"))
+
+
+# --- contact facts ----------------------------------------------------------------------------------------------
+
+
+@query("q_body_facts", f"""WITH c AS (SELECT *, {_CENTS} AS cents, c_mktsegment IN ('AUTOMOBILE', 'BUILDING') AS ld FROM customer)
+SELECT c_custkey AS page_id, CASE WHEN ld THEN concat('ld', c_custkey, '@firm.it') WHEN c_mktsegment = 'FURNITURE' THEN concat('info', c_custkey, '@www.firm.it') END AS email, CASE WHEN c_acctbal > 5000 THEN concat('x', c_custkey, '@pec.it') END AS pec,
+CASE WHEN ld THEN concat('https://instagram.com/c', c_custkey) ELSE 'https://instagram.com/shown' END AS instagram, concat('https://facebook.com/p/', c_custkey) AS facebook, CASE WHEN ld THEN c_name ELSE 'Open' END AS site_name,
+CASE WHEN ld AND length(concat('04', cents)) BETWEEN 8 AND 11 THEN concat('0491234567,04', cents) ELSE '0491234567' END AS phones, CASE WHEN ld THEN '4.5' END AS rating FROM c""")
+def q_body_facts(spark, sf):
+    """A company's own page for each customer: linked data, bracketed addresses or strangers' addresses only."""
+    i = F.col("c_custkey").cast("string")
+    node = F.to_json(F.struct(
+        F.lit("LocalBusiness").alias("@type"), F.col("c_name").alias("name"), _text("mailto:LD", i, "@firm.it").alias("email"), _text("04", CENTS.cast("string")).alias("telephone"),
+        F.array(_text("https://www.instagram.com/c", i, "?x=1"), F.lit("https://facebook.com/sharer/x")).alias("sameAs"), F.struct(F.lit(4.5).alias("ratingValue")).alias("aggregateRating"),
+    ))
+    seg = F.col("c_mktsegment")
+    head = F.when(seg.isin("AUTOMOBILE", "BUILDING"), _text('<script type="application/ld+json">', node, "</script>")).otherwise("")
+    mail = F.when(seg == "FURNITURE", _text("scrivi a info", i, " [at] www.firm [dot] it , ")).otherwise("")
+    pec = F.when(F.col("c_acctbal") > 5000, _text('<a href="mailto:X', i, '@PEC.it?subject=x">pec</a> ')).otherwise("")
+    html = _text('<head><meta property="og:site_name" content=" Open ">', head, "</head><body> ", pec, mail, ' stranger@gmail.com <a href="tel:+39 049 1234567">t</a> <a href="https://www.instagram.com/shown/">i</a> <a href="//facebook.com/p/', i, '/?a=b">f</a></body>')
+    pages = tables.table(spark, sf, "customer").select(F.col("c_custkey").alias("page_id"), html.alias("html"), F.lit("https://shop.firm.it/x").alias("official_website"))
+    out = bodies.body_facts(pages, suffixes.suffix_rules(spark))
+    return out.select("page_id", "email", "pec", "instagram", "facebook", "site_name", F.array_join("phones", ",").alias("phones"), "rating")
+
+
+@query("q_facts_applied", """WITH f AS (SELECT seq, concat('m', seq, '@x.it') AS m, seq % 2 = 0 AS has_mail FROM leads)
+SELECT l.seq, CASE WHEN coalesce(trim(l.phone), '') <> '' THEN l.phone ELSE '049' || l.seq END AS phone, CASE WHEN f.has_mail THEN f.m END AS email_inferred, coalesce(nullif(trim(l.pec), ''), 'f@pec.it') AS pec,
+CASE WHEN f.has_mail THEN 'business' WHEN coalesce(trim(l.pec), '') = '' THEN 'pec' END AS email_type, array_to_string(list_filter([CASE WHEN f.has_mail THEN 'email_inferred' END, CASE WHEN coalesce(trim(l.pec), '') = '' THEN 'pec' END, CASE WHEN coalesce(trim(l.phone), '') = '' THEN 'phone' END], lambda c: c IS NOT NULL), ',') AS filled
+FROM leads l JOIN f USING (seq)""", "leads")
+def q_facts_applied(spark, sf):
+    """Facts of each lead's page beside what it has: what it has stays."""
+    rows = leads(spark, sf)
+    none = [F.lit(None).cast("string").alias(c) for c in (*bodies.NETWORKS, "founder", "founding_year", "rating", "reviews")]
+    facts = rows.select("seq", F.when(F.col("seq") % 2 == 0, _text("m", F.col("seq").cast("string"), "@x.it")).alias("email"), F.lit("f@pec.it").alias("pec"), *none, F.array().cast("array<string>").alias("vat_codes"), F.array(_text("049", F.col("seq").cast("string"))).alias("phones"))
+    out = bodies.apply_facts(rows, facts)
+    return out.select("seq", "phone", "email_inferred", "pec", "email_type", F.array_join("filled", ",").alias("filled"))

@@ -8,6 +8,7 @@ elements of a page come out of one task. Null pages have no elements; broken mar
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterable, Iterator
 from html.parser import HTMLParser
 
@@ -53,7 +54,7 @@ class _Scan(HTMLParser):
         classes = named.get("class", "").split()
         node = [self.count, tag, classes, above[0], above[5], 0, None, len(self.texts)]
         above[5] += 1
-        if tag in self.wanted or not self.wanted.isdisjoint("." + c for c in classes):
+        if tag in self.wanted or not self.wanted.isdisjoint("." + c for c in classes) or not self.wanted.isdisjoint(f"[{k}]" for k in named):
             up = [{"place": n[0], "tag": n[1], "classes": n[2], "parent": n[3], "nth": n[4]} for n in reversed(self.open[1:])][:_UP]
             node[6] = {"place": self.count, "tag": tag, "classes": classes, "attrs": list(named.items()), "text": "", "parent": node[3], "nth": node[4], "up": up}
             self.rows.append(node[6])
@@ -86,6 +87,8 @@ class _Scan(HTMLParser):
         self.close()
         if len(self.open) > 1:
             self._close(self.open[1])
+        if "#text" in self.wanted:
+            self.rows.append({"place": 0, "tag": "#text", "classes": [], "attrs": [], "text": "".join(self.texts).strip(), "parent": -1, "nth": 0, "up": []})
         return self.rows
 
 
@@ -116,7 +119,7 @@ def _scan(pages: DataFrame, schema: str, rows_of, id_col: str, html_col: str) ->
 
 
 def elements(pages: DataFrame, wanted: Iterable[str], id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """(page_id, ELEMENT) of the elements with a wanted tag, or a wanted class (written with a dot), in document order."""
+    """(page_id, ELEMENT) of the elements with a wanted tag, class (.name) or attribute ([name]), in document order; #text is the whole text."""
     names = frozenset(wanted)
 
     def rows_of(html: str) -> list[dict]:
@@ -162,6 +165,68 @@ def _classed(*names: str) -> Column:
     return F.arrays_overlap("classes", F.array(*map(F.lit, names)))
 
 
+#: Types of linked data that tell of a company.
+COMPANY_TYPES = re.compile(r"organization|localbusiness|corporation|\bstore\b|realestateagent|professionalservice|\bngo\b|\bcompany\b", re.I)
+_FACTS = ("sameAs", "legalName", "name", "email", "telephone", "vatID", "taxID", "founder", "foundingDate")
+
+
+def _plain(value) -> str | None:
+    """A text or number as trimmed text; of a list its first; null for the rest."""
+    if isinstance(value, list):
+        return _plain(value[0]) if value else None
+    return (value.strip() or None) if isinstance(value, str) else str(value) if isinstance(value, (int, float)) and not isinstance(value, bool) else None
+
+
+def _companies(value, depth: int = 0) -> Iterator[dict]:
+    """Nodes that tell of a company, outer ones first."""
+    if depth > 6 or not isinstance(value, (dict, list)):
+        return
+    if isinstance(value, dict):
+        kind = value.get("@type")
+        kind = " ".join(map(str, kind)) if isinstance(kind, list) else kind if isinstance(kind, str) else ""
+        if COMPANY_TYPES.search(kind) or "sameAs" in value or "aggregateRating" in value:
+            yield value
+    for item in value.values() if isinstance(value, dict) else value:
+        yield from _companies(item, depth + 1)
+
+
+def company_facts(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+    """(page_id, node, place, key, value): what the company nodes of a page's JSON-LD say, in order; ratings as rating and reviews."""
+    wanted = frozenset(["script"])
+
+    def said(node: dict) -> Iterator[tuple[str, str | None]]:
+        for key in _FACTS:
+            many = node.get(key)
+            if key == "sameAs":
+                yield from ((key, v) for v in (many if isinstance(many, list) else [many]) if isinstance(v, str))
+            elif key == "founder" and isinstance(many, dict):
+                yield key, _plain(many.get("name"))
+            else:
+                yield key, _plain(many)
+        rating = node.get("aggregateRating")
+        if isinstance(rating, dict):
+            yield "rating", _plain(rating.get("ratingValue"))
+            yield "reviews", _plain(rating.get("reviewCount")) or _plain(rating.get("ratingCount"))
+
+    def rows_of(html: str) -> list[dict]:
+        if "ld+json" not in html:
+            return []
+        scan, out, n = _Scan(wanted), [], 0
+        scan.feed(html)
+        for block in scan.finish():
+            if dict(block["attrs"]).get("type", "").lower() == "application/ld+json":
+                try:
+                    value = json.loads(block["text"])
+                except (ValueError, RecursionError):
+                    continue
+                for node in _companies(value):
+                    out += [{"node": n, "place": k, "key": key, "value": v} for k, (key, v) in enumerate(said(node)) if v]
+                    n += 1
+        return out
+
+    return _scan(pages, "node int, place int, key string, value string", rows_of, id_col, html_col)
+
+
 # --- detail pages -----------------------------------------------------------------------------------------------
 
 #: The anchor that names a company's own site, and the classes of its address.
