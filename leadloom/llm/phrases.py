@@ -1,7 +1,7 @@
 """Phrase collocations: exact counts of frequent phrases and the score of their weakest cut, by language.
 
 1. Words are counted by language. A word's id is a seeded 64-bit hash; the seed is one under which no two words of
-   the corpus share an id, which an aggregate over all words checks, so ids stand for words exactly.
+   the corpus share an id (a second hash and an aggregate over all words tell), so ids stand for words.
 2. The corpus is written once as rows of ids, with 0 for a rare word and for the end of a piece.
 3. Candidates are Apriori-safe: for 2, 3, 4 and 5 words in turn, tasks count hashes of the phrases whose both
    parts one word shorter may be frequent, Spark sums them, and hashes that reach MIN_COUNT are kept. Which parts
@@ -21,22 +21,22 @@ read; equal rows count each; ties of the score are ordered by frequency, then by
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leadloom.llm.common import map_rows, materialize, read_table, vector_sum
 
 MIN_COUNT, LONGEST, TOP = 100, 5, 2000
-#: Bits of a Bloom filter (two bits an entry); keys of a block; ids of a written row; hashes a task adds up before it sends them.
-BITS, SLOTS, ROW_IDS, HELD = 1 << 26, 1 << 20, 1 << 16, 1 << 22
-#: Distinct words a task holds before it sends their counts, and words whose ids it remembers.
-HELD_WORDS = 1 << 19
+#: Bits of a Bloom filter (two bits an entry); keys of a block; ids of a written row (small, as readers hold ten thousand
+#: rows) and of an array that is worked on; hashes a task adds up before it sends them.
+BITS, SLOTS, ROW_IDS, ARRAY_IDS, HELD = 1 << 26, 1 << 20, 1 << 8, 1 << 16, 1 << 21
+#: Bytes of texts of a language that are taken apart at once; longer words are hashed one by one.
+TEXT_BYTES, LONG_WORD = 1 << 20, 256
 #: Lists of the best TOP in the first of two steps.
 SALTS = 32
 #: A-Z are lower-cased, a tab is a space, and marks that end a piece become a byte that no text holds.
@@ -50,39 +50,112 @@ def words(text: bytes | None) -> list[bytes]:
     return text.translate(_TEXT).replace(_END, _SPACED_END).split() if text else []
 
 
-def _prefix(seed: int, lang: str) -> str:
-    return f"{seed}:{len(lang)}:{lang}:"
-
-
-def count_words(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(lang, word, n) of all words."""
+class WordHash:
+    """64-bit ids of the words of a text, all at once: differences of running sums of byte values times powers of a base.
+
+    Long words, for which sums modulo 2^64 have known collisions, go through XXH64 instead.
+    """
+
+    def __init__(self, seed: int):
+        draw = np.random.default_rng(seed)
+        self.seed, self.values = seed, draw.integers(0, 1 << 64, 256, np.uint64)
+        self.base = int(draw.integers(0, 1 << 62)) * 4 + 1
+        self.powers = self.inverses = np.ones(1, np.uint64)
+
+    def _grow(self, size: int) -> None:
+        if len(self.powers) < size:
+            power = lambda base: np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, base & ((1 << 64) - 1), np.uint64)]))
+            self.powers, self.inverses = power(self.base), power(pow(self.base, -1, 1 << 64))
+
+    def __call__(self, text: bytes, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lang: str) -> np.ndarray:
+        self._grow(len(data) + 1)
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(self.values[data] * self.powers[: len(data)], out=sums[1:])
+        sizes = ends - starts
+        salt = np.uint64(xxhash.xxh64_intdigest(lang.encode(), self.seed))
+        out = _mix(((sums[ends] - sums[starts]) * self.inverses[starts]) ^ salt + sizes.astype(np.uint64))
+        for k in np.flatnonzero(sizes > LONG_WORD):
+            out[k] = xxhash.xxh64_intdigest(lang.encode() + b"\n" + text[starts[k] : ends[k]], self.seed)
+        return out
+
+
+def cut(text: bytes) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(translated text, its bytes, starts and ends of its words, the number of the piece of each word)."""
+    text = text.translate(_TEXT)
+    data = np.frombuffer(text, np.uint8)
+    within = np.zeros(len(data) + 2, np.int8)
+    within[1:-1] = (data != 32) & (data != 255)
+    edges = np.diff(within)
+    starts, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+    return text, data, starts, ends, np.cumsum(data == 255, dtype=np.int32)[starts]
+
+
+def _by_language(slices: Iterator[dict[str, list]]) -> Iterator[tuple[str, bytes]]:
+    """(lang, texts of it joined by a mark that ends a piece), about TEXT_BYTES at a time."""
+    for part in slices:
+        texts: dict[str, list[bytes]] = {}
+        for lang, text in zip(part["lang"], part["text"], strict=True):
+            if text:
+                texts.setdefault(lang.decode(), []).append(text)
+        for lang, many in texts.items():
+            held, size = [], 0
+            for text in many:
+                held.append(text)
+                size += len(text)
+                if size >= TEXT_BYTES:
+                    yield lang, b"\n".join(held)
+                    held, size = [], 0
+            if held:
+                yield lang, b"\n".join(held)
 
-    def rows(slices: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
-        counts: dict[str, Counter] = {}
 
-        def out() -> Iterator[dict[str, list]]:
-            for lang, c in counts.items():
-                c.pop(_END, None)
-                yield {"lang": [lang] * len(c), "word": [w.decode() for w in c], "n": list(c.values())}
-            counts.clear()
+def _inputs(text_col: str, lang_col: str) -> dict[str, Column]:
+    return {"lang": F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("und")), "text": F.col(f"`{text_col}`").cast("string")}
 
-        for part in slices:
-            for lang, text in zip(part["lang"], part["text"], strict=True):
-                counts.setdefault(lang.decode(), Counter()).update(words(text))
-            if sum(map(len, counts.values())) > HELD_WORDS:
-                yield from out()
-        yield from out()
 
-    inputs = {"lang": F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("und")), "text": F.col(f"`{text_col}`").cast("string")}
-    return map_rows(docs, inputs, "lang string, word string, n bigint", rows).groupBy("lang", "word").agg(F.sum("n").alias("n"))
+def count_words(docs: DataFrame, seed: int, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """(lang, word, n, id) of all words; a row without a word tells of two words with one id."""
 
-
-def with_ids(counted: DataFrame) -> tuple[DataFrame, int]:
-    """(lang, word, n, id), where different words have different ids other than 0, and the seed of the ids."""
+    def rows(slices: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
+        first, second = WordHash(2 * seed), WordHash(2 * seed + 1)
+        held: dict[str, list] = {}
+
+        def out(lang: str) -> dict[str, list]:
+            texts, ids, checks, where = zip(*held.pop(lang), strict=True)
+            ids, checks = np.concatenate(ids), np.concatenate(checks)
+            values, at, inverse, counts = np.unique(ids, return_index=True, return_inverse=True, return_counts=True)
+            offset = np.cumsum([0, *map(len, (w[0] for w in where))])
+            found: list[str | None] = []
+            text_of = np.searchsorted(offset, at, "right") - 1
+            for k, t in zip((at - offset[text_of]).tolist(), text_of.tolist(), strict=True):
+                found.append(texts[t][where[t][0][k] : where[t][1][k]].decode())
+            n, values = counts.tolist(), values.view(np.int64).tolist()
+            if (checks != checks[at[inverse]]).any():
+                found.append(None), n.append(0), values.append(0)
+            return {"lang": [lang] * len(n), "word": found, "n": n, "id": values}
+
+        size = 0
+        for lang, text in _by_language(slices):
+            text, data, starts, ends, _ = cut(text)
+            if len(starts):
+                held.setdefault(lang, []).append((text, first(text, data, starts, ends, lang), second(text, data, starts, ends, lang), (starts, ends)))
+                size += len(starts)
+                if size >= HELD >> 3:
+                    for lang in list(held):
+                        yield out(lang)
+                    size = 0
+        for lang in list(held):
+            yield out(lang)
+
+    sent = map_rows(docs, _inputs(text_col, lang_col), "lang string, word string, n bigint, id bigint", rows, slice_rows=4096)
+    return sent.groupBy("lang", "word").agg(F.sum("n").alias("n"), F.max("id").alias("id"))
+
+
+def with_ids(docs: DataFrame) -> tuple[DataFrame, int]:
+    """(lang, word, n, id) of all words, where different words have different ids other than 0, and the seed of the ids."""
     seed = 0
     while True:
-        text = F.concat(F.lit(f"{seed}:"), F.length("lang").cast("string"), F.lit(":"), F.col("lang"), F.lit(":"), F.col("word"))
-        coded = materialize(counted.withColumn("id", F.xxhash64(text)), "words")
+        coded = materialize(count_words(docs, seed), "words")
         if coded.groupBy("id").agg(F.count("*").alias("k")).filter("k > 1 or id = 0").isEmpty():
             return coded, seed
         seed += 1
@@ -125,38 +198,50 @@ def encode(docs: DataFrame, seed: int, frequent: bytes, text_col: str = "text",
     handle = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def rows(slices: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
-        have, held, size = np.frombuffer(handle.value, np.uint8), [], 0
-        known: dict[str, dict[bytes, int]] = {}
-
-        def ids(lang: str, tokens: list[bytes]) -> np.ndarray:
-            cache = known.setdefault(lang, {_END: 0})
-            new = list(set(tokens).difference(cache))
-            if new:
-                start = _prefix(seed, lang).encode()
-                hashed = np.fromiter((xxhash.xxh64_intdigest(start + w, 42) for w in new), np.uint64, len(new))
-                hashed[~_member(have, hashed)] = 0
-                cache.update(zip(new, hashed.tolist(), strict=True))
-            return np.fromiter(map(cache.__getitem__, tokens), np.uint64, len(tokens))
-
-        for part in slices:
-            for lang, text in zip(part["lang"], part["text"], strict=True):
-                found = ids(lang.decode(), words(text))
-                if len(found):
-                    keep = np.ones(len(found) + 1, bool)  # one 0 is as good as many
-                    found = np.append(found, np.uint64(0))
-                    keep[1:] = (found[1:] != 0) | (found[:-1] != 0)
-                    held.append(found[keep])
-                    size += len(held[-1])
-                if size >= ROW_IDS:
-                    yield {"ids": [np.concatenate(held).tobytes()]}
-                    held, size = [], 0
-            if sum(map(len, known.values())) > HELD_WORDS:
-                known.clear()
-        if held:
-            yield {"ids": [np.concatenate(held).tobytes()]}
-
-    inputs = {"lang": F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("und")), "text": F.col(f"`{text_col}`").cast("string")}
-    return map_rows(docs, inputs, "ids binary", rows)
+        have, coder, held, size = np.frombuffer(handle.value, np.uint8), WordHash(2 * seed), [], 0
+        for lang, text in _by_language(slices):
+            text, data, starts, ends, piece = cut(text)
+            if not len(starts):
+                continue
+            ids = coder(text, data, starts, ends, lang)
+            ids[~_member(have, ids)] = 0
+            found = np.zeros(len(ids) + int(np.count_nonzero(np.diff(piece))) + 1, np.uint64)  # room for a 0 after each piece
+            found[np.arange(len(ids)) + np.cumsum(np.diff(piece, prepend=piece[:1]) != 0)] = ids
+            keep = np.ones(len(found), bool)  # one 0 is as good as many
+            keep[1:] = (found[1:] != 0) | (found[:-1] != 0)
+            held.append(found[keep])
+            size += len(held[-1])
+            if size >= ARRAY_IDS:
+                yield {"ids": _cut_rows(np.concatenate(held))}
+                held, size = [], 0
+        if size:
+            yield {"ids": _cut_rows(np.concatenate(held))}
+
+    return map_rows(docs, _inputs(text_col, lang_col), "ids binary", rows, slice_rows=4096)
+
+
+def _cut_rows(ids: np.ndarray) -> list[bytes]:
+    """Ids that end with a 0 as rows that do, of ROW_IDS or as many more as the piece takes."""
+    ends = np.flatnonzero(ids == 0) + 1
+    cuts, at = [0], 0
+    while at < len(ids):
+        at = int(ends[np.searchsorted(ends, min(at + ROW_IDS, len(ids)))])
+        cuts.append(at)
+    return [ids[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
+def _arrays(batches: Iterable[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """The ids of a task's rows in arrays of about ARRAY_IDS; rows end with a 0, so any of them may follow each other."""
+    for batch in batches:
+        rows = batch.column(0)
+        if not len(rows):
+            continue
+        offsets = np.frombuffer(rows.buffers()[1], np.int32)[rows.offset : rows.offset + len(rows) + 1]
+        ids, ends, at = np.frombuffer(rows.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view(np.uint64), (offsets - offsets[0]) >> 3, 0
+        while at < len(ids):
+            upto = int(ends[min(int(np.searchsorted(ends, at + ARRAY_IDS)), len(rows))])
+            yield ids[at:upto]
+            at = upto
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -189,19 +274,19 @@ def frequent_hashes(corpus: DataFrame, k: int, filters: list, min_count: int) ->
             values, counts = np.unique(np.concatenate(held), return_counts=True)
             return pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(counts)], ["hash", "n"])
 
-        for batch in batches:
-            for row in batch.column(0):
-                for n, _, hashes in _grams(np.frombuffer(row.as_py(), np.uint64), have, k):
-                    if n == k and len(hashes):
-                        held.append(hashes)
-                        size += len(hashes)
-                if size >= HELD:
-                    yield out()
-                    held, size = [], 0
+        for ids in _arrays(batches):
+            for n, _, hashes in _grams(ids, have, k):
+                if n == k and len(hashes):
+                    held.append(hashes)
+                    size += len(hashes)
+            if size >= HELD:
+                yield out()
+                held, size = [], 0
         if held:
             yield out()
 
-    sums = corpus.mapInArrow(run, "hash bigint, n bigint").groupBy("hash").agg(F.sum("n").alias("n"))
+    # Tasks have added up what they can, so there is nothing to gain from Spark's own sums before the shuffle.
+    sums = corpus.mapInArrow(run, "hash bigint, n bigint").repartition("hash").groupBy("hash").agg(F.sum("n").alias("n"))
     return materialize(sums.filter(F.col("n") >= min_count), f"phrases-{k}")
 
 
@@ -213,35 +298,52 @@ def _tuples(ids: np.ndarray, places: np.ndarray, k: int) -> np.ndarray:
 
 
 def candidate_keys(corpus: DataFrame, filters: list, kept: DataFrame, longest: int) -> DataFrame:
-    """(k, w1 .. w5): the different phrases whose hashes are in kept (k, hash)."""
+    """(k, w1 .. w5): the different phrases whose hashes are in kept (k, hash). A task sends a phrase once, as long as it remembers it (HELD phrases)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         have, held, size = [np.frombuffer(f.value, np.uint8) for f in filters], [], 0
-
-        def out() -> pa.RecordBatch:
-            ks, hashes, keys = (np.concatenate(x) for x in zip(*held, strict=True))
-            _, first, inverse = np.unique(hashes + ks.astype(np.uint64), return_index=True, return_inverse=True)
-            same = (keys == keys[first[inverse]]).all(axis=1)  # other phrases of an equal hash are sent as well
-            some = np.concatenate([first, np.flatnonzero(~same)])
-            columns = [pa.array(ks[some]), pa.array(hashes[some].view(np.int64)), *(pa.array(keys[some, j].view(np.int64)) for j in range(LONGEST))]
+        sent: dict[int, np.ndarray] = {}
+
+        def fresh(k: int) -> pa.RecordBatch | None:
+            hashes, checks, keys = (np.concatenate(x) for x in zip(*[h[1:] for h in held if h[0] == k], strict=True))
+            # A phrase is known by its hash and a check of its words, so other phrases of an equal hash are sent as well.
+            order = np.lexsort((checks, hashes))
+            hashes, checks, keys = hashes[order], checks[order], keys[order]
+            new = np.ones(len(hashes), bool)
+            new[1:] = (hashes[1:] != hashes[:-1]) | (checks[1:] != checks[:-1])
+            hashes, checks, keys = hashes[new], checks[new], keys[new]
+            known = sent.get(k, np.zeros(0, np.uint64))
+            both = hashes ^ _mix(checks)
+            unseen = ~np.isin(both, known)
+            sent[k] = np.concatenate([known, both[unseen]]) if len(known) < HELD else both[unseen]
+            if not unseen.any():
+                return None
+            columns = [pa.array(np.full(int(unseen.sum()), k, np.int32)), pa.array(hashes[unseen].view(np.int64)), *(pa.array(np.ascontiguousarray(keys[unseen, j]).view(np.int64)) for j in range(LONGEST))]
             return pa.RecordBatch.from_arrays(columns, ["k", "hash", *_W])
 
-        for batch in batches:
-            for row in batch.column(0):
-                ids = np.frombuffer(row.as_py(), np.uint64)
-                for k, places, hashes in _grams(ids, have, longest):
-                    sure = _member(have[k - 2], hashes)
-                    if sure.any():
-                        held.append((np.full(int(sure.sum()), k, np.int32), hashes[sure], _tuples(ids, places[sure], k)))
-                        size += len(held[-1][0])
-                if size >= HELD >> 2:
-                    yield out()
-                    held, size = [], 0
-        if held:
-            yield out()
+        def out() -> Iterator[pa.RecordBatch]:
+            for k in sorted({h[0] for h in held}):
+                batch = fresh(k)
+                if batch is not None:
+                    yield batch
+
+        for ids in _arrays(batches):
+            for k, places, hashes in _grams(ids, have, longest):
+                sure = _member(have[k - 2], hashes)
+                if sure.any():
+                    keys = _tuples(ids, places[sure], k)
+                    checks = np.zeros(len(keys), np.uint64)
+                    for j in range(k):
+                        checks = _mix(checks ^ keys[:, j])
+                    held.append((k, hashes[sure], checks, keys))
+                    size += len(keys)
+            if size >= HELD >> 3:
+                yield from out()
+                held, size = [], 0
+        yield from out()
 
-    sent = corpus.mapInArrow(run, "k int, hash bigint, " + ", ".join(f"{w} bigint" for w in _W)).distinct()
-    return sent.join(kept.select("k", "hash"), ["k", "hash"], "left_semi").select("k", *_W).distinct()
+    sent_ = corpus.mapInArrow(run, "k int, hash bigint, " + ", ".join(f"{w} bigint" for w in _W)).distinct()
+    return sent_.join(kept.select("k", "hash"), ["k", "hash"], "left_semi").select("k", *_W).distinct()
 
 
 class PerfectHash:
@@ -317,12 +419,10 @@ def count_block(corpus: DataFrame, block: PerfectHash, filters: list, longest: i
             slots = table.find(_tuples(ids, places, k))
             counts[:] += np.bincount(slots[slots >= 0], minlength=table.n)
 
-        for batch in batches:
-            for row in batch.column(0):
-                ids = np.frombuffer(row.as_py(), np.uint64)
-                add(ids, np.flatnonzero(ids), 1)
-                for k, places, hashes in _grams(ids, have, longest):
-                    add(ids, places[_member(have[k - 2], hashes)], k)
+        for ids in _arrays(batches):
+            add(ids, np.flatnonzero(ids), 1)
+            for k, places, hashes in _grams(ids, have, longest):
+                add(ids, places[_member(have[k - 2], hashes)], k)
         yield pa.RecordBatch.from_arrays([pa.array([counts.astype("<f8").tobytes()])], ["v"])
 
     out = vector_sum(corpus.mapInArrow(run, "v binary"), table_size := block.n).astype(np.int64)
@@ -367,10 +467,10 @@ def collocations(docs: DataFrame, min_count: int = MIN_COUNT, longest: int = LON
     """(lang, phrase, a, l, r, n, score) of all candidates that no longer candidate of the same frequency holds."""
     spark = docs.sparkSession
     share = spark.sparkContext.broadcast
-    all_words, seed = with_ids(count_words(docs))
+    all_words, seed = with_ids(docs)
     totals = all_words.groupBy("lang").agg(F.sum("n").alias("n"))
     frequent = all_words.filter(F.col("n") >= min_count)
-    corpus = encode(docs, seed, bloom(frequent.select("id"))).write.option("compression", "zstd")
+    corpus = encode(docs, seed, bloom(frequent.select("id"))).write.option("compression", "zstd").option("parquet.block.size", 16 << 20)
     corpus = materialize_with(spark, corpus, "corpus-ids", "ids binary")
     filters, kept = [], None
     for k in range(2, longest + 1):
