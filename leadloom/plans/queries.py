@@ -141,7 +141,7 @@ def q_metrics(spark, sf):
 
 @query("q_export_columns", " UNION ALL ".join(f"SELECT '{f}' AS field FROM leads HAVING {_PCT.format(f'count_if({_HAS.format(f)})', 'count(*)')} > 50" for f in _FIELDS), "leads")
 def q_export_columns(spark, sf):
-    return spark.createDataFrame([(f,) for f in reports.export_columns(leads(spark, sf), _FIELDS, 50.0)], "field string")
+    return reports.fill_rates(leads(spark, sf), _FIELDS).filter("pct > 50").select("field")
 
 
 @query("q_sources", "SELECT coalesce(source, '<unset>') AS value, count(*) AS n FROM leads GROUP BY ALL", "leads")
@@ -578,7 +578,11 @@ def q_page_title(spark, sf):
     return tables.table(spark, sf, "pages").select("page_id", pages.title(F.col("html")).alias("title"))
 
 
-@query("q_page_flags")
+@query("q_page_flags", rf"""WITH t AS (SELECT *, trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS shown,
+  regexp_replace(lower(regexp_extract(url, '^https?://([^/:?#]+)', 1)), '^www\.', '') AS host FROM pages)
+SELECT page_id, host, concat(host, regexp_replace(regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1), '/+$', '')) AS key, length(shown) < {pages.TINY} AS tiny,
+  regexp_matches(lower(concat(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), ' ', shown)), '{"|".join(pages.PARKED)}') AS parked,
+  len(list_filter([{", ".join(f"'{h}'" for h in contact.DIRECTORY_HOSTS)}], lambda d: host = d OR ends_with(host, '.' || d))) > 0 AS directory FROM t""")
 def q_page_flags(spark, sf):
     return pages.page_flags(tables.table(spark, sf, "pages"))
 

@@ -241,9 +241,9 @@ def q_email_verdicts(spark, sf):
     return views.join_verdicts(leads(spark, sf), known).select("seq", "verdict")
 
 
-@query("q_provider_plan", "SELECT field, provider, place::INTEGER AS place FROM (SELECT field, provider, row_number() OVER (PARTITION BY field ORDER BY tier, ord) AS place FROM (SELECT category AS field, seq AS provider, seq % 3 AS tier, seq AS ord FROM leads WHERE seq <= 60)) WHERE place <= 4", "leads")
+@query("q_provider_plan", "SELECT field, provider, place::INTEGER AS place FROM (SELECT field, provider, row_number() OVER (PARTITION BY field ORDER BY tier, ord) AS place FROM (SELECT category AS field, seq AS provider, seq % 3 AS tier, seq AS ord FROM leads)) WHERE place <= 4", "leads")
 def q_provider_plan(spark, sf):
-    s = leads(spark, sf).filter("seq <= 60")  # a plan has a handful of steps
+    s = leads(spark, sf)
     return views.provider_plan(s.select(F.col("category").alias("field"), F.col("seq").alias("provider"), (F.col("seq") % 3).alias("tier"), F.col("seq").alias("ord")), 4)
 
 

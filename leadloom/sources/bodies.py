@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadloom.functions.contact import is_pec, vat_codes
-from leadloom.functions.text import decode_hex_email, filled, has
+from leadloom.functions.text import bind, decode_hex_email, filled, has
 from leadloom.sources.markup import company_facts, elements
 from leadloom.sources.suffixes import with_domains
+from leadloom.storage import materialize
 
 _MAIL = r"(?i)[a-z0-9._%+\-]+@[a-z0-9.\-]+\.[a-z]{2,}"
 _PHONE = r"(?:\+39\s?)?(?:0[0-9]{1,4}|3[0-9]{2})[\s\-./]?[0-9][0-9\s\-./]{4,12}[0-9]"
@@ -20,15 +21,21 @@ NETWORKS = {
 }
 
 
-def profile(url: Column) -> tuple[Column, Column]:
-    """(network, address without www, query and closing slash) of a profile address; both null for any other."""
+def profile(url: Column) -> Column:
+    """Struct (network, url) of a profile address, url without www, query and closing slash; both null for any other."""
     whole = r"^(?i)https?://(?:[^/@?#]*@)?([^/:?#]+)(?::[0-9]+)?(/[^?#]*)?(\?[^#]*)?"
-    host, path, query = F.lower(F.regexp_extract(url, whole, 1)), F.regexp_extract(url, whole, 2), F.regexp_extract(url, whole, 3)
-    full = F.concat(F.when(path == "", "/").otherwise(path), query)
-    network = F.lit(None).cast("string")
-    for name, (hosts, bad) in reversed(NETWORKS.items()):
-        network = F.when(host.rlike(hosts) & (F.length(full) > 1) & ~full.rlike(bad), name).otherwise(network)
-    return network, F.when(network.isNotNull(), F.regexp_replace(F.concat(F.lit("https://"), F.regexp_replace(host, r"^www\.", ""), path), "/$", ""))
+
+    def parts(u: Column) -> Column:
+        path = F.regexp_extract(u, whole, 2)
+        return F.struct(F.lower(F.regexp_extract(u, whole, 1)).alias("host"), path.alias("path"), F.concat(F.when(path == "", "/").otherwise(path), F.regexp_extract(u, whole, 3)).alias("full"))
+
+    def judged(p: Column) -> Column:
+        network = F.lit(None).cast("string")
+        for name, (hosts, bad) in reversed(NETWORKS.items()):
+            network = F.when(p["host"].rlike(hosts) & (F.length(p["full"]) > 1) & ~p["full"].rlike(bad), name).otherwise(network)
+        return F.struct(network.alias("network"), F.regexp_replace(F.concat(F.lit("https://"), F.regexp_replace(p["host"], r"^www\.", ""), p["path"]), "/$", "").alias("url"))
+
+    return bind(bind(url, parts), lambda p: bind(judged(p), lambda j: F.struct(j["network"].alias("network"), F.when(j["network"].isNotNull(), j["url"]).alias("url"))))
 
 
 def phone_digits(text: Column) -> Column:
@@ -60,12 +67,12 @@ def body_facts(pages: DataFrame, rules: DataFrame) -> DataFrame:
     href = F.trim(attr("href"))
     tag = F.col("tag")
     full = F.when(href.startswith("//"), F.concat(F.lit("https:"), href)).otherwise(href)
-    network, address = profile(full)
+    seen_ = seen.withColumn("p", profile(full))
     from_tags = F.array(
         row(0, "place", "mail", F.when((tag == "a") & href.rlike("^(?i)mailto:"), F.lower(F.trim(F.split_part(F.regexp_replace(href, "^(?i)mailto:", ""), F.lit("?"), F.lit(1)))))),
         row(1, "place", "mail", F.lower(F.trim(decode_hex_email(attr("data-cfemail"))))), row(2, "place", "mail", F.when((tag == "a") & F.lower(href).contains("/cdn-cgi/l/email-protection#"), F.lower(F.trim(decode_hex_email(F.split_part(href, F.lit("#"), F.lit(2))))))),
         row(0, "place", "phone", F.when((tag == "a") & href.rlike("^(?i)tel:"), phone_digits(href))), row(2, "place", "site", F.when((tag == "meta") & (F.lower(attr("property")) == "og:site_name"), filled(F.trim(attr("content"))))),
-        F.struct(F.lit(1).alias("source"), F.col("place").cast("bigint").alias("place"), F.when(tag == "a", network).alias("kind"), address.alias("value")),
+        F.struct(F.lit(1).alias("source"), F.col("place").cast("bigint").alias("place"), F.when(tag == "a", F.col("p.network")).alias("kind"), F.col("p.url").alias("value")),
     )
     many = lambda source, kind, values: F.transform(values, lambda v, k: F.struct(F.lit(source).alias("source"), k.cast("bigint").alias("place"), F.lit(kind).alias("kind"), v.alias("value")))
     text, open_ = F.col("text"), revealed(F.col("text"))
@@ -75,13 +82,15 @@ def body_facts(pages: DataFrame, rules: DataFrame) -> DataFrame:
         many(1, "phone", F.transform(found(text, _PHONE), phone_digits)), many(1, "vat", vat_codes(text)),
     )
     key, value = F.col("key"), F.col("value")
-    own_network, own_address = profile(value)
+    facts = facts.withColumn("p", profile(value))
+    own_network, own_address = F.col("p.network"), F.col("p.url")
     at = (F.col("node") * 1000 + F.least(F.col("place"), F.lit(999))).cast("bigint")
     kind = F.when(key.isin("legalName", "name"), "site").when(key == "email", "mail").when(key == "telephone", "phone").when(key.isin("vatID", "taxID"), "vat").when(key == "sameAs", own_network).when(key == "foundingDate", "year").otherwise(key)
     said = F.when(key == "email", F.lower(F.regexp_replace(value, "^(?i)mailto:", ""))).when(key == "telephone", phone_digits(value)).when(key.isin("vatID", "taxID"), F.get(vat_codes(value), F.lit(0))).when(key == "sameAs", own_address)
     said = said.when(key == "foundingDate", filled(F.regexp_extract(value, r"\b((?:19|20)[0-9]{2})\b", 1))).when(key.isin("legalName", "name", "founder", "rating", "reviews"), value)
     from_facts = facts.select("page_id", F.when(key == "email", 5).when(key == "telephone", 2).otherwise(0).alias("source"), at.alias("place"), kind.alias("kind"), said.alias("value"))
-    rows = seen.select("page_id", F.inline(from_tags)).unionByName(texts.select("page_id", F.inline(from_text))).unionByName(from_facts).filter("kind is not null and value is not null")
+    rows = seen_.select("page_id", F.inline(from_tags)).unionByName(texts.select("page_id", F.inline(from_text))).unionByName(from_facts).filter("kind is not null and value is not null")
+    rows = materialize(rows, "page-facts")  # pages are scanned once, and the plans stay small
     mails = rows.filter((F.col("kind") == "mail") & F.col("value").contains("@"))
     owner = with_domains(whole.select("page_id", "official_website"), "official_website", rules, "own_").select("page_id", "own_registrable")
     judged = with_domains(mails.withColumn("domain", F.regexp_extract("value", "@([^@]*)$", 1)), "domain", rules, "mail_").join(owner, "page_id")
