@@ -11,7 +11,8 @@ vectors of a component lie within an angle of one of them, its pivot; components
 both angles and the threshold's can't be linked (triangle inequality), and the rest meet in blocks. A sample of
 vectors, as many of each size of component, is compared with all rows after each round; further rounds with fresh
 tables follow until the audited recall, the mean over vectors, is reached. Each round has larger cells, in which more
-rows are compared, and longer lists; in the end a cell is a whole label and all its rows meet, so rounds do end.
+rows are compared, and longer lists; in the end a cell is a whole label, whose rows meet batch by batch. If the audit
+misses its target even then, the search raises: it never returns with links lost in silence.
 
 Equal vectors with equal labels are one node with a multiplicity.
 
@@ -95,8 +96,9 @@ def _start(nodes: DataFrame, bits: int, tables: int, seed: int, scan: int, keep:
             for lo, hi in _even(batch.column("vec")):
                 unit = _matrix(batch.column("vec").slice(lo, hi - lo))
                 g, c, ids = grp[lo:hi], cell[lo:hi], node[lo:hi]
-                sims = np.full((hi - lo, scan), -2.0)
-                for s in range(1, min(scan, hi - lo - 1) + 1):
+                reach = min(scan, hi - lo - 1)  # no more rows follow in the batch
+                sims = np.full((hi - lo, reach), -2.0)
+                for s in range(1, reach + 1):
                     same = (g[s:] == g[:-s]) & (c[s:] == c[:-s])
                     sims[: hi - lo - s, s - 1] = np.where(same, (unit[s:] * unit[:-s]).sum(axis=1), -2.0)
                 best = np.argsort(-sims, axis=1)[:, :keep]
@@ -316,8 +318,11 @@ def near_duplicates(
         roots = materialize(roots.join(more, "root", "left").select("node", F.coalesce("whole", "root").alias("root")), "whole-roots")
         both = counts.unionByName(across.filter("node is not null").select("node", "n"))
         counts = materialize(both.groupBy("node").agg(F.sum("n").alias("n")), "all-counts")
-        if _audit(nodes, counts, roots, threshold, audit_rows) >= recall or scan == largest:
+        found_share = _audit(nodes, counts, roots, threshold, audit_rows)
+        if found_share >= recall:
             break
+        if scan == largest:  # nothing wider is left to try; links must not be lost in silence
+            raise RuntimeError(f"the neighbour search found {found_share:.3f} of the audited links, of {recall} wanted")
     found = nodes.select("node", "copies").join(counts, "node", "left").join(roots, "node", "left")
     found = found.select("node", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "node").alias("root"))
     named = _name_rows(rows, nodes, found)
