@@ -26,6 +26,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -151,9 +152,8 @@ def count_words(docs: DataFrame, seed: int, text_col: str = "text", lang_col: st
     return sent.groupBy("lang", "word").agg(F.sum("n").alias("n"), F.max("id").alias("id"))
 
 
-def with_ids(docs: DataFrame) -> tuple[DataFrame, int]:
-    """(lang, word, n, id) of all words, where different words have different ids other than 0, and the seed of the ids."""
-    seed = 0
+def with_ids(docs: DataFrame, seed: int = 0) -> tuple[DataFrame, int]:
+    """(lang, word, n, id) of all words, where different words have different ids other than 0, and the seed of the ids, the first from seed on."""
     while True:
         coded = materialize(count_words(docs, seed), "words")
         if coded.groupBy("id").agg(F.count("*").alias("k")).filter("k > 1 or id = 0").isEmpty():
@@ -178,7 +178,7 @@ def bloom(keys: DataFrame, bits: int = BITS) -> bytes:
                 have |= np.frombuffer(v.as_py(), np.uint8)
         yield pa.RecordBatch.from_arrays([pa.array([have.tobytes()])], ["v"])
 
-    few = keys.repartition(8, F.col(keys.columns[0])).mapInArrow(fill, "v binary")
+    few = keys.coalesce(8).mapInArrow(fill, "v binary")  # keys come from a written table; few tasks send few arrays
     return bytes(few.repartition(1).mapInArrow(join, "v binary").first()[0])
 
 
@@ -194,11 +194,11 @@ def _member(have: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 
 def encode(docs: DataFrame, seed: int, frequent: bytes, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(ids binary): the corpus as little-endian ids, 0 between pieces and for what is not frequent."""
+    """(ids binary, part): the corpus as little-endian ids, 0 between pieces and for what is not frequent; part names the task that wrote a row."""
     handle = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def rows(slices: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
-        have, coder, held, size = np.frombuffer(handle.value, np.uint8), WordHash(2 * seed), [], 0
+        have, coder, held, size, part = np.frombuffer(handle.value, np.uint8), WordHash(2 * seed), [], 0, TaskContext.get().partitionId()
         for lang, text in _by_language(slices):
             text, data, starts, ends, piece = cut(text)
             if not len(starts):
@@ -212,12 +212,14 @@ def encode(docs: DataFrame, seed: int, frequent: bytes, text_col: str = "text",
             held.append(found[keep])
             size += len(held[-1])
             if size >= ARRAY_IDS:
-                yield {"ids": _cut_rows(np.concatenate(held))}
+                rows_ = _cut_rows(np.concatenate(held))
+                yield {"ids": rows_, "part": [part] * len(rows_)}
                 held, size = [], 0
         if size:
-            yield {"ids": _cut_rows(np.concatenate(held))}
+            rows_ = _cut_rows(np.concatenate(held))
+            yield {"ids": rows_, "part": [part] * len(rows_)}
 
-    return map_rows(docs, _inputs(text_col, lang_col), "ids binary", rows, slice_rows=4096)
+    return map_rows(docs, _inputs(text_col, lang_col), "ids binary, part int", rows, slice_rows=4096)
 
 
 def _cut_rows(ids: np.ndarray) -> list[bytes]:
@@ -230,18 +232,24 @@ def _cut_rows(ids: np.ndarray) -> list[bytes]:
     return [ids[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
-def _arrays(batches: Iterable[pa.RecordBatch]) -> Iterator[np.ndarray]:
-    """The ids of a task's rows in arrays of about ARRAY_IDS; rows end with a 0, so any of them may follow each other."""
+def _arrays(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
+    """(part, ids of its rows) in arrays of about ARRAY_IDS; rows end with a 0, so any of them may follow each other."""
     for batch in batches:
-        rows = batch.column(0)
-        if not len(rows):
-            continue
-        offsets = np.frombuffer(rows.buffers()[1], np.int32)[rows.offset : rows.offset + len(rows) + 1]
-        ids, ends, at = np.frombuffer(rows.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view(np.uint64), (offsets - offsets[0]) >> 3, 0
-        while at < len(ids):
-            upto = int(ends[min(int(np.searchsorted(ends, at + ARRAY_IDS)), len(rows))])
-            yield ids[at:upto]
-            at = upto
+        parts = batch.column(1).to_numpy()
+        cuts = np.flatnonzero(np.diff(parts)) + 1
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(parts)], strict=True):
+            if b > a:
+                for ids in _joined(batch.column(0).slice(a, b - a)):
+                    yield int(parts[a]), ids
+
+
+def _joined(rows: pa.Array) -> Iterator[np.ndarray]:
+    offsets = np.frombuffer(rows.buffers()[1], np.int32)[rows.offset : rows.offset + len(rows) + 1]
+    ids, ends, at = np.frombuffer(rows.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view(np.uint64), (offsets - offsets[0]) >> 3, 0
+    while at < len(ids):
+        upto = int(ends[min(int(np.searchsorted(ends, at + ARRAY_IDS)), len(rows))])
+        yield ids[at:upto]
+        at = upto
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -265,16 +273,20 @@ def _grams(ids: np.ndarray, filters: list[np.ndarray], longest: int) -> Iterator
 
 
 def frequent_hashes(corpus: DataFrame, k: int, filters: list, min_count: int) -> DataFrame:
-    """(hash, n) of the phrases of k words that may reach min_count."""
+    """(hash, n, part) of the phrases of k words that may reach min_count, with one part that has them."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        have, held, size = [np.frombuffer(f.value, np.uint8) for f in filters], [], 0
+        have, held, size, part = [np.frombuffer(f.value, np.uint8) for f in filters], [], 0, -1
 
         def out() -> pa.RecordBatch:
             values, counts = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(counts)], ["hash", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(counts), pa.array(np.full(len(values), part, np.int32))], ["hash", "n", "part"])
 
-        for ids in _arrays(batches):
+        for of, ids in _arrays(batches):
+            if held and of != part:
+                yield out()
+                held, size = [], 0
+            part = of
             for n, _, hashes in _grams(ids, have, k):
                 if n == k and len(hashes):
                     held.append(hashes)
@@ -286,7 +298,7 @@ def frequent_hashes(corpus: DataFrame, k: int, filters: list, min_count: int) ->
             yield out()
 
     # Tasks have added up what they can, so there is nothing to gain from Spark's own sums before the shuffle.
-    sums = corpus.mapInArrow(run, "hash bigint, n bigint").repartition("hash").groupBy("hash").agg(F.sum("n").alias("n"))
+    sums = corpus.mapInArrow(run, "hash bigint, n bigint, part int").repartition("hash").groupBy("hash").agg(F.sum("n").alias("n"), F.min("part").alias("part"))
     return materialize(sums.filter(F.col("n") >= min_count), f"phrases-{k}")
 
 
@@ -297,11 +309,31 @@ def _tuples(ids: np.ndarray, places: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def candidate_keys(corpus: DataFrame, filters: list, kept: DataFrame, longest: int) -> DataFrame:
-    """(k, w1 .. w5): the different phrases whose hashes are in kept (k, hash). A task sends a phrase once, as long as it remembers it (HELD phrases)."""
+def _of_part(hashes: np.ndarray, part: int) -> np.ndarray:
+    """Keys of phrases as those of a part."""
+    return _mix(hashes ^ _mix(np.array([part + 1], np.uint64)))
+
+
+def part_keys(hashes: DataFrame) -> DataFrame:
+    """(key): _of_part of (hash, part)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        have, held, size = [np.frombuffer(f.value, np.uint8) for f in filters], [], 0
+        for batch in batches:
+            parts = _mix((batch.column(1).to_numpy() + 1).astype(np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(_mix(batch.column(0).to_numpy().view(np.uint64) ^ parts).view(np.int64))], ["key"])
+
+    return hashes.select("hash", "part").mapInArrow(run, "key bigint")
+
+
+def candidate_keys(corpus: DataFrame, filters: list, owners: list, kept: DataFrame, longest: int) -> DataFrame:
+    """(k, w1 .. w5): the different phrases whose hashes are in kept (k, hash).
+
+    A phrase is sent from the part that was noted for it only (owners tell), and once, as long as the task remembers it (HELD phrases).
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        have, own = ([np.frombuffer(f.value, np.uint8) for f in many] for many in (filters, owners))
+        held, size = [], 0
         sent: dict[int, np.ndarray] = {}
 
         def fresh(k: int) -> pa.RecordBatch | None:
@@ -327,9 +359,9 @@ def candidate_keys(corpus: DataFrame, filters: list, kept: DataFrame, longest: i
                 if batch is not None:
                     yield batch
 
-        for ids in _arrays(batches):
+        for part, ids in _arrays(batches):
             for k, places, hashes in _grams(ids, have, longest):
-                sure = _member(have[k - 2], hashes)
+                sure = _member(own[k - 2], _of_part(hashes, part))
                 if sure.any():
                     keys = _tuples(ids, places[sure], k)
                     checks = np.zeros(len(keys), np.uint64)
@@ -419,7 +451,7 @@ def count_block(corpus: DataFrame, block: PerfectHash, filters: list, longest: i
             slots = table.find(_tuples(ids, places, k))
             counts[:] += np.bincount(slots[slots >= 0], minlength=table.n)
 
-        for ids in _arrays(batches):
+        for _, ids in _arrays(batches):
             add(ids, np.flatnonzero(ids), 1)
             for k, places, hashes in _grams(ids, have, longest):
                 add(ids, places[_member(have[k - 2], hashes)], k)
@@ -463,22 +495,27 @@ def read_cuts(candidates: DataFrame, block: PerfectHash, counts: np.ndarray) ->
     return candidates.mapInArrow(run, candidates.schema)
 
 
-def collocations(docs: DataFrame, min_count: int = MIN_COUNT, longest: int = LONGEST, slots: int = SLOTS) -> DataFrame:
-    """(lang, phrase, a, l, r, n, score) of all candidates that no longer candidate of the same frequency holds."""
+def collocations(docs: DataFrame, min_count: int = MIN_COUNT, longest: int = LONGEST, slots: int = SLOTS, seed: int = 0) -> DataFrame:
+    """(lang, phrase, a, l, r, n, score) of all candidates that no longer candidate of the same frequency holds.
+
+    The exact counts of the candidates must add up to those of their hashes. Where they don't, two phrases share a
+    hash, and one of them may not have been sent; all is then done again under another seed.
+    """
     spark = docs.sparkSession
     share = spark.sparkContext.broadcast
-    all_words, seed = with_ids(docs)
+    all_words, seed = with_ids(docs, seed)
     totals = all_words.groupBy("lang").agg(F.sum("n").alias("n"))
     frequent = all_words.filter(F.col("n") >= min_count)
     corpus = encode(docs, seed, bloom(frequent.select("id"))).write.option("compression", "zstd").option("parquet.block.size", 16 << 20)
-    corpus = materialize_with(spark, corpus, "corpus-ids", "ids binary")
-    filters, kept = [], None
+    corpus = materialize_with(spark, corpus, "corpus-ids", "ids binary, part int")
+    filters, owners, kept = [], [], None
     for k in range(2, longest + 1):
         hashes = frequent_hashes(corpus, k, filters, min_count)
         filters.append(share(bloom(hashes.select("hash"))))
-        tagged = hashes.select(F.lit(k).alias("k"), "hash")
+        owners.append(share(bloom(part_keys(hashes))))
+        tagged = hashes.select(F.lit(k).alias("k"), "hash", "n")
         kept = tagged if kept is None else kept.unionByName(tagged)
-    long_ = candidate_keys(corpus, filters, kept, longest)
+    long_ = candidate_keys(corpus, filters, owners, kept, longest)
     single = frequent.select(F.lit(1).alias("k"), F.col("id").alias("w1"), *[F.lit(0).cast("bigint").alias(w) for w in _W[1:]])
     keys = materialize(long_.unionByName(single).withColumn("h", F.xxhash64(*_W)), "phrase-keys")
     n_blocks = max(1, -(-keys.count() * 4 // (slots * 3)))
@@ -487,9 +524,12 @@ def collocations(docs: DataFrame, min_count: int = MIN_COUNT, longest: int = LON
         taken = keys.filter(F.pmod("h", F.lit(n_blocks)) == b).select(*_W).toArrow()
         block = PerfectHash(np.stack([taken.column(w).to_numpy().view(np.uint64) for w in _W], axis=1))
         rows = materialize(read_cuts(rows, block, count_block(corpus, block, filters, longest)), "cuts")
-    for f in filters:
+    for f in (*filters, *owners):
         f.destroy()
-    return _scored(rows, frequent, totals, min_count)
+    scored = _score(rows, frequent, totals, min_count)
+    if scored.agg(F.sum("a")).first()[0] != kept.agg(F.sum("n")).first()[0]:
+        return collocations(docs, min_count, longest, slots, seed + 1)
+    return _kept(scored, frequent)
 
 
 def materialize_with(spark: SparkSession, writer, name: str, schema: str) -> DataFrame:
@@ -501,7 +541,8 @@ def materialize_with(spark: SparkSession, writer, name: str, schema: str) -> Dat
     return spark.read.schema(schema).parquet(path)
 
 
-def _scored(rows: DataFrame, frequent: DataFrame, totals: DataFrame, min_count: int) -> DataFrame:
+def _score(rows: DataFrame, frequent: DataFrame, totals: DataFrame, min_count: int) -> DataFrame:
+    """(k, w1 .. w5, lang, n, a, l, r, score) of the candidates that reach min_count."""
     known = frequent.select(F.col("id").alias("w1"), "lang").join(totals, "lang")
     found = rows.join(known, "w1")
 
@@ -516,7 +557,11 @@ def _scored(rows: DataFrame, frequent: DataFrame, totals: DataFrame, min_count:
             yield out
 
     scored = map_rows(found, {"k": "k", "n": "n", "parts": "parts"}, "a bigint, l bigint, r bigint, score bigint", run, keep_row=True, carry=["k", *_W, "lang", "n"])
-    scored = materialize(scored.filter(F.col("a") >= min_count).select("_row.*", "a", "l", "r", "score"), "scored")
+    return materialize(scored.filter(F.col("a") >= min_count).select("_row.*", "a", "l", "r", "score"), "scored")
+
+
+def _kept(scored: DataFrame, frequent: DataFrame) -> DataFrame:
+    """The candidates with their words, but for those that one longer by a word holds with the same frequency."""
     none = F.lit(0).cast("bigint")
     holds = lambda ws: F.struct(*[c.alias(w) for w, c in zip(_W, ws, strict=True)])
     first = holds([*[F.when(F.col("k") > j + 1, F.col(_W[j])).otherwise(none) for j in range(LONGEST - 1)], none])
