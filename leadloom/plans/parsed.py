@@ -27,7 +27,12 @@ def _customers(spark, sf):
 
 _CUSTOMER = "FROM customer JOIN nation ON c_nationkey = n_nationkey"
 _CENTS = "round(abs(c_acctbal) * 100)::BIGINT"
-CENTS = F.round(F.abs("c_acctbal") * 100).cast("bigint")
+
+
+def cents() -> Column:
+    """The balance in cents, without its sign."""
+    return F.round(F.abs("c_acctbal") * 100).cast("bigint")
+
 
 # --- domains ----------------------------------------------------------------------------------------------------
 
@@ -64,10 +69,10 @@ def _company_pages(spark, sf):
     ld = F.to_json(F.struct(
         F.lit("https://schema.org").alias("@context"),
         F.array(F.struct(*[F.lit(v).cast("string").alias(n) for n, v in (("@type", "WebSite"), ("name", None), ("telephone", ""), ("email", None), ("vatID", "none"))]), F.struct(
-            F.lit("LocalBusiness").alias("@type"), F.col("c_name").alias("name"), _text(" 0", CENTS.cast("string"), " ").alias("telephone"), _text("INFO@", F.col("n_name"), ".IT").alias("email"), _text("IT ", F.lpad(CENTS.cast("string"), 11, "0")).alias("vatID"),
+            F.lit("LocalBusiness").alias("@type"), F.col("c_name").alias("name"), _text(" 0", cents().cast("string"), " ").alias("telephone"), _text("INFO@", F.col("n_name"), ".IT").alias("email"), _text("IT ", F.lpad(cents().cast("string"), 11, "0")).alias("vatID"),
         )).alias("@graph"),
     ))
-    broken = _text('{"vatID": "IT', F.lpad(CENTS.cast("string"), 11, "0"), '", "telephone": " 0', CENTS.cast("string"), '", "email": "Info@', F.col("n_name"), '.it", ')
+    broken = _text('{"vatID": "IT', F.lpad(cents().cast("string"), 11, "0"), '", "telephone": " 0', cents().cast("string"), '", "email": "Info@', F.col("n_name"), '.it", ')
     block = F.when(F.col("c_mktsegment").isin("AUTOMOBILE", "BUILDING"), ld).when(F.col("c_mktsegment") == "FURNITURE", broken).otherwise("")
     site = F.when(F.col("c_acctbal") < 3000, "https://www.facebook.com/x").otherwise(_text("https://www.", F.lower(F.replace("n_name", F.lit(" "), F.lit("-"))), ".example/"))
     html = _text(
@@ -140,7 +145,7 @@ def q_financial_pages(spark, sf):
     grid = F.array_join(F.transform(y, lambda r: _text('<div class="col-xs-5">Fatturato ', r["year"].cast("string"), '</div><div class="col-xs-7">', r["revenue"].cast("string"), '</div><div class="col-sm-5">Utile ', r["year"].cast("string"), '</div><div class="col-sm-7">', r["orders"].cast("string"), "</div>")), "")
     body = F.when(F.col("c_mktsegment").isin("AUTOMOBILE", "BUILDING"), chart).when(F.col("c_mktsegment") == "FURNITURE", _text("<table>", rows, "</table>")).otherwise(_text("<div>", grid, "</div>"))
     last = F.element_at(y, -1)["orders"]
-    head = _text('<table><tr><th scope="row">N. dipendenti</th><td>da ', last.cast("string"), " a ", (last + 5).cast("string"), '</td></tr><tr><th scope="row">Partita IVA</th><td>IT ', F.lpad(CENTS.cast("string"), 11, "0"), "</td></tr></table>")
+    head = _text('<table><tr><th scope="row">N. dipendenti</th><td>da ', last.cast("string"), " a ", (last + 5).cast("string"), '</td></tr><tr><th scope="row">Partita IVA</th><td>IT ', F.lpad(cents().cast("string"), 11, "0"), "</td></tr></table>")
     pages = _yearly(spark, sf).select(F.col("c_custkey").alias("page_id"), _text("<body><h1>", F.col("c_name"), "</h1>", head, body, "</body>").alias("html"))
     return markup.financials(pages).withColumn("years", F.size("years").cast("bigint"))
 
@@ -154,7 +159,7 @@ def q_map_feed(spark, sf):
     card = _text(
         '<div class="Nv2PK"><a class="hfpxzc" href="/maps/place/', F.col("c_custkey").cast("string"), '"></a><div class="qBF1Pd fontHeadlineSmall">', F.col("c_name"), '</div><div class="W4Efsd">', line(F.col("c_mktsegment")),
         line(_text("Via Roma ", F.col("c_custkey").cast("string"), ", 32100 ", F.col("n_name"), " BL")), "</div><div class='W4Efsd'>", F.when(F.col("c_acctbal") < 0, line(F.lit("Chiuso definitivamente"))).otherwise(line(F.lit("Aperto"))),
-        F.when(F.col("c_acctbal") > 2000, line(_text("0437 ", F.lpad(CENTS.cast("string"), 7, "0")))).otherwise(""), "</div>", F.when(F.col("c_acctbal") > 5000, _text('<a data-value="Sito web" href="https://', F.col("c_custkey").cast("string"), '.example/">Sito</a>')).otherwise(""), "</div>",
+        F.when(F.col("c_acctbal") > 2000, line(_text("0437 ", F.lpad(cents().cast("string"), 7, "0")))).otherwise(""), "</div>", F.when(F.col("c_acctbal") > 5000, _text('<a data-value="Sito web" href="https://', F.col("c_custkey").cast("string"), '.example/">Sito</a>')).otherwise(""), "</div>",
     )
     feeds = _customers(spark, sf).groupBy(F.floor(F.col("c_custkey") / 40).alias("page_id")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("c_custkey", card.alias("card")))), lambda x: x["card"]), "").alias("cards"))
     out = markup.map_cards(feeds.select("page_id", _text('<body><div role="feed">', F.col("cards"), '<div class="Nv2PK"><span>x</span></div></div></body>').alias("html")))
@@ -172,16 +177,16 @@ CASE WHEN portal <> 'other' AND NOT bad THEN n_name END AS city, CASE WHEN a AND
 def q_portal_items(spark, sf):
     seg = F.col("c_mktsegment")
     portal = F.when(seg.isin("AUTOMOBILE", "HOUSEHOLD"), "immobiliare").when(seg == "BUILDING", "immobiliare_ads").when(seg == "FURNITURE", "wikicasa").otherwise("other")
-    phone, mail, rich = _text("0", CENTS.cast("string")), _text("INFO@X", F.col("c_custkey").cast("string"), ".IT"), F.col("c_acctbal") > 1000
+    phone, mail, rich = _text("0", cents().cast("string")), _text("INFO@X", F.col("c_custkey").cast("string"), ".IT"), F.col("c_acctbal") > 1000
     virtual = F.struct(F.lit(True).alias("isVirtual"), F.lit("0999").alias("value"))
     a = F.to_json(F.struct(
         F.lit("  ").alias("name"), F.col("c_name").alias("agencyName"), F.array(virtual, F.struct(F.lit(False).alias("isVirtual"), phone.alias("value"))).alias("phones"), F.array(mail).alias("emails"), F.lit("https://www.immobiliare.it/agenzie/x").alias("website"),
         F.struct(F.struct(F.col("n_name").alias("name")).alias("city"), F.struct(F.lit(None).cast("string").alias("id")).alias("province")).alias("location"), F.array(F.lit("https://t.me/x"), _text("https://instagram.com/", F.col("c_custkey").cast("string"), "?hl=it")).alias("socials"),
-        CENTS.alias("listingsCount"), rich.alias("isPaid"),
+        cents().alias("listingsCount"), rich.alias("isPaid"),
     ))
-    b = F.to_json(F.struct(F.col("c_name").alias("title"), F.array(phone).alias("phones"), F.col("n_name").alias("location"), CENTS.cast("string").alias("totalAds"), F.when(rich, " Sì ").otherwise("no").alias("premium")))
+    b = F.to_json(F.struct(F.col("c_name").alias("title"), F.array(phone).alias("phones"), F.col("n_name").alias("location"), cents().cast("string").alias("totalAds"), F.when(rich, " Sì ").otherwise("no").alias("premium")))
     site = F.when(F.col("c_acctbal") > 4000, _text("x", F.col("c_custkey").cast("string"), ".it")).otherwise("https://www.google.fr/maps/place/x")
-    w = F.to_json(F.struct(F.col("c_name").alias("company_name"), F.lit("041531").alias("phone"), mail.alias("email"), site.alias("website"), F.col("n_name").alias("city_name"), CENTS.alias("active_real_estates"), rich.alias("premium")))
+    w = F.to_json(F.struct(F.col("c_name").alias("company_name"), F.lit("041531").alias("phone"), mail.alias("email"), site.alias("website"), F.col("n_name").alias("city_name"), cents().alias("active_real_estates"), rich.alias("premium")))
     text = F.when((seg == "HOUSEHOLD") & (F.col("c_acctbal") < 3000), F.substring(a, F.lit(1), F.length(a) - 1)).when(portal == "immobiliare", a).when(portal == "immobiliare_ads", b).otherwise(w)
     given = _customers(spark, sf).select(F.col("c_custkey").alias("item_id"), portal.alias("portal"), text.alias("payload"))
     out = items.portal_records(given)
@@ -195,8 +200,8 @@ def q_register_items(spark, sf):
     even = F.col("c_nationkey") % 2 == 0
     owner = F.col("c_nationkey") % 3
     payload = F.to_json(F.struct(
-        F.when(even, F.col("c_name")).alias("denominazione"), F.when(~even, F.col("c_name")).alias("companyName"), _text("IT", F.lpad(CENTS.cast("string"), 11, "0")).alias("piva"), F.col("c_nationkey").cast("string").alias("atecoCode"), F.col("c_mktsegment").alias("atecoDescription"),
-        F.when(even, CENTS).alias("ricavi"), F.col("c_nationkey").alias("dipendenti"), F.when(owner == 0, F.col("n_name")).alias("titolare"),
+        F.when(even, F.col("c_name")).alias("denominazione"), F.when(~even, F.col("c_name")).alias("companyName"), _text("IT", F.lpad(cents().cast("string"), 11, "0")).alias("piva"), F.col("c_nationkey").cast("string").alias("atecoCode"), F.col("c_mktsegment").alias("atecoDescription"),
+        F.when(even, cents()).alias("ricavi"), F.col("c_nationkey").alias("dipendenti"), F.when(owner == 0, F.col("n_name")).alias("titolare"),
         F.when(owner != 0, F.array(F.struct(F.col("n_name").alias("nominativo"), F.when(owner == 1, "socio").alias("carica")))).alias("cariche"),
     ))
     out = items.register_records(_customers(spark, sf).select(F.col("c_custkey").alias("item_id"), payload.alias("payload")))
@@ -216,7 +221,7 @@ def q_registry(spark, sf):
     adr = F.array(F.lit(""), F.lit(""), F.lit("Via X"), F.when(F.col("c_acctbal").between(2000, 3999.995), "Roma").otherwise("Padova"), F.when(F.col("c_acctbal") < 2000, "RM").otherwise("Veneto"), F.lit("35100"), F.when(abroad, F.lower("n_name")).otherwise("it"))
     quoted = lambda c: F.regexp_extract(F.to_json(F.struct(c.alias("x"))), r"^\{\"x\":(.*)\}$", 1)
     card = _text('[["version",{},"text","4.0"],["fn",{},"text",', quoted(fn), '],["adr",{},"text",', quoted(adr), "]]")
-    code = F.lpad(CENTS.cast("string"), 11, "7")
+    code = F.lpad(cents().cast("string"), 11, "7")
     payload = _text('{"objectClassName":"domain","entities":[{"roles":["abuse"]},{"vcardArray":["vcard",', card, ']}],"publicIds":[{"identifier":"', F.when(seg == "AUTOMOBILE", code).otherwise("none"), '"}]}')
     given = _customers(spark, sf).select(F.col("c_custkey").alias("lead_id"), payload.alias("payload"), F.regexp_replace("c_name", "#", " ").alias("company_name"), code.alias("vat_code"), F.lit("Padova").alias("city"), F.lit("PD").alias("province"))
     return items.registry_evidence(given).drop("mismatch")
@@ -403,7 +408,7 @@ def q_body_facts(spark, sf):
     """A company's own page for each customer: linked data, bracketed addresses or strangers' addresses only."""
     i = F.col("c_custkey").cast("string")
     node = F.to_json(F.struct(
-        F.lit("LocalBusiness").alias("@type"), F.col("c_name").alias("name"), _text("mailto:LD", i, "@firm.it").alias("email"), _text("04", CENTS.cast("string")).alias("telephone"),
+        F.lit("LocalBusiness").alias("@type"), F.col("c_name").alias("name"), _text("mailto:LD", i, "@firm.it").alias("email"), _text("04", cents().cast("string")).alias("telephone"),
         F.array(_text("https://www.instagram.com/c", i, "?x=1"), F.lit("https://facebook.com/sharer/x")).alias("sameAs"), F.struct(F.lit(4.5).alias("ratingValue")).alias("aggregateRating"),
     ))
     seg = F.col("c_mktsegment")
