@@ -5,7 +5,7 @@
 2. The corpus is written once as rows of ids, with 0 for a rare word and for the end of a piece.
 3. Candidates are Apriori-safe: for 2, 3, 4 and 5 words in turn, tasks count hashes of the phrases whose both
    parts one word shorter may be frequent, Spark sums them, and hashes that reach MIN_COUNT are kept. Which parts
-   may be frequent is told by a Bloom filter of fixed size (BITS); what it or a hash lets through wrongly is counted
+   may be frequent is told by a Bloom filter of bounded size (BITS); what it or a hash lets through wrongly is counted
    exactly later, and nothing frequent can be lost. Phrases of the kept hashes are the candidates.
 4. Candidates, single words too, lie in blocks of about SLOTS keys. Each block gets a minimal perfect hash (hash and
    displace) with the keys stored by slot. Tasks look every phrase up, compare the stored key, and add its slot to a
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from leadloom.llm.common import map_rows, materialize, read_table, vector_sum
 
 MIN_COUNT, LONGEST, TOP = 100, 5, 2000
-#: Bits of a Bloom filter (two bits an entry); keys of a block; ids of a written row (small, as readers hold ten thousand
+#: Bits of a Bloom filter at most (two bits an entry); keys of a block; ids of a written row (small, as readers hold ten thousand
 #: rows) and of an array that is worked on; hashes a task adds up before it sends them.
 BITS, SLOTS, ROW_IDS, ARRAY_IDS, HELD = 1 << 26, 1 << 20, 1 << 8, 1 << 16, 1 << 21
 #: Bytes of texts of a language that are taken apart at once; longer words are hashed one by one.
@@ -161,8 +161,9 @@ def with_ids(docs: DataFrame, seed: int = 0) -> tuple[DataFrame, int]:
         seed += 1
 
 
-def bloom(keys: DataFrame, bits: int = BITS) -> bytes:
-    """Bits of the 64-bit keys of a one-column table; tasks fill one array each, which are joined in a tree."""
+def bloom(keys: DataFrame, most: int = BITS) -> bytes:
+    """Bits of the 64-bit keys of a one-column table, 32 for each key but at most so many; tasks fill one array each, which are joined in a tree."""
+    bits = max(1 << 16, min(most, 1 << (32 * keys.count()).bit_length()))
 
     def fill(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         have = np.zeros(bits >> 3, np.uint8)
