@@ -462,6 +462,8 @@ def map_cards(pages: DataFrame) -> DataFrame:
     told = told.withColumn("address", one(lambda x: x.rlike(STREET)))
     told = told.withColumn("phone", one(lambda x: x.rlike(PHONE) & ~F.coalesce(x == F.col("address"), F.lit(False))))
     told = told.withColumn("category", one(lambda x: F.length(x).between(4, 60) & ~x.rlike("[0-9]") & ~x.rlike(STATUS) & ~F.coalesce(x == F.col("address"), F.lit(False))))
+    # A street's number may have five digits too: the code is the last such number before a town and its province.
+    code = F.coalesce(filled(F.regexp_extract("address", r"^.*\b([0-9]{5})\s+[^()]+?(?:\s+[A-Z]{2}\b|\s*\([A-Z]{2}\))", 1)), filled(F.regexp_extract("address", r"\b([0-9]{5})\b", 1)))
     town = lambda g: filled(F.coalesce(filled(F.regexp_extract("address", r"[0-9]{5}\s+([^()]+?)\s+([A-Z]{2})\b", g)), F.regexp_extract("address", r"[0-9]{5}\s+([^()]+?)\s*\(([A-Z]{2})\)", g)))
     totals = told.groupBy("page_id").agg(F.count("*").alias("total"), F.count_if(F.col("name").isNull()).alias("dropped"))
     from pyspark.sql import Window
@@ -469,5 +471,5 @@ def map_cards(pages: DataFrame) -> DataFrame:
     return told.filter("name is not null").join(totals, "page_id").select(
         "page_id", F.row_number().over(Window.partitionBy("page_id").orderBy("card")).alias("place"), "name",
         F.when(F.col("link").startswith("http"), F.col("link")).otherwise(F.concat(F.lit("https://www.google.com"), "link")).alias("maps_url"),
-        "website", "category", "address", filled(F.regexp_extract("address", r"\b([0-9]{5})\b", 1)).alias("zip"), town(1).alias("city"), town(2).alias("province"), "phone", "closed", "total", "dropped", (F.col("total") >= FEED_CAP).alias("cap_likely"),
+        "website", "category", "address", code.alias("zip"), town(1).alias("city"), town(2).alias("province"), "phone", "closed", "total", "dropped", (F.col("total") >= FEED_CAP).alias("cap_likely"),
     )
