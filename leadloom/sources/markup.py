@@ -118,13 +118,20 @@ def _scan(pages: DataFrame, schema: str, rows_of, id_col: str, html_col: str) ->
     return pages.select(F.col(id_col).alias("page_id"), F.col(html_col).alias("html")).mapInArrow(run, full)
 
 
-def elements(pages: DataFrame, wanted: Iterable[str], id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """(page_id, ELEMENT) of the elements with a wanted tag, class (.name) or attribute ([name]), in document order; #text is the whole text."""
+#: A script or style, or an ampersand that begins no character reference with its semicolon.
+_BARE = re.compile(r"<(script|style)\b.*?</\1\s*>|&(?!(?:#[0-9]+|#x[0-9a-f]+|[a-z][a-z0-9]*);)", re.I | re.S)
+
+
+def elements(pages: DataFrame, wanted: Iterable[str], id_col: str = "page_id", html_col: str = "html", closed: bool = False) -> DataFrame:
+    """(page_id, ELEMENT) of the elements with a wanted tag, class (.name) or attribute ([name]), in document order; #text is the whole text.
+
+    Browsers also read references without a semicolon (&amp for &); with closed, these are left as they are written.
+    """
     names = frozenset(wanted)
 
     def rows_of(html: str) -> list[dict]:
         scan = _Scan(names)
-        scan.feed(html)
+        scan.feed(_BARE.sub(lambda m: m[0] if m[1] else "&amp;", html) if closed else html)
         return scan.finish()
 
     return _scan(pages, ELEMENT, rows_of, id_col, html_col)
@@ -234,14 +241,15 @@ SITE_MARK = "scheda_azienda__cta_sitoweb"
 ADDRESS_CLASSES = ["sede__indirizzo", "scheda-azienda__addr", "contact__address", "search-itm__adr"]
 
 
-def detail_pages(pages: DataFrame) -> DataFrame:
+def detail_pages(pages: DataFrame, closed: bool = False) -> DataFrame:
     """(page_id, official_website, vat_code, phone, email, name, address) of company pages that give any of them.
 
     JSON-LD comes first, in its order; then a pattern over the page; then what is seen on it. Pages of fewer than
     200 characters give nothing. The site named is the marked anchor, then any that says so, never a directory's.
+    closed is that of elements().
     """
     whole = pages.filter(F.length("html") >= 200)
-    seen = elements(whole, ["a", "h1", *("." + c for c in ADDRESS_CLASSES)])
+    seen = elements(whole, ["a", "h1", *("." + c for c in ADDRESS_CLASSES)], closed=closed)
     href = F.trim(F.col("attrs")["href"])
     low = lambda c: F.lower(F.coalesce(c, F.lit("")))
     mark = F.coalesce(F.col("attrs")["data-tr"], F.lit(""))
@@ -313,9 +321,9 @@ def unwrap_rows(href: Column) -> Column:
     return F.when((path == "/l/") & target.isNotNull(), target).otherwise(full)
 
 
-def results_in_boxes(pages: DataFrame, limit: int = 25) -> DataFrame:
+def results_in_boxes(pages: DataFrame, limit: int = 25, closed: bool = False) -> DataFrame:
     """(page_id, rank, title, url, snippet) of result boxes (li.b_algo); the rank counts boxes, also those without a title or link."""
-    found = elements(pages.filter(~is_blocked(F.col("html"), "boxes")), ["a", "p", ".b_algo", ".b_snippet", ".b_lineclamp4"])
+    found = elements(pages.filter(~is_blocked(F.col("html"), "boxes")), ["a", "p", ".b_algo", ".b_snippet", ".b_lineclamp4"], closed=closed)
     box = F.filter("up", lambda u: (u["tag"] == "li") & F.array_contains(u["classes"], "b_algo"))
     inside = lambda test: F.exists("up", test)
     own = _is("li") & _classed("b_algo")
@@ -329,9 +337,9 @@ def results_in_boxes(pages: DataFrame, limit: int = 25) -> DataFrame:
     return _ranked(boxes, "box", has(F.col("href")) & F.col("title").isNotNull(), unwrap_boxes(F.col("href")), limit)
 
 
-def results_in_rows(pages: DataFrame, limit: int = 25) -> DataFrame:
+def results_in_rows(pages: DataFrame, limit: int = 25, closed: bool = False) -> DataFrame:
     """(page_id, rank, title, url, snippet) of result links (a.result-link) with the snippet of the next table row; pages without any give their plain links. The engine's own links are left out, after ranks are given."""
-    found = elements(pages.filter(~is_blocked(F.col("html"), "rows")), ["a", ".result-snippet"])
+    found = elements(pages.filter(~is_blocked(F.col("html"), "rows")), ["a", ".result-snippet"], closed=closed)
     row = F.get(F.filter("up", lambda u: u["tag"] == "tr"), F.lit(0))
     found = found.withColumns({"table": row["parent"], "row": row["nth"]})
     href = F.col("attrs")["href"]

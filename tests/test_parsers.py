@@ -226,3 +226,10 @@ def test_the_code_of_a_place_is_no_house_number(spark):
     html = '<body><div role="feed"><div class="Nv2PK"><div class="qBF1Pd">A</div><div class="W4Efsd"><span>Via Roma 10000, 32100 Belluno BL</span></div></div></div>' + PAD
     row = markup.map_cards(pages(spark, html)).first()
     assert (row["zip"], row["city"], row["province"]) == ("32100", "Belluno", "BL")
+
+
+def test_references_without_a_semicolon(spark):
+    html = "<h1>R&amp;D &ampx &#65; a&b</h1><script>a&&b</script>" + PAD
+    assert markup.detail_pages(pages(spark, html)).first()["name"] == "R&D &x A a&b"
+    assert markup.detail_pages(pages(spark, html), closed=True).first()["name"] == "R&D &ampx A a&b"
+    assert markup.elements(pages(spark, html), ["script"], closed=True).first()["text"] == "a&&b"
