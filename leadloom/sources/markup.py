@@ -305,7 +305,7 @@ def _query_value(url: Column, name: str) -> Column:
 def unwrap_boxes(href: Column) -> Column:
     """The target of a tracking link (path /ck/a, a1 and base64 in its parameter u), any other link as it is."""
     code = F.url_decode(_query_value(href, "u"))
-    body = F.translate(F.substring(code, 3, 100_000), "-_", "+/")
+    body = F.translate(F.substring(code, 3, 100_000), "-_\t\r\n", "+/")  # addresses lose tabs and line breaks
     padded = F.rpad(body, F.length(body) + F.pmod(-F.length(body), F.lit(4)), "=")
     target = F.call_function("try_to_binary", padded, F.lit("base64"))
     text = F.decode(target, "UTF-8")

@@ -233,3 +233,15 @@ def test_references_without_a_semicolon(spark):
     assert markup.detail_pages(pages(spark, html)).first()["name"] == "R&D &x A a&b"
     assert markup.detail_pages(pages(spark, html), closed=True).first()["name"] == "R&D &ampx A a&b"
     assert markup.elements(pages(spark, html), ["script"], closed=True).first()["text"] == "a&&b"
+
+
+def test_boxes_with_references_without_a_semicolon(spark):
+    html = '<ol><li class="b_algo"><h2><a href="https://x.example">A &amp</a></h2></li></ol>'
+    assert markup.results_in_boxes(pages(spark, html), closed=True).first()["title"] == "A &amp"
+
+
+def test_a_tracking_link_whose_code_has_line_breaks(spark):
+    url = "https://www.shop.example.com/de/8708?utm_source=feed&utm_medium=a-long-word-for-two-lines"
+    code = base64.encodebytes(url.encode()).decode().rstrip("=\n").replace("\n", "\r\n")
+    html = f'<ol><li class="b_algo"><h2><a href="https://www.bing.com/ck/a?u=a1{code}&ntb=1">A</a></h2></li></ol>'
+    assert markup.results_in_boxes(pages(spark, html)).first()["url"] == url
