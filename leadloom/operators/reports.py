@@ -134,15 +134,17 @@ def _level(score: Column) -> Column:
 def judge(signals: DataFrame) -> DataFrame:
     """(company, a, b, quadrant, target, confidence) from (company, axis, dimension, state, weight).
 
-    An axis is the weighted mean over known dimensions; unknown ones leave the denominator and lower the coverage.
+    An axis is the weighted mean over known dimensions; unknown ones leave the denominator and lower the coverage. Weights
+    and weighted values are summed as decimals of six digits, so that no order of rows shows where a mean is rounded.
     """
     value = F.lit(None).cast("double")
     for state, v in {**LEVELS_A, **STATES_B}.items():
         value = F.when(F.col("state") == state, v).otherwise(value)
     rows = signals.withColumn("value", value)
-    mean = lambda axis: F.sum(F.when((F.col("axis") == axis) & F.col("value").isNotNull(), F.col("value") * F.col("weight"))) / F.sum(F.when((F.col("axis") == axis) & F.col("value").isNotNull(), F.col("weight")))
+    total = lambda axis, c: F.sum(F.when((F.col("axis") == axis) & F.col("value").isNotNull(), c.cast("decimal(18,6)"))).cast("decimal(20,6)")
+    mean = lambda axis: F.round(F.try_divide(total(axis, F.col("value") * F.col("weight")), total(axis, F.col("weight"))), 3).cast("double")
     known = lambda axis: F.count_if((F.col("axis") == axis) & F.col("value").isNotNull()) / F.greatest(F.lit(1), F.count_if(F.col("axis") == axis))
-    out = rows.groupBy("company").agg(round_up(mean("A"), 3).alias("a"), round_up(mean("B"), 3).alias("b"), known("A").alias("ka"), known("B").alias("kb"))
+    out = rows.groupBy("company").agg(mean("A").alias("a"), mean("B").alias("b"), known("A").alias("ka"), known("B").alias("kb"))
     gap = F.col("a") - F.col("b")
     target = (
         F.when(F.col("a").isNull() | F.col("b").isNull(), "borderline")
