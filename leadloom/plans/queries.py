@@ -630,8 +630,8 @@ def _stream(spark, sf):
     from leadloom.storage import materialize
 
     # A stream reads folders; the table is copied into one so that the source is the same wherever the table lies.
-    rows = materialize(tables.table(spark, sf, "events"), "event-files")
-    return live.event_stream(spark, rows.inputFiles()[0].rsplit("/", 1)[0], rows.schema)
+    rows = materialize(tables.table(spark, sf, "events").drop("props"), "event-files")
+    return live.event_stream(spark, rows.inputFiles()[0].rsplit("/", 1)[0], rows.schema, None)
 
 
 @query("s_window_ledger", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type AS provider, count(*) AS calls, count_if(event_type = 'error') AS errors FROM events GROUP BY ALL")

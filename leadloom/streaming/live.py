@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,9 +17,14 @@ from leadloom.storage import shared_path
 FAILURES, WINDOW_S, COOLDOWN_S, TIMEOUT_WEIGHT = 5.0, 60.0, 120.0, 0.5
 
 
-def event_stream(spark: SparkSession, path: str, schema: Any, files_per_trigger: int = 1) -> DataFrame:
-    """A growing folder (or one file's folder) of Parquet as a stream."""
-    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+def event_stream(spark: SparkSession, path: str, schema: Any, files_per_trigger: int | None = 1) -> DataFrame:
+    """A growing folder (or one file's folder) of Parquet as a stream; without a number, a batch is all that is new.
+
+    Files that were written side by side have no order in time: in batches of one file each, rows of the later ones are late
+    by chance. A table that is there at once is therefore one batch.
+    """
+    reader = spark.readStream.schema(schema)
+    rows = (reader.option("maxFilesPerTrigger", files_per_trigger) if files_per_trigger else reader).parquet(path)
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
@@ -53,21 +59,24 @@ def breaker(events: DataFrame, lateness: str = "2 hours") -> DataFrame:
         now = state.get if state.exists else ("", 0.0)
         own = ([float(x) for x in now[0].split(",") if x], float(now[1]))
         calls = rejected = 0
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        for at, value in zip(rows["ts"].astype("int64") / 1e9, rows["value"], strict=True):
-            own, through = breaker_step(own, float(at), value < 20, value < 5)
+        parts = [tuple(rows[c].to_numpy() for c in ("ts", "event_id", "value")) for rows in batches]
+        ts, ids, values = (np.concatenate(c) for c in zip(*parts, strict=True))
+        order = np.lexsort((ids, ts))
+        for at, value in zip((ts[order].astype("datetime64[ns]").astype("int64") / 1e9).tolist(), values[order].tolist(), strict=True):
+            own, through = breaker_step(own, at, value < 20, value < 5)
             calls, rejected = calls + 1, rejected + (not through)
         state.update((",".join(map(repr, own[0])), own[1]))
         yield pd.DataFrame({"user_id": [key[0]], "calls": [calls], "rejected": [rejected]})
 
-    stamped = events.filter("user_id is not null")
+    stamped = events.filter("user_id is not null").select("user_id", "ts", "event_id", "value")
     return stamped.groupBy("user_id").applyInPandasWithState(step, "user_id bigint, calls bigint, rejected bigint", "halves string, until double", "update", GroupStateTimeout.NoTimeout)
 
 
-def run_once(stream: DataFrame, name: str, mode: str) -> DataFrame:
-    """Runs a stream over all that is there and gives its result as a table."""
+def run_once(stream: DataFrame, name: str, mode: str, out: str | None = None) -> DataFrame:
+    """Runs a stream over all that is there and gives its result as a table; with the folder of an earlier run, goes on from there."""
     spark = stream.sparkSession
-    out, mark = shared_path(spark, name), shared_path(spark, f"{name}-progress")
+    out = out or shared_path(spark, name)
+    mark = f"{out}-progress"
 
     def keep(batch: DataFrame, n: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={n}")  # a batch that runs again replaces itself

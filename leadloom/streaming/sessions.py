@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,13 +36,14 @@ def mark_late(events: DataFrame, lateness_s: float, key: str = "user_id", ts: st
         before = state.get[0] if state.exists else None
         latest = before
         for rows in batches:
-            at = rows[ts].astype("datetime64[us]").astype("int64").where(rows[ts].notna() & rows[key].notna())
-            out = rows[columns].copy()
-            out["late"] = (at < before - lateness_s * 1e6) if before is not None else False
-            if at.notna().any():
-                top = int(at.max())
+            at = rows[ts].to_numpy().astype("datetime64[us]")
+            timed = ~np.isnat(at) & rows[key].notna().to_numpy()
+            at = at.astype("int64")
+            late = timed & (at < before - lateness_s * 1e6) if before is not None else np.zeros(len(rows), bool)
+            if timed.any():
+                top = int(at[timed].max())
                 latest = top if latest is None else max(latest, top)
-            yield out
+            yield rows[columns].assign(late=late)
         if latest is not None:
             state.update((latest,))
 
