@@ -59,7 +59,7 @@ def body_facts(pages: DataFrame, rules: DataFrame) -> DataFrame:
     checked codes, phones digits, each once in order. Pages of fewer than 50 characters give nothing but empty lists.
     """
     whole = pages.select("page_id", "html", "official_website").filter(F.length("html") >= 50)
-    seen = elements(whole, ["a", "meta", "body", "[data-cfemail]", "#text"])
+    seen = elements(whole, ["a", "meta", "body", "[data-cfemail]", "#text"], up=False)
     attr = lambda n: F.col("attrs")[n]
     texts = seen.filter(F.col("tag").isin("body", "#text")).groupBy("page_id").agg(F.coalesce(F.max(F.when(F.col("tag") == "body", F.col("text"))), F.max("text")).alias("text"))
     facts = company_facts(whole)

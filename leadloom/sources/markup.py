@@ -20,6 +20,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from leadloom.functions import numbers
 from leadloom.functions.contact import is_directory_host, vat_codes
 from leadloom.functions.text import filled, has
+from leadloom.storage import materialize
 
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 #: Elements whose start closes an open element of the listed names, unless one of the fences is met first.
@@ -27,6 +28,8 @@ _CLOSES = {"li": ({"li"}, {"ul", "ol"}), "tr": ({"tr", "td", "th"}, {"table"}),
 #: Ancestors that are listed with an element: nearest first, at most so many.
 _UP = 24
 ELEMENT = "place int, tag string, classes array<string>, attrs map<string,string>, text string, parent int, nth int, up array<struct<place:int,tag:string,classes:array<string>,parent:int,nth:int>>"
+#: Characters of pages whose elements are sent together.
+SENT = 1 << 22
 #: JSON-LD pairs deeper than this are not looked at.
 LD_DEPTH = 12
 
@@ -34,8 +37,9 @@ LD_DEPTH = 12
 class _Scan(HTMLParser):
     """Collects the wanted elements of a page, with their text (scripts and styles left out of it) and place among siblings."""
 
-    def __init__(self, wanted: frozenset[str]) -> None:
+    def __init__(self, wanted: frozenset[str], ancestors: bool = True) -> None:
         super().__init__(convert_charrefs=True)
+        self.ancestors = ancestors
         self.wanted, self.rows, self.texts = wanted, [], []
         self.open: list[list] = [[0, "", [], -1, 0, 0, None, 0]]  # place, tag, classes, parent, nth, children, row, start of text
         self.count = 0
@@ -55,7 +59,7 @@ class _Scan(HTMLParser):
         node = [self.count, tag, classes, above[0], above[5], 0, None, len(self.texts)]
         above[5] += 1
         if tag in self.wanted or not self.wanted.isdisjoint("." + c for c in classes) or not self.wanted.isdisjoint(f"[{k}]" for k in named):
-            up = [{"place": n[0], "tag": n[1], "classes": n[2], "parent": n[3], "nth": n[4]} for n in reversed(self.open[1:])][:_UP]
+            up = [{"place": n[0], "tag": n[1], "classes": n[2], "parent": n[3], "nth": n[4]} for n in reversed(self.open[1:])][:_UP] if self.ancestors else []
             node[6] = {"place": self.count, "tag": tag, "classes": classes, "attrs": list(named.items()), "text": "", "parent": node[3], "nth": node[4], "up": up}
             self.rows.append(node[6])
         if tag not in _VOID:
@@ -109,11 +113,18 @@ def _scan(pages: DataFrame, schema: str, rows_of, id_col: str, html_col: str) ->
     arrow = to_arrow_schema(pages.sparkSession.createDataFrame([], full).schema)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, size = [], 0
         for batch in batches:
-            for page_id, html in zip(batch.column(0), batch.column(1), strict=True):
-                rows = [{"page_id": page_id.as_py(), **r} for r in rows_of(html.as_py() or "")]
-                for at in range(0, len(rows), 4096):
-                    yield pa.RecordBatch.from_pylist(rows[at : at + 4096], arrow)
+            for page_id, html in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                text = html.as_py() or ""
+                rows += [{"page_id": page_id, **r} for r in rows_of(text)]
+                size += len(text)
+                if len(rows) >= 4096 or size >= SENT:  # the elements of small pages are sent together
+                    for at in range(0, len(rows), 4096):
+                        yield pa.RecordBatch.from_pylist(rows[at : at + 4096], arrow)
+                    rows, size = [], 0
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, arrow)
 
     return pages.select(F.col(id_col).alias("page_id"), F.col(html_col).alias("html")).mapInArrow(run, full)
 
@@ -122,15 +133,15 @@ def _scan(pages: DataFrame, schema: str, rows_of, id_col: str, html_col: str) ->
 _BARE = re.compile(r"<(script|style)\b.*?</\1\s*>|&(?!(?:#[0-9]+|#x[0-9a-f]+|[a-z][a-z0-9]*);)", re.I | re.S)
 
 
-def elements(pages: DataFrame, wanted: Iterable[str], id_col: str = "page_id", html_col: str = "html", closed: bool = False) -> DataFrame:
+def elements(pages: DataFrame, wanted: Iterable[str], id_col: str = "page_id", html_col: str = "html", closed: bool = False, up: bool = True) -> DataFrame:
     """(page_id, ELEMENT) of the elements with a wanted tag, class (.name) or attribute ([name]), in document order; #text is the whole text.
 
-    Browsers also read references without a semicolon (&amp for &); with closed, these are left as they are written.
+    Browsers also read references without a semicolon (&amp for &); with closed, these are left as they are written. Without up, ancestors are not listed.
     """
     names = frozenset(wanted)
 
     def rows_of(html: str) -> list[dict]:
-        scan = _Scan(names)
+        scan = _Scan(names, up)
         scan.feed(_BARE.sub(lambda m: m[0] if m[1] else "&amp;", html) if closed else html)
         return scan.finish()
 
@@ -249,7 +260,7 @@ def detail_pages(pages: DataFrame, closed: bool = False) -> DataFrame:
     closed is that of elements().
     """
     whole = pages.filter(F.length("html") >= 200)
-    seen = elements(whole, ["a", "h1", *("." + c for c in ADDRESS_CLASSES)], closed=closed)
+    seen = elements(whole, ["a", "h1", *("." + c for c in ADDRESS_CLASSES)], closed=closed, up=False)
     href = F.trim(F.col("attrs")["href"])
     low = lambda c: F.lower(F.coalesce(c, F.lit("")))
     mark = F.coalesce(F.col("attrs")["data-tr"], F.lit(""))
@@ -374,7 +385,8 @@ def financials(pages: DataFrame) -> DataFrame:
     positive revenue, whatever the order; else the latest labelled one; of labels without a year the last.
     Confidence: 0.9 for a chart, 0.75 for a label, 0.4 for a name or code only, 0 for nothing.
     """
-    grid = elements(pages, ["th", "td", "h1", ".col-xs-5", ".col-sm-5", ".col-xs-7", ".col-sm-7", "body"])
+    grid = elements(pages, ["th", "td", "h1", ".col-xs-5", ".col-sm-5", ".col-xs-7", ".col-sm-7", "body"], up=False).drop("up")
+    grid = materialize(grid, "financial-elements")  # pages are scanned once
     label = (_is("th") & (F.col("attrs")["scope"] == "row")).alias("l")
     old = _classed("col-xs-5", "col-sm-5")
     key = F.lower(F.trim("text"))
