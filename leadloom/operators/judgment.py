@@ -73,10 +73,17 @@ def all_signals(companies: DataFrame, signals: DataFrame, surfaces: DataFrame) -
     """(seq, axis, key, state): the collected signals, and each dimension without one as unknown, a surface as absent where
     the footprint found it so. companies has one row a company; repeated signals stay."""
     keys = F.array(*[F.struct(F.lit(a).alias("axis"), F.lit(k).alias("key")) for a, ks in (("A", DIMENSIONS), ("B", SURFACES)) for k in ks])
-    wanted = companies.select("seq", F.explode(keys).alias("k")).select("seq", "k.*")
-    absent = surfaces.filter(F.col("state") == ABSENT).select("seq", F.lit("B").alias("axis"), "key", F.lit(True).alias("gone"))
-    missing = wanted.join(signals.select("seq", "axis", "key"), ["seq", "axis", "key"], "left_anti").join(absent, ["seq", "axis", "key"], "left")
-    return signals.select("seq", "axis", "key", "state").unionByName(missing.select("seq", "axis", "key", F.when(F.col("gone"), ABSENT).otherwise(UNKNOWN).alias("state")))
+    one = F.struct(*[F.col(c).cast("string").alias(c) for c in ("axis", "key", "state")])
+    none = lambda c: F.lit(None).cast(c)
+    kind = "struct<axis:string,key:string,state:string>"
+    # A company's few rows meet in one group, and its dimensions are written out after that.
+    rows = companies.select("seq", F.lit(True).alias("own"), none(kind).alias("signal"), none("string").alias("gone"))
+    rows = rows.unionByName(signals.select("seq", F.lit(False).alias("own"), one.alias("signal"), none("string").alias("gone")))
+    rows = rows.unionByName(surfaces.filter(F.col("state") == ABSENT).select("seq", F.lit(False).alias("own"), none(kind).alias("signal"), F.col("key").alias("gone")))
+    each = rows.groupBy("seq").agg(F.bool_or("own").alias("own"), F.collect_list("signal").alias("said"), F.collect_set("gone").alias("gone"))
+    lacking = F.filter(keys, lambda k: ~F.exists("said", lambda s: (s["axis"] == k["axis"]) & (s["key"] == k["key"])))
+    filled = F.transform(lacking, lambda k: F.struct(k["axis"].alias("axis"), k["key"].alias("key"), F.when((k["axis"] == "B") & F.array_contains("gone", k["key"]), ABSENT).otherwise(UNKNOWN).alias("state")))
+    return each.select("seq", F.inline(F.concat("said", F.when(F.col("own"), filled).otherwise(F.array().cast(f"array<{kind}>")))))
 
 
 def critic(verdicts: DataFrame, claims: DataFrame, signals: DataFrame) -> DataFrame:
