@@ -18,23 +18,25 @@ def _words(name: Column) -> Column:
     return F.filter(F.split(company_key_text(name), " "), lambda w: (w != "") & ~w.isin(["srl", "srls", "spa", "snc", "sas", "sapa"]))
 
 
+def _spelled(leads: DataFrame) -> DataFrame:
+    """(seq, full, dashed, brand, town) of leads; the words are a column of their own, so that they are made once a lead."""
+    rows = leads.select("seq", _words(F.col("company_name")).alias("words"), F.regexp_replace(key_text(F.col("city")), " ", "").alias("town"))
+    brand = F.array_join(F.filter("words", lambda w: ~w.isin(COMMON)), "")
+    return rows.select("seq", F.array_join("words", "").alias("full"), F.array_join("words", "-").alias("dashed"), brand.alias("brand"), "town")
+
+
 def domain_candidates(leads: DataFrame, most: int = 60) -> DataFrame:
     """(seq, domain, stem, tld, ord): names that a firm may have registered."""
-    words = _words(F.col("company_name"))
-    full, dashed = F.array_join(words, ""), F.array_join(words, "-")
-    brand = F.array_join(F.filter(words, lambda w: ~w.isin(COMMON)), "")
-    city = F.regexp_replace(key_text(F.col("city")), " ", "")
-    stems = F.array_distinct(F.filter(F.array(full, dashed, brand, F.concat(brand, city), F.concat(full, city)), lambda s: F.length(s).between(4, 60)))
+    named = _spelled(leads.filter("company_name is not null"))
+    stems = F.array_distinct(F.filter(F.array("full", "dashed", "brand", F.concat("brand", "town"), F.concat("full", "town")), lambda s: F.length(s).between(4, 60)))
     pairs = F.flatten(F.transform(stems, lambda s: F.array(*[F.struct(s.alias("stem"), F.lit(t).alias("tld")) for t in TLDS])))
-    rows = leads.filter("company_name is not null").select("seq", F.posexplode(F.slice(pairs, 1, most)).alias("ord", "p"))
+    rows = named.select("seq", F.posexplode(F.slice(pairs, 1, most)).alias("ord", "p"))
     return rows.select("seq", F.concat_ws(".", "p.stem", "p.tld").alias("domain"), F.col("p.stem").alias("stem"), F.col("p.tld").alias("tld"), "ord")
 
 
 def rank_candidates(candidates: DataFrame, leads: DataFrame, top: int = 6) -> DataFrame:
     """(seq, domain, points, place): the best candidates by likeness of stem and name; stems under six letters drop."""
-    words = _words(F.col("company_name"))
-    named = leads.select("seq", F.array_join(words, "").alias("full"), F.array_join(F.filter(words, lambda w: ~w.isin(COMMON)), "").alias("brand"), F.regexp_replace(key_text(F.col("city")), " ", "").alias("town"))
-    rows = candidates.join(named, "seq").withColumn("bare", F.regexp_replace("stem", "-", ""))
+    rows = candidates.join(_spelled(leads).drop("dashed"), "seq").withColumn("bare", F.regexp_replace("stem", "-", ""))
     flag = lambda c, w: F.when(c, w).otherwise(0)
     likeness = F.when(F.col("bare") == F.col("full"), 100).when(F.contains(F.col("bare"), F.col("full")), 80).when(F.col("bare") == F.col("brand"), 70).when((F.length("brand") >= 3) & F.contains(F.col("bare"), F.col("brand")), 50).otherwise(0)
     tld = F.lit(0)

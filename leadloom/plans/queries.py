@@ -614,12 +614,12 @@ def q_query_variants(spark, sf):
 
 @query("q_domain_candidates")
 def q_domain_candidates(spark, sf):
-    return domains.domain_candidates(leads(spark, sf))
+    return domains.domain_candidates(tables.dealt(leads(spark, sf), "seq"))
 
 
 @query("q_candidate_rank")
 def q_candidate_rank(spark, sf):
-    rows = leads(spark, sf)
+    rows = tables.dealt(leads(spark, sf), "seq")
     return domains.rank_candidates(domains.domain_candidates(rows), rows)
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from leadloom.operators import judgment
-from leadloom.plans import parsed
+from leadloom.plans import parsed, queries
 from leadloom.sources import tables
 
 SMALL = "/root/testdata/sf0.001"
@@ -30,3 +30,14 @@ def test_signals_stay_and_the_rest_is_written_out(spark):
     assert [r for r in rows if r[3] == judgment.ABSENT] == [(1, "B", "3.2", judgment.ABSENT)]
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan  # one shuffle of a company's few rows
+
+
+def plan_of(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_words_of_a_name_are_made_once_after_dealing(spark):
+    above, below = plan_of(queries.q_domain_candidates(spark, SMALL)).split("REPARTITION_BY_NUM")
+    assert above.count("srls, 1)") == 1 and "srls, 1)" not in below
+    ranked = plan_of(queries.q_candidate_rank(spark, SMALL))
+    assert ranked.count("srls, 1)") == 2  # of the candidates and of the leads they are held against
