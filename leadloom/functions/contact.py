@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from leadloom.functions.text import filled
+from leadloom.functions.text import bind, filled
 
 #: Suffixes under which names are registered (a subset; the full list is a parameter).
 SUFFIXES = ["co.uk", "com.br", "com.au", "gov.it", "edu.it", "altervista.org", "blogspot.com", "wixsite.com"]
@@ -94,12 +94,13 @@ def host(url: Column) -> Column:
 
 def registrable_domain(url: Column, suffixes: list[str] | None = None) -> Column:
     """The name under its suffix: three labels for a listed two-label suffix, else two."""
-    h = host(url)
-    labels = F.split(h, r"\.")
-    tail = lambda n: F.array_join(F.slice(labels, F.greatest(F.lit(1), F.size(labels) - n + 1), n), ".")
-    two = tail(2)
-    domain = F.when(two.isin(suffixes or SUFFIXES), F.when(F.size(labels) > 2, tail(3))).otherwise(two)
-    return F.when((F.size(labels) > 1) & ~h.rlike(r"^[0-9.]+$"), domain)
+
+    def named(h: Column, labels: Column) -> Column:
+        tail = lambda n: F.array_join(F.slice(labels, F.greatest(F.lit(1), F.size(labels) - n + 1), n), ".")
+        domain = bind(tail(2), lambda two: F.when(two.isin(suffixes or SUFFIXES), F.when(F.size(labels) > 2, tail(3))).otherwise(two))
+        return F.when((F.size(labels) > 1) & ~h.rlike(r"^[0-9.]+$"), domain)
+
+    return bind(host(url), lambda h: bind(F.split(h, r"\."), lambda labels: named(h, labels)))
 
 
 def subdomain(url: Column) -> Column:
@@ -114,10 +115,9 @@ def canonical_url(url: Column) -> Column:
 
 
 def is_directory_host(url: Column, hosts: list[str] | None = None) -> Column:
-    h = host(url)
-    labels = F.split(h, r"\.")
-    ends = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
-    return F.coalesce(F.arrays_overlap(ends, F.array(*map(F.lit, hosts or DIRECTORY_HOSTS))), F.lit(False))
+    own = F.array(*map(F.lit, hosts or DIRECTORY_HOSTS))
+    ends = lambda labels: F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
+    return F.coalesce(bind(F.split(host(url), r"\."), lambda labels: F.arrays_overlap(ends(labels), own)), F.lit(False))
 
 
 def social_network(url: Column) -> Column:

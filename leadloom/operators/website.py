@@ -27,28 +27,38 @@ def _schemed(url: Column) -> Column:
     return F.when(cut.rlike("^(?i)[a-z]+://"), cut).otherwise(F.concat(F.lit("https://"), F.regexp_replace(cut, "^/+", "")))
 
 
-def _parts(url: Column) -> tuple[Column, Column, Column, Column]:
-    """Scheme, host, port with its colon unless it is the scheme's own, and path without closing slashes."""
+def _parts(url: Column) -> Column:
+    """scheme, host, port with its colon unless it is the scheme's own, and path without closing slashes.
+
+    A struct whose fields are matched once each, however often they are named.
+    """
     part = lambda k: F.regexp_extract(url, _PARTS, k)
-    scheme = F.lower(part(1))
-    own = F.when(scheme == "https", ":443").otherwise(":80")
-    return scheme, F.lower(part(2)), F.when(part(3) == own, "").otherwise(part(3)), F.regexp_replace(part(4), "/+$", "")
+
+    def plain(p: Column) -> Column:
+        own = F.when(p["scheme"] == "https", ":443").otherwise(":80")
+        port = F.when(p["port"] == own, "").otherwise(p["port"])
+        return F.struct(p["scheme"].alias("scheme"), p["host"].alias("host"), port.alias("port"), F.regexp_replace(p["path"], "/+$", "").alias("path"))
+
+    return bind(F.struct(F.lower(part(1)).alias("scheme"), F.lower(part(2)).alias("host"), part(3).alias("port"), part(4).alias("path")), plain)
 
 
 def normal_url(url: Column) -> Column:
     """Scheme, host, port and path of a web address; null where there is no usable host."""
-    scheme, host, port, path = _parts(_schemed(url))
-    return F.when(has(url) & host.rlike(_HOST), F.concat(scheme, F.lit("://"), host, port, path))
+    whole = lambda p: F.when(p["host"].rlike(_HOST), F.concat(p["scheme"], F.lit("://"), p["host"], p["port"], p["path"]))
+    return F.when(has(url), bind(_schemed(url), lambda u: bind(_parts(u), whole)))
 
 
 def website_class(url: Column) -> Column:
     """VALID, INVALID (null and empty too), DIRECTORY_OR_SOCIAL or MESSAGING_OR_REDIRECT."""
 
-    def judged(normal: Column) -> Column:
-        bare = F.regexp_replace(_parts(normal)[1], r"^www\.", "")
-        return F.when(normal.isNull(), "INVALID").when(bare.isin(MESSAGING_HOSTS), "MESSAGING_OR_REDIRECT").when(is_directory_host(normal), "DIRECTORY_OR_SOCIAL").otherwise("VALID")
+    return bind(normal_url(url), _class_of)
+
 
-    return bind(normal_url(url), judged)
+def _class_of(normal: Column) -> Column:
+    """The class of a normal address."""
+    messaging = lambda bare: bare.isin(MESSAGING_HOSTS)
+    bare = F.regexp_replace(F.lower(F.regexp_extract(normal, _PARTS, 2)), r"^www\.", "")
+    return F.when(normal.isNull(), "INVALID").when(bind(bare, messaging), "MESSAGING_OR_REDIRECT").when(is_directory_host(normal), "DIRECTORY_OR_SOCIAL").otherwise("VALID")
 
 
 def website_candidates(url: Column) -> Column:
@@ -57,11 +67,10 @@ def website_candidates(url: Column) -> Column:
     none = F.array().cast("array<string>")
     www = lambda h: F.concat(F.lit("www."), h)
 
-    def parts(normal: Column) -> Column:
-        scheme, host, port, path = _parts(normal)
-        bare = F.regexp_replace(host, r"^www\.", "")
-        both = F.when(scheme == "http", F.array(F.lit("http://"), F.lit("https://"))).otherwise(F.array(F.lit("https://")))
-        return F.struct(both.alias("schemes"), host.alias("host"), bare.alias("bare"), registrable_domain(bare).alias("domain"), port.alias("port"), path.alias("path"))
+    def parts(p: Column) -> Column:
+        both = F.when(p["scheme"] == "http", F.array(F.lit("http://"), F.lit("https://"))).otherwise(F.array(F.lit("https://")))
+        named = lambda bare: F.struct(both.alias("schemes"), p["host"].alias("host"), bare.alias("bare"), registrable_domain(bare).alias("domain"), p["port"].alias("port"), p["path"].alias("path"))
+        return bind(F.regexp_replace(p["host"], r"^www\.", ""), named)
 
     def tried(p: Column) -> Column:
         host, bare, domain, port = p["host"], p["bare"], p["domain"], p["port"]
@@ -71,16 +80,17 @@ def website_candidates(url: Column) -> Column:
         above = F.when(domain.isNotNull() & (domain != bare), F.concat(flat(domain), flat(www(domain)))).otherwise(none)
         return F.array_distinct(F.concat(deep(host), other, above))
 
-    return F.when(website_class(url) == "VALID", bind(bind(normal_url(url), parts), tried)).otherwise(none)
+    valid = lambda normal: F.when(_class_of(normal) == "VALID", bind(bind(_parts(normal), parts), tried)).otherwise(none)
+    return bind(normal_url(url), valid)
 
 
 def domain_has_name(url: Column, name: Column) -> Column:
     """Whether a word of the name of 4 or more letters that isn't generic stands in the host before its last label."""
-    host = F.regexp_replace(filled(_parts(_schemed(url))[1]), r"^www\.", "")
-    labels = F.filter(F.split(host, r"\."), lambda x: x != "")
-    core = F.when(F.size(labels) >= 2, F.regexp_replace(F.array_join(F.slice(labels, 1, F.size(labels) - 1), ""), "[^a-z0-9]", ""))
+    host = F.regexp_replace(filled(F.lower(F.regexp_extract(_schemed(url), _PARTS, 2))), r"^www\.", "")
+    before = lambda labels: F.when(F.size(labels) >= 2, F.regexp_replace(F.array_join(F.slice(labels, 1, F.size(labels) - 1), ""), "[^a-z0-9]", ""))
+    core = bind(F.filter(F.split(host, r"\."), lambda x: x != ""), before)
     words = F.filter(F.split(F.regexp_replace(F.lower(name), "[^a-z0-9]+", " "), " "), lambda t: (F.length(t) >= 4) & ~t.isin(GENERIC_WORDS))
-    return F.coalesce(F.exists(words, lambda t: F.contains(core, t)), F.lit(False))
+    return F.coalesce(bind(core, lambda c: F.exists(words, lambda t: F.contains(c, t))), F.lit(False))
 
 
 _GOOGLE = r"^(?:www\.|maps\.)?google\.(?:[a-z]{2,3}|com\.[a-z]{2}|co\.[a-z]{2})$"

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from leadloom.functions import text
 from leadloom.functions.contact import DIRECTORY_HOSTS
 from leadloom.operators import judgment, people, reports, views, website
 from leadloom.plans.queries import _HAS, _PCT, _REGIONS, leads, query
@@ -11,7 +12,7 @@ from leadloom.sources import tables
 
 
 def sites(spark, sf):
-    return tables.view(spark, sf, "sites")
+    return tables.dealt(tables.view(spark, sf, "sites"), "seq")
 
 
 def _in(values) -> str:
@@ -41,8 +42,9 @@ def q_website_class(spark, sf):
 @query("q_website_candidates", f"""WITH {_SITE}, all_ AS (SELECT seq, list_filter([{_TRY}], lambda c: c IS NOT NULL) AS c FROM known WHERE class = 'VALID')
 SELECT seq, array_to_string(list_filter(c, lambda x, i: list_position(c, x) = i), ' ') AS candidates FROM all_""", "sites")
 def q_website_candidates(spark, sf):
-    tried = sites(spark, sf).select("seq", website.website_candidates(F.col("url")).alias("c"))
-    return tried.filter(F.size("c") > 0).select("seq", F.array_join("c", " ").alias("candidates"))
+    # A filter would be moved below the dealing out of rows and make the addresses of all rows in the few tasks that read.
+    line = text.bind(website.website_candidates(F.col("url")), lambda c: F.when(F.size(c) > 0, F.array(F.array_join(c, " "))))
+    return sites(spark, sf).select("seq", F.explode(line).alias("candidates"))
 
 
 @query("q_domain_has_name", f"""WITH {_SITE}, w AS (SELECT seq, regexp_replace(regexp_replace(bare, '[.][^.]*$', ''), '[^a-z0-9]', '', 'g') AS core, contains(bare, '.') AS dotted,

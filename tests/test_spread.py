@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from leadloom.operators import judgment
-from leadloom.plans import parsed, queries
+from leadloom.plans import parsed, queries, views
 from leadloom.sources import tables
 
 SMALL = "/root/testdata/sf0.001"
@@ -36,6 +36,11 @@ def plan_of(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_addresses_are_made_after_dealing(spark):
+    above, below = plan_of(views.q_website_candidates(spark, SMALL)).split("REPARTITION_BY_NUM")
+    assert "regexp_extract" in above and "regexp_extract" not in below
+
+
 def test_words_of_a_name_are_made_once_after_dealing(spark):
     above, below = plan_of(queries.q_domain_candidates(spark, SMALL)).split("REPARTITION_BY_NUM")
     assert above.count("srls, 1)") == 1 and "srls, 1)" not in below
