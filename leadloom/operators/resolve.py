@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -102,45 +103,61 @@ def merge_components(keyed: DataFrame, found: DataFrame, columns: list[str]) ->
 
 
 FOLD = ["seq", "company_name", "city", "address", "phone", "website", "email", "source", *KEYS]
+#: Rows of a batch that are Python objects at a time.
+FOLD_ROWS = 2048
 
 
-def fold(group: pd.DataFrame) -> Iterator[tuple[int, int]]:
-    """(seq, kept seq) by the greedy ordered rule: a lead joins the first earlier lead that any of its keys names, in
-    the order of KEYS; otherwise it is kept. A merged lead lends its missing fields, whose keys then name the kept one."""
-    index: list[dict[str, int]] = [{} for _ in KEYS]
-    kept: dict[int, dict] = {}
-
-    def note(lead: dict, own: int) -> None:
-        for at, k in enumerate(KEYS):
-            if lead[k]:
-                index[at][lead[k]] = own
-
-    for lead in group.sort_values("seq").to_dict("records"):
-        lead = {k: None if v is None or v != v else v for k, v in lead.items()}
-        found = next((index[at][lead[k]] for at, k in enumerate(KEYS) if lead[k] and lead[k] in index[at]), None)
+class Fold:
+    """The greedy ordered rule, a lead at a time: a lead joins the first earlier lead that any of its keys names, in the
+    order of KEYS; otherwise it is kept. A merged lead lends its missing keys, which then name the kept one.
+
+    Held are the keys seen and those of the kept leads, never the rows that were merged into them.
+    """
+
+    def __init__(self) -> None:
+        self.index: list[dict[str, int]] = [{} for _ in KEYS]
+        self.kept: dict[int, list[str | None]] = {}
+
+    def add(self, seq: int, keys: list[str | None]) -> int:
+        """The seq of the lead that this one is merged into, or its own."""
+        found = next((own[k] for own, k in zip(self.index, keys, strict=True) if k and k in own), None)
         if found is None:
-            kept[lead["seq"]] = lead
-            note(lead, lead["seq"])
-            yield lead["seq"], lead["seq"]
-            continue
-        have = kept[found]
-        for k in FOLD[1:]:
-            if have[k] in (None, ""):
-                have[k] = lead[k]
-        if not have["k_name_city"] and have["company_name"] and have["city"]:
-            have["k_name_city"] = lead["k_name_city"]
-        note(have, found)
-        yield lead["seq"], found
+            found = seq
+            self.kept[seq] = keys
+        have = self.kept[found] = [h or k for h, k in zip(self.kept[found], keys, strict=True)]
+        for own, k in zip(self.index, have, strict=True):
+            if k:
+                own[k] = found
+        return found
 
 
-def dedupe_ordered(keyed: DataFrame) -> DataFrame:
-    """(seq, kept): the greedy fold, run on each component by itself, as leads of different components share no key."""
-    blocks = keyed.select(*FOLD).join(components(keyed), "seq")
+def fold(group: pd.DataFrame) -> Iterator[tuple[int, int]]:
+    """(seq, kept seq) of the leads of one component."""
+    rule = Fold()
+    for lead in group.sort_values("seq")[["seq", *KEYS]].to_dict("records"):
+        yield lead["seq"], rule.add(lead["seq"], [None if lead[k] != lead[k] else lead[k] for k in KEYS])
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(fold(group), columns=["seq", "kept"])
 
-    return blocks.groupBy("entity").applyInPandas(run, "seq bigint, kept bigint")
+def dedupe_ordered(keyed: DataFrame) -> DataFrame:
+    """(seq, kept): the greedy fold, run on each component by itself, as leads of different components share no key.
+
+    A component's leads come sorted and batch by batch, so its task holds its keys and kept leads, not its rows.
+    """
+    blocks = keyed.select("seq", *KEYS).join(components(keyed), "seq").select("entity", "seq", *KEYS)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        entity, rule = None, Fold()
+        for batch in batches:
+            for at in range(0, batch.num_rows, FOLD_ROWS):
+                part, kept = batch.slice(at, FOLD_ROWS), []
+                own, seqs, *keys = (c.to_pylist() for c in part.columns)
+                for e, seq, *k in zip(own, seqs, *keys, strict=True):
+                    if e != entity:
+                        entity, rule = e, Fold()
+                    kept.append(rule.add(seq, k))
+                yield pa.RecordBatch.from_arrays([part.column(1), pa.array(kept, pa.int64())], ["seq", "kept"])
+
+    return blocks.repartition("entity").sortWithinPartitions("entity", "seq").mapInArrow(run, "seq bigint, kept bigint")
 
 
 def upsert(store: DataFrame, incoming: DataFrame, key: str, columns: list[str]) -> DataFrame:

@@ -179,6 +179,22 @@ def test_breaker_opens_and_cools_down():
     assert live.breaker_step(state, 9.0, False, False)[1]
 
 
+def test_fold_holds_keys_and_kept_leads_not_rows():
+    rule = resolve.Fold()
+    assert {rule.add(k, ["042200001", f"n{k % 3}|pd", None, ""]) for k in range(5000)} == {0}
+    assert len(rule.kept) == 1 and sum(map(len, rule.index)) == 2  # a kept lead's keys are those it came with
+
+
+def test_fold_is_read_batch_by_batch(spark, monkeypatch):
+    monkeypatch.setattr(resolve, "FOLD_ROWS", 3)
+    leads = spark.createDataFrame([(k, "042200001" if k % 2 else None, f"n{k // 4}|pd", None, None) for k in range(40)], "seq long, k_phone string, k_name_city string, k_name_addr string, k_host string")
+    rows = leads.toPandas()
+    rows = rows.astype(object).where(rows.notna(), None)
+    whole = dict(resolve.fold(rows))
+    assert {r.seq: r.kept for r in resolve.dedupe_ordered(leads).collect()} == whole
+    assert "MapInArrow" in resolve.dedupe_ordered(leads)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_fold_of_empty_group():
     assert list(resolve.fold(pd.DataFrame(columns=resolve.FOLD))) == []
 
