@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from typing import Any
 
@@ -15,6 +16,8 @@ from leadloom.storage import shared_path
 
 #: Breaker limits.
 FAILURES, WINDOW_S, COOLDOWN_S, TIMEOUT_WEIGHT = 5.0, 60.0, 120.0, 0.5
+#: Groups into which users are dealt, as each call of Python costs more than a user's events.
+BUCKETS = 1024
 
 
 def event_stream(spark: SparkSession, path: str, schema: Any, files_per_trigger: int | None = 1) -> DataFrame:
@@ -52,24 +55,34 @@ def breaker_step(state: tuple[list[float], float], at: float, failed: bool, time
     return (halves, until), True
 
 
-def breaker(events: DataFrame, lateness: str = "2 hours") -> DataFrame:
-    """(provider, calls, rejected) of each batch: a breaker for each key, whose state is bounded by its window."""
+def breaker(events: DataFrame, lateness: str = "2 hours", buckets: int = BUCKETS) -> DataFrame:
+    """(user_id, calls, rejected) of each batch: a breaker for each user, whose state is bounded by its window.
+
+    Users are grouped into buckets by a hash, so that Python is called for each bucket, not for each user.
+    """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        now = state.get if state.exists else ("", 0.0)
-        own = ([float(x) for x in now[0].split(",") if x], float(now[1]))
-        calls = rejected = 0
-        parts = [tuple(rows[c].to_numpy() for c in ("ts", "event_id", "value")) for rows in batches]
-        ts, ids, values = (np.concatenate(c) for c in zip(*parts, strict=True))
-        order = np.lexsort((ids, ts))
-        for at, value in zip((ts[order].astype("datetime64[ns]").astype("int64") / 1e9).tolist(), values[order].tolist(), strict=True):
-            own, through = breaker_step(own, at, value < 20, value < 5)
-            calls, rejected = calls + 1, rejected + (not through)
-        state.update((",".join(map(repr, own[0])), own[1]))
-        yield pd.DataFrame({"user_id": [key[0]], "calls": [calls], "rejected": [rejected]})
-
-    stamped = events.filter("user_id is not null").select("user_id", "ts", "event_id", "value")
-    return stamped.groupBy("user_id").applyInPandasWithState(step, "user_id bigint, calls bigint, rejected bigint", "halves string, until double", "update", GroupStateTimeout.NoTimeout)
+        held = json.loads(state.get[0]) if state.exists else {}
+        parts = [tuple(rows[c].to_numpy() for c in ("user_id", "ts", "event_id", "value")) for rows in batches]
+        users, ts, ids, values = (np.concatenate(c) for c in zip(*parts, strict=True))
+        order = np.lexsort((ids, ts, users))
+        users, values, at = users[order], values[order].tolist(), (ts[order].astype("datetime64[ns]").astype("int64") / 1e9).tolist()
+        first = np.flatnonzero(np.append(True, users[1:] != users[:-1]))
+        names, rejected = users[first], []
+        for user, lo, hi in zip(names.tolist(), first.tolist(), [*first[1:].tolist(), len(at)], strict=True):
+            halves, until = held.get(str(user), ([], 0.0))
+            own, shut = (halves, until), 0
+            for k in range(lo, hi):
+                own, through = breaker_step(own, at[k], values[k] < 20, values[k] < 5)
+                shut += not through
+            held[str(user)] = own
+            rejected.append(shut)
+        state.update((json.dumps(held),))
+        yield pd.DataFrame({"user_id": names, "calls": np.diff(np.append(first, len(at))), "rejected": rejected})
+
+    bucket = F.pmod(F.xxhash64("user_id"), F.lit(buckets)).alias("bucket")
+    stamped = events.filter("user_id is not null").select(bucket, "user_id", "ts", "event_id", "value")
+    return stamped.groupBy("bucket").applyInPandasWithState(step, "user_id bigint, calls bigint, rejected bigint", "held string", "update", GroupStateTimeout.NoTimeout)
 
 
 def run_once(stream: DataFrame, name: str, mode: str, out: str | None = None) -> DataFrame:

@@ -195,6 +195,20 @@ def test_fold_is_read_batch_by_batch(spark, monkeypatch):
     assert "MapInArrow" in resolve.dedupe_ordered(leads)._jdf.queryExecution().executedPlan().toString()
 
 
+def test_breaker_of_a_bucket_keeps_its_users_apart(spark, tmp_path):
+    at = [(k, 10 * k + u, u, 1.0 if u == 1 else 50.0) for k in range(12) for u in (1, 2)]
+    table = spark.createDataFrame(at, "s long, event_id long, user_id long, value double").selectExpr("event_id", "timestamp_seconds(s) AS ts", "user_id", "value")
+    for part in (0, 1):  # two batches, so that the state of a bucket is read back
+        table.filter(f"(event_id >= 60) = {bool(part)}".lower()).coalesce(1).write.mode("append").parquet(str(tmp_path / "events"))
+    stream = live.event_stream(spark, str(tmp_path / "events"), table.schema)
+    out = live.run_once(live.breaker(stream, buckets=1), "breaker", "update").groupBy("user_id").sum("calls", "rejected").collect()
+    state, shut = ([], 0.0), 0
+    for k in range(12):
+        state, through = live.breaker_step(state, float(k), True, True)
+        shut += not through
+    assert shut and {tuple(r) for r in out} == {(1, 12, shut), (2, 12, 0)}
+
+
 def test_fold_of_empty_group():
     assert list(resolve.fold(pd.DataFrame(columns=resolve.FOLD))) == []
 
