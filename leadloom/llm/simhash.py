@@ -228,21 +228,54 @@ def bands(hashes: np.ndarray) -> list[int]:
     return key.view(np.int64).tolist()
 
 
+def majority(hashes: np.ndarray) -> int:
+    """Signed 64-bit SimHash of the hashes of a set: bits that are set in over half of them."""
+    ones = sum((np.unpackbits(hashes[k : k + COUNT_ROWS].view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64) for k in range(0, len(hashes), COUNT_ROWS)), np.zeros(64, np.int64))
+    return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "little", signed=True)
+
+
+def within(row: np.ndarray, place: np.ndarray, size: np.ndarray, width: int, radius: float, n_pivots: int = PIVOTS) -> np.ndarray:
+    """Pairs of rows that a pivot table of Jaccard distances leaves open.
+
+    Jaccard distance is a metric, so rows whose distances to some pivot differ by more than the radius are farther apart than it.
+    """
+    refs = np.unique(np.linspace(0, len(size) - 1, n_pivots).astype(int))
+    left = np.ones((len(size), len(size)), bool)
+    for ref in refs.tolist():
+        own = np.zeros(width)
+        own[place[row == ref]] = 1
+        shared = np.bincount(row, own[place], len(size))
+        shared[ref] = size[ref]
+        distance = 1 - shared / np.maximum(1, size + size[ref] - shared)
+        distance[(size == 0) & (size[ref] == 0)] = 0
+        left &= np.abs(distance[:, None] - distance[None, :]) <= radius + 1e-9
+    return left
+
+
 def similar(sets: list[np.ndarray], similarity: float) -> np.ndarray:
-    """The first row of each row's class, where sets of at least this Jaccard similarity are linked."""
+    """The first row of each row's class, where sets of at least this Jaccard similarity are linked.
+
+    Pairs that the pivot table discards are no links; only rows with pairs left are compared hash by hash.
+    """
     size = np.array([len(s) for s in sets])
     _, at, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     row, place = np.repeat(np.arange(len(sets)), size)[held[at] > 1], (np.cumsum(held > 1) - 1)[at[held[at] > 1]]
+    width = int((held > 1).sum())
+    left = within(row, place, size, width, 1 - similarity)
+    rows = np.flatnonzero(left.sum(axis=1) > 1)
+    kept = np.isin(row, rows)
+    row, place = np.searchsorted(rows, row[kept]), place[kept]
     order = np.argsort(place, kind="stable")
     row, place = row[order], place[order]
-    shared = np.zeros((len(sets), len(sets)))
-    width = int((held > 1).sum())
+    shared = np.zeros((len(rows), len(rows)))
     for k in range(0, width, SLAB):
         lo, hi = np.searchsorted(place, [k, k + SLAB])
-        part = np.zeros((len(sets), min(SLAB, width - k)), np.float32)
+        part = np.zeros((len(rows), min(SLAB, width - k)), np.float32)
         part[row[lo:hi], place[lo:hi] - k] = 1
         shared += part @ part.T
-    linked = shared >= similarity * (size[:, None] + size[None, :] - shared) - 1e-9
+    near = shared >= similarity * (size[rows][:, None] + size[rows][None, :] - shared) - 1e-9
+    linked = np.zeros((len(sets), len(sets)), bool)
+    linked[np.ix_(rows, rows)] = near & left[np.ix_(rows, rows)]
     label = np.full(len(sets), -1)
     for k in range(len(sets)):
         if label[k] < 0:
@@ -271,7 +304,7 @@ def _verified(dealt: DataFrame, size: int, similarity: float) -> DataFrame:
 def similar_texts(texts: DataFrame, size: int = WORDS, similarity: float = SIMILARITY, chunk: int = CHUNK) -> DataFrame:
     """(node, root): the classes of texts (root, node, text) that links of at least this shingle similarity connect.
 
-    Only texts of one candidate class (root, its smallest node) are compared. Each of its chunks is solved with the
+    Only texts of one candidate class (root, its smallest node) are compared, where pivot tables leave them open. Each of its chunks is solved with the
     class's first text; then the texts outside the class's largest part meet all others, chunk by chunk.
     """
     spread = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
@@ -293,11 +326,21 @@ def similar_texts(texts: DataFrame, size: int = WORDS, similarity: float = SIMIL
     return components(inner.unionByName(_verified(met, size, similarity)))
 
 
+def _fingerprint_links(nodes: DataFrame) -> DataFrame:
+    """(node, first): candidate links of nodes (node, fp): equal fingerprints, and those that links() finds near."""
+    named = materialize(nodes.groupBy("fp").agg(F.min("node").alias("first")), "fingerprints")
+    near = links(named.select("fp"))
+    ends = near.join(named.select(F.col("fp").alias("a"), F.col("first").alias("node")), "a").join(named.select(F.col("fp").alias("b"), "first"), "b").select("node", "first")
+    return nodes.join(named, "fp").filter("node <> first").select("node", "first").unionByName(ends)
+
+
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WORDS, similarity: float = SIMILARITY, chunk: int = CHUNK) -> DataFrame:
     """docs with one row of each near-duplicate group, the first by id (nulls last), columns unchanged.
 
-    Texts are linked when the Jaccard similarity of their word shingles is at least `similarity`, counted exactly. A
-    64-bit fingerprint can't propose the pairs: at 0.8 they differ in about ten bits, so bands of min-hashes do.
+    Texts are linked when the Jaccard similarity of their word shingles is at least `similarity`, counted exactly.
+    SimHash fingerprints of the shingles propose pairs by buckets and pivot tables, as in near_duplicates(); at 0.8
+    fingerprints differ in about ten bits, beyond any bucket, so bands of min-hashes propose further pairs. In a
+    candidate class, pivot tables of Jaccard distances discard pairs before the exact count.
     Texts with equal shingles are one node. Row ids are written together with the rows, so they hold when tasks run again.
     """
     rows = docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("rid"))
@@ -305,14 +348,15 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def keys(slices: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
         for part in slices:
             sets = [shingles(space_words(t), size) for t in part["text"]]
-            yield {"same": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets], "bands": [bands(s) for s in sets]}
+            yield {"same": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets], "fp": [majority(s) for s in sets], "bands": [bands(s) for s in sets]}
 
-    written = map_rows(rows, {"text": F.col(f"row.`{text_col}`").cast("string")}, "same binary, bands array<bigint>", keys, keep_row=True)
-    written = materialize(written.select("_row.row", "_row.rid", "same", "bands"), "shingled")
-    nodes = materialize(written.groupBy("same").agg(F.min("rid").alias("node"), F.first("bands").alias("bands")), "sets")
+    written = map_rows(rows, {"text": F.col(f"row.`{text_col}`").cast("string")}, "same binary, fp bigint, bands array<bigint>", keys, keep_row=True)
+    written = materialize(written.select("_row.row", "_row.rid", "same", "fp", "bands"), "shingled")
+    nodes = materialize(written.groupBy("same").agg(F.min("rid").alias("node"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "sets")
     each = nodes.select("node", F.explode("bands").alias("band"))
     first = each.groupBy("band").agg(F.min("node").alias("first"), F.count("*").alias("n")).filter("n > 1")
-    roots = components(each.join(first, "band").select("node", "first"))
+    banded = each.join(first, "band").select("node", "first")
+    roots = components(banded.unionByName(_fingerprint_links(nodes)))
     texts = written.select(F.col("rid").alias("node"), F.col(f"row.`{text_col}`").cast("string").alias("text")).join(roots, "node")
     found = similar_texts(materialize(texts.select("root", "node", "text"), "candidates"), size, similarity, chunk)
     named = written.select(F.col(f"row.`{id_col}`").alias("id"), "rid", "same").join(nodes.select("same", "node"), "same").join(found, "node", "left")

@@ -138,6 +138,31 @@ def test_deduplicate_finds_every_copy_above_the_similarity(spark):
         assert {r.doc_id for r in simhash.deduplicate(df, chunk=chunk).collect()} == set(root)
 
 
+def test_pivot_tables_of_sets_lose_no_link():
+    rng = np.random.default_rng(4)
+    base = [rng.integers(0, 1 << 62, 60).astype(np.uint64) for _ in range(6)]
+    sets = [np.unique(np.append(rng.choice(base[k % 6], 60 - k % 9, replace=False), rng.integers(0, 1 << 62, k % 5).astype(np.uint64))) for k in range(60)]
+    sets += [np.zeros(0, np.uint64)] * 2 + [rng.integers(0, 1 << 62, 9).astype(np.uint64)]
+    linked = np.array([[len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b)) for b in sets] for a in sets])
+    size = np.array([len(x) for x in sets])
+    _, at = np.unique(np.concatenate(sets), return_inverse=True)
+    left = simhash.within(np.repeat(np.arange(len(sets)), size), at, size, at.max() + 1, 0.2)
+    assert not (linked & ~left).any() and left.sum() < left.size
+    root = list(range(len(sets)))
+    for j in range(len(sets)):
+        for i in np.flatnonzero(linked[j, :j]):
+            low, high = sorted((root[i], root[j]))
+            root = [low if r == high else r for r in root]
+    assert simhash.similar(sets, 0.8).tolist() == root
+
+
+def test_fingerprints_of_sets_propose_candidates(spark):
+    hashes = np.array([3, 5, 1 << 63], np.uint64)
+    assert simhash.majority(hashes) == 1 and simhash.majority(hashes[:0]) == 0 and simhash.majority(hashes[2:]) == -(1 << 63)
+    nodes = spark.createDataFrame([(1, 0), (2, 0), (3, 15), (4, (1 << 40) - 1)], "node bigint, fp bigint")
+    assert {tuple(sorted(r)) for r in simhash._fingerprint_links(nodes).collect()} == {(1, 2), (1, 3)}
+
+
 def test_components(spark):
     edges = [(a, a + 1) for a in range(0, 40)] + [(100, 100 + k) for k in range(1, 30)] + [(7, 7), (200, 150), (150, 200)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
