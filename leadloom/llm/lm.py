@@ -1,11 +1,12 @@
-"""Language-model scoring: a word base model, and a causal self-attention model over subword ids.
+"""Language-model scoring: a word base model, and a causal self-attention model over words and subwords.
 
 Texts are words, lower-cased, joined by a space and ended by an end mark. The base model is an add-one
 unigram over words. Its counts are an aggregate over the whole training part; the most frequent words (a
 list of stated length) are broadcast and scored where the text is, and only the other words of each document
 are joined with the counts, so neither frequent words nor a growing vocabulary are sent to every task.
 
-The attention model predicts a group of classes, a class of the group (ids of like frequency, apart for ids that
+The attention model's ids are the frequent words seen at least `LEAST_SEEN` times in training, one id each, the
+subwords that spell all others, and the end mark. It predicts a group of classes, a class of the group (ids of like frequency, apart for ids that
 open a word), and the id within its class by the smoothed counts of the whole training part, so probabilities of
 all ids add up to one. Three things come from counts over all training documents: the classes, the logits of a
 class after the last id, and the embeddings (the leading singular vectors of these logits). The attention
@@ -35,6 +36,10 @@ from leadloom.llm.common import crc_mod, map_rows, materialize, read_table, spac
 from leadloom.llm.encoder import encoder, vocabulary_path
 
 FREQUENT, COUNTED, CACHED_WORDS = 300_000, 300_000, 500_000
+#: Longer words aren't held. What a word may end in without changing the ids of the letters before.
+CACHED_BYTES, MARKS = 48, b"!#$%&()*+,./:;<=>?@[\\]^{|}~-"
+#: Words seen as often in training are one id of the model each, if they are among the frequent ones; others are spelled in subwords.
+LEAST_SEEN = 4
 #: Levels for each doubling of a count, by which the frequent words are chosen.
 COUNT_LEVELS = 16
 WINDOW, STRIDE, WIDTH, CLASSES, GROUPS, OWN_SLOTS = 32, 24, 16, 128, 8, 512
@@ -47,22 +52,38 @@ END = ""
 
 
 class WordIds(dict):
-    """Little-endian 32-bit subword ids of a space and a word, with a bounded cache for each worker."""
+    """Little-endian 32-bit subword ids of a space and a word, with a bounded cache of two generations for each worker."""
 
     def __init__(self, vocabulary: str):
         super().__init__()
         self.encoder = encoder(vocabulary)
+        self.older: dict[bytes, bytes] = {}
+        self.marks: dict[bytes, bytes] = {}
 
     def __missing__(self, word: bytes) -> bytes:
-        ids = self.encoder.encoded(b" " + word)
-        if len(word) <= 48:
+        stem = word.rstrip(MARKS)
+        if stem and len(stem) < len(word) and stem.decode().isalpha():  # letters and marks after them are two pre-tokens
+            return self[stem] + self._mark_ids(word[len(stem) :])
+        ids = self.older.get(word)
+        if ids is None:
+            ids = self.encoder.encoded(b" " + word)
+        if len(word) <= CACHED_BYTES:
             self[word] = ids
         return ids
 
-    def sequence(self, words: list[bytes], end: int) -> np.ndarray:
-        if len(self) > CACHED_WORDS:
+    def _mark_ids(self, marks: bytes) -> bytes:
+        ids = self.marks.get(marks)
+        if ids is None:
+            ids = self.encoder.encoded(marks)
+            if len(marks) <= CACHED_BYTES and len(self.marks) < CACHED_WORDS // 8:
+                self.marks[marks] = ids
+        return ids
+
+    def of(self, words: Iterable[bytes]) -> list[bytes]:
+        if len(self) > CACHED_WORDS // 2:
+            self.older = dict(self)
             self.clear()
-        return np.append(np.frombuffer(b"".join(map(self.__getitem__, words)), "<u4").astype(np.int32), np.int32(end))
+        return [*map(self.__getitem__, words)]
 
 
 @functools.cache
@@ -101,13 +122,14 @@ class Vocabulary:
         n = len(counts)
         share = (counts + 1.0) / (counts + 1.0).sum()
         self.cls = np.zeros(n, np.int32)
-        for kind in (False, True):  # classes of like mass in the order of frequency, apart for ids that open a word
+        opening = float(share[opens].sum())
+        n_opening = classes * bool(opens.any()) if opens.all() or not opens.any() else min(max(round(classes * opening), 1), classes - 1)
+        for kind, begin, many in ((False, 0, classes - n_opening), (True, classes - n_opening, n_opening)):  # classes of like mass in the order of frequency, apart for ids that open a word
             ids = np.flatnonzero(opens == kind)
             ids = ids[np.argsort(-counts[ids], kind="stable")]
             mass = np.cumsum(share[ids])
-            half = classes // 2
             if len(ids):
-                self.cls[ids] = kind * half + np.minimum((half * (mass - share[ids]) / mass[-1]).astype(np.int64), half - 1)
+                self.cls[ids] = begin + np.minimum((many * (mass - share[ids]) / mass[-1]).astype(np.int64), many - 1)
         class_mass = np.bincount(self.cls, share, classes)
         self.class_share = class_mass
         self.log_within = np.log(share / class_mass[self.cls]).astype(np.float32)
@@ -118,7 +140,7 @@ class Vocabulary:
         self.groups = math.gcd(GROUPS, classes)
         self.members = classes // self.groups
         # Begin and padding marks follow the ids.
-        self.slot_of, self.class_of = np.append(self.slot, [self.begin, self.begin]), np.append(self.cls, [0, 0])
+        self.slot_of, self.class_of = np.append(self.slot, [self.begin, self.begin]).astype(np.int32), np.append(self.cls, [0, 0]).astype(np.int32)
 
 
 def windows(sequences: list[np.ndarray], begin: int, window: int = WINDOW, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -148,13 +170,14 @@ class Attention:
         chance = (after + 4 * share) / (seen + 4)
         lift = np.log(chance) - np.log(share)
         self.groups, self.members = vocab.groups, vocab.members
-        self.table = np.log(np.concatenate([chance.reshape(len(chance), self.groups, -1).sum(axis=2), chance], axis=1)).astype(np.float32)
+        in_group = chance.reshape(len(chance), self.groups, -1).sum(axis=2)
+        self.group_table, self.member_table = np.log(in_group).astype(np.float32), np.log(chance).astype(np.float32)
         weight = np.sqrt(seen / max(1.0, seen.sum()))
         left = np.linalg.svd(weight * lift, full_matrices=False)[2][:WIDTH]
         embed = np.zeros((vocab.slots, WIDTH))
         embed[:, : len(left)] = lift @ left.T
         self.embed = (embed / np.maximum(1e-6, np.sqrt((embed**2).mean()))).astype(np.float32)
-        self.mask = np.triu(np.full((WINDOW, WINDOW), -1e9, np.float32), 1)[WINDOW - STRIDE :]
+        self.mask = np.tri(WINDOW, dtype=np.float32)[WINDOW - STRIDE :]
 
     def vector(self) -> np.ndarray:
         return np.concatenate([self.weights[k].ravel() for k in self.NAMES])
@@ -167,77 +190,111 @@ class Attention:
             at += w.size
         return self
 
-    def _forward(self, x: np.ndarray, y: np.ndarray) -> tuple:
-        """(queries, keys, values, attention, its result, of the groups and of the group's members the exponents and the place of y) of the windows x."""
-        w, first = self.weights, WINDOW - STRIDE
-        scale = np.float32(WIDTH**-0.5)
-        own, whole = x[:, first:].ravel(), x.ravel()
-        place = w["place"]
+    def _tables(self) -> tuple:
+        """What a batch takes rows from, for the weights at hand: queries, keys and values of slots and of places, logits of groups and of their members, and whether exponents stay under LARGEST."""
+        w, g, first, scale = self.weights, self.groups, WINDOW - STRIDE, np.float32(WIDTH**-0.5)
+        q, pq = (self.embed @ w["query"]) * scale, (w["place"][first:] @ w["query"]) * scale
+        kv = np.concatenate([w["key"], w["value"]], axis=1)
+        kv, pkv = self.embed @ kv, w["place"] @ kv
+        norm = lambda t: math.sqrt(float(np.einsum("ij,ij->i", t, t).max()))
+        k, v = (norm(kv[:, at]) + norm(pkv[:, at]) for at in (slice(WIDTH), slice(WIDTH, None)))
+        low = max((norm(q) + norm(pq)) * k, v * norm(w["out"].T) + float(w["base"].max())) < LARGEST
+        outs = np.ascontiguousarray(w["out"][:, g:].reshape(WIDTH, g, self.members).transpose(1, 0, 2))
+        return q, pq, kv, pkv, self.group_table + w["base"][:g], (self.member_table + w["base"][g:]).reshape(-1, self.members), outs, low
+
+    def _forward(self, x: np.ndarray, y: np.ndarray, tables: tuple | None = None) -> tuple:
+        """(queries, keys and values, exponents of the attention, their sums, its result, order by group, first of each group, result in that order, members' weights, and in that order of the groups and of the group's members the exponents, their sums, the logarithm and the place of y) of the windows x."""
+        tq, pq, tkv, pkv, group_table, member_table, outs, low = tables or self._tables()
+        first, g = WINDOW - STRIDE, self.groups
+        own = x[:, first:].ravel()
         # np.take copies short rows several times faster than indexing.
-        q = np.take((self.embed @ w["query"]) * scale, own, axis=0).reshape(len(x), STRIDE, WIDTH) + (place[first:] @ w["query"]) * scale
-        k = np.take(self.embed @ w["key"], whole, axis=0).reshape(len(x), WINDOW, WIDTH) + place @ w["key"]
-        v = np.take(self.embed @ w["value"], whole, axis=0).reshape(len(x), WINDOW, WIDTH) + place @ w["value"]
-        a = q @ k.transpose(0, 2, 1)
-        a += self.mask
-        np.exp(np.minimum(a, LARGEST, out=a), out=a)
+        q = np.take(tq, own, axis=0).reshape(len(x), STRIDE, WIDTH)
+        q += pq
+        kv = np.take(tkv, x.ravel(), axis=0).reshape(len(x), WINDOW, 2 * WIDTH)
+        kv += pkv
+        a = q @ kv[:, :, :WIDTH].transpose(0, 2, 1)
+        if not low:
+            np.minimum(a, LARGEST, out=a)
+        np.exp(a, out=a)
+        a *= self.mask
         # Products with ones sum short rows faster than sum().
-        a /= (a.reshape(-1, WINDOW) @ np.ones((WINDOW, 1), np.float32)).reshape(len(x), STRIDE, 1)
-        o = (a @ v).reshape(-1, WIDTH)
-        rows, (group, member) = np.arange(len(o)), np.divmod(y.ravel(), self.members)
-        table, logits, g = self.table + w["base"], o @ w["out"], self.groups
-        parts = []
-        for columns, blocks, width, at, n in ((slice(g), 1, g, 0, group), (slice(g, None), g, self.members, group, member)):
-            z = np.take(np.ascontiguousarray(logits[:, columns]).reshape(-1, width), rows * blocks + at, axis=0)
-            z += np.take(np.ascontiguousarray(table[:, columns]).reshape(-1, width), own * blocks + at, axis=0)
-            np.minimum(z, LARGEST, out=z)
+        whole = a.reshape(-1, WINDOW) @ np.ones((WINDOW, 1), np.float32)
+        o = (a @ kv[:, :, WIDTH:]).reshape(-1, WIDTH)
+        o /= whole
+        # By group, each row meets the weights of its group's members only.
+        group, member = np.divmod(y.ravel(), self.members)
+        order = np.argsort(group.astype(np.uint8 if g < 256 else np.int64), kind="stable")
+        group, member, own, so = group[order], member[order], own[order], np.take(o, order, axis=0)
+        starts = np.searchsorted(group, np.arange(g + 1))
+        zg = so @ self.weights["out"][:, :g]
+        zg += np.take(group_table, own, axis=0)
+        zm = np.take(member_table, own * g + group, axis=0)
+        for k, (lo, hi) in enumerate(itertools.pairwise(starts.tolist())):
+            zm[lo:hi] += so[lo:hi] @ outs[k]
+        parts, rows = [], np.arange(len(so))
+        for z, n in ((zg, group), (zm, member)):
+            if not low:
+                np.minimum(z, LARGEST, out=z)
             picked = z[rows, n]
             np.exp(z, out=z)
-            total = z @ np.ones((width, 1), np.float32)
+            total = z @ np.ones((z.shape[1], 1), np.float32)
             parts.append((z, total, picked - np.log(total.ravel()), n))
-        return q, k, v, a, o, group, parts
+        return q, kv, a, whole, o, order, starts, so, outs, parts
 
-    def log_class(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    def log_class(self, x: np.ndarray, y: np.ndarray, tables: tuple | None = None) -> np.ndarray:
         """Log-probabilities of the classes y that follow the last stride positions of the windows x."""
-        parts = self._forward(x, y)[-1]
-        return (parts[0][2] + parts[1][2]).reshape(y.shape)
+        *_, order, _, _, _, parts = self._forward(x, y, tables)
+        out = np.empty(len(order), parts[0][2].dtype)
+        out[order] = parts[0][2] + parts[1][2]
+        return out.reshape(y.shape)
 
     def gradients(self, x: np.ndarray, y: np.ndarray, live: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """(loss, gradients) over the positions after a window's context that live marks, so each token counts once."""
-        w, scale, first = self.weights, np.float32(WIDTH**-0.5), WINDOW - STRIDE
-        flat = lambda t: t.reshape(-1, t.shape[-1])
-        live = live.ravel()
-        q, k, v, a, o, group, parts = self._forward(x, y)
+        w, scale, first, g = self.weights, np.float32(WIDTH**-0.5), WINDOW - STRIDE, self.groups
+        q, kv, a, whole, o, order, starts, so, outs, parts = self._forward(x, y)
+        live = live.ravel()[order].astype(np.float32)
         rows, n = np.arange(len(o)), np.float32(max(1, int(live.sum())))
-        loss = -float((parts[0][2] + parts[1][2])[live].sum()) / float(n)
+        loss = -float((parts[0][2] + parts[1][2]) @ live) / float(n)
+        live /= n
         for z, total, _, at in parts:
-            z *= live[:, None] / (total * n)
-            z[rows, at] -= live / n
-        dz = np.zeros((len(o), w["base"].size), np.float32)
-        dz[:, : self.groups] = parts[0][0]
-        at = self.groups + group[:, None] * self.members + np.arange(self.members)
-        np.put_along_axis(dz, at, parts[1][0], axis=1)
-        do = (dz @ w["out"].T).reshape(len(x), STRIDE, WIDTH)
-        da = do @ v.transpose(0, 2, 1)
-        da -= (do * o.reshape(do.shape)).sum(axis=2, keepdims=True)
+            z *= live[:, None] / total
+            z[rows, at] -= live
+        dg, dm = parts[0][0], parts[1][0]
+        dout, dbase, one = np.empty(w["out"].shape, o.dtype), np.empty(len(w["base"]), o.dtype), np.ones(len(o), np.float32)
+        dout[:, :g], dbase[:g], dso = so.T @ dg, one @ dg, dg @ w["out"][:, :g].T
+        for k, (lo, hi) in enumerate(itertools.pairwise(starts.tolist())):
+            at = slice(g + k * self.members, g + (k + 1) * self.members)
+            dout[:, at], dbase[at] = so[lo:hi].T @ dm[lo:hi], one[lo:hi] @ dm[lo:hi]
+            dso[lo:hi] += dm[lo:hi] @ outs[k].T
+        do = np.empty_like(dso)
+        do[order] = dso
+        do /= whole
+        da = do.reshape(q.shape) @ kv[:, :, WIDTH:].transpose(0, 2, 1)
+        da -= np.einsum("ij,ij->i", do, o).reshape(len(x), STRIDE, 1)
         da *= a
-        dq, dk, dv = da @ k * scale, da.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ do  # q is scaled already
+        dq = da @ kv[:, :, :WIDTH]
+        dq *= scale  # q is scaled already
+        dkv = np.concatenate([da.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ do.reshape(q.shape)], axis=2)
         h = np.take(self.embed, x.ravel(), axis=0).reshape(len(x), WINDOW, WIDTH) + w["place"]
-        place = dk.sum(0) @ w["key"].T + dv.sum(0) @ w["value"].T
+        dw = h.reshape(-1, WIDTH).T @ dkv.reshape(-1, 2 * WIDTH)
+        by_place = dkv.sum(0)
+        place = by_place[:, :WIDTH] @ w["key"].T + by_place[:, WIDTH:] @ w["value"].T
         place[first:] += dq.sum(0) @ w["query"].T
-        return loss, {"query": flat(h[:, first:]).T @ flat(dq), "key": flat(h).T @ flat(dk), "value": flat(h).T @ flat(dv), "out": o.T @ dz, "base": dz.sum(0), "place": place}
+        query = h[:, first:].reshape(-1, WIDTH).T @ dq.reshape(-1, WIDTH)
+        return loss, {"query": query, "key": dw[:, :WIDTH], "value": dw[:, WIDTH:], "out": dout, "base": dbase, "place": place}
 
     def fit(self, batches: Iterable[tuple[np.ndarray, np.ndarray, np.ndarray]], rate: float = RATE) -> list[float]:
         """Adam over batches of windows; gives the losses."""
-        m = {k: np.zeros_like(v) for k, v in self.weights.items()}
-        s = {k: np.zeros_like(v) for k, v in self.weights.items()}
-        losses = []
+        at, losses = self.vector(), []
+        m, v = np.zeros_like(at), np.zeros_like(at)
         for step, (x, y, live) in enumerate(batches, 1):
             loss, g = self.gradients(x, y, live)
             losses.append(loss)
-            for k, d in g.items():
-                m[k] += 0.1 * (d - m[k])
-                s[k] += 0.01 * (d * d - s[k])
-                self.weights[k] = self.weights[k] - np.float32(rate) * (m[k] / (1 - 0.9**step)) / (np.sqrt(s[k] / (1 - 0.99**step)) + 1e-8)
+            d = np.concatenate([g[k].ravel() for k in self.NAMES])
+            m += 0.1 * (d - m)
+            v += 0.01 * (d * d - v)
+            at -= np.float32(rate / (1 - 0.9**step)) * m / (np.sqrt(v / np.float32(1 - 0.99**step)) + np.float32(1e-8))
+            self.load(at)
         return losses
 
 
@@ -322,9 +379,9 @@ def train_attention(encoded: DataFrame, vocab: Vocabulary, after: np.ndarray, n_
 
 def sequence_scores(sequences: list[np.ndarray], vocab: Vocabulary, model: Attention) -> np.ndarray:
     """log10 probability of each id sequence."""
-    out = []
+    out, tables = [], model._tables()
     for x, y, ids, live in _examples(sequences, vocab, WINDOWS_AT_ONCE):
-        scores = model.log_class(x, y) + np.take(vocab.log_within, np.where(live, ids, 0))
+        scores = model.log_class(x, y, tables) + np.take(vocab.log_within, np.where(live, ids, 0))
         out.append(np.where(live, scores, 0).sum(axis=1, dtype=np.float64))
     of = np.repeat(np.arange(len(sequences)), [-(-len(s) // STRIDE) for s in sequences])
     return np.bincount(of, np.concatenate(out), len(sequences)) / math.log(10)
@@ -346,27 +403,81 @@ def _most_frequent(counts: DataFrame, most: int) -> DataFrame:
 ENCODED = "n_tokens bigint, n_known bigint, logs double, rare array<struct<token:string,n:bigint>>, ids binary"
 
 
-def encode_documents(docs: DataFrame, learn: Column, counts: DataFrame, vocabulary: str, text_col: str, carry: list[str], frequent: int) -> DataFrame:
+class Words(dict):
+    """Places of the frequent words (and of the end mark) in the tables of what they add to the base score and of their ids in the model."""
+
+    def __init__(self, tokens: list[bytes], counts: np.ndarray, subwords: list[bytes], n_subwords: int):
+        order = sorted(range(len(tokens)), key=tokens.__getitem__)
+        super().__init__((tokens[k], at) for at, k in enumerate(order))
+        counts, spelled = np.asarray(counts, np.int64)[order], [np.frombuffer(subwords[k], "<u4") for k in order]
+        end = END.encode()
+        self.end_known = end in self
+        own = counts >= LEAST_SEEN
+        if self.end_known:
+            own[self[end]] = False
+        self.n_subwords, self.n_words = n_subwords, int(own.sum())
+        self.end = n_subwords + self.n_words
+        ids = n_subwords + np.cumsum(own) - 1
+        parts = [np.array([i]) if o else sub for i, o, sub in zip(ids.tolist(), own.tolist(), spelled, strict=True)]
+        self.logs = np.log10(counts + 1.0)
+        if not self.end_known:
+            self[end] = len(parts)
+            parts.append(np.zeros(0))
+            self.logs = np.append(self.logs, 0.0)
+        parts[self[end]] = np.array([self.end])
+        self.length = np.array([len(x) for x in parts], np.int64)
+        self.start = np.cumsum(self.length) - self.length
+        self.ids = np.concatenate(parts).astype(np.uint32)
+
+
+def frequent_words(counts: DataFrame, vocabulary: str, most: int) -> Words:
+    """The most frequent words, each encoded once, in a task."""
+
+    def rows(slices: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
+        coder = word_ids(vocabulary)
+        for part in slices:
+            yield {"token": [t.decode() for t in part["token"]], "n": part["n"], "ids": [coder.of([t])[0] if t else b"" for t in part["token"]]}
+
+    found = map_rows(_most_frequent(counts, most), {"token": "token", "n": "n"}, "token string, n bigint, ids binary", rows).toArrow()
+    tokens = found.column("token").cast(pa.binary()).to_pylist()
+    return Words(tokens, found.column("n").to_numpy(), found.column("ids").to_pylist(), encoder(vocabulary).tokenizer.get_vocab_size())
+
+
+def encode_documents(docs: DataFrame, learn: Column, words: Words, vocabulary: str, text_col: str, carry: list[str]) -> DataFrame:
     """(_row, rid, learn, and ENCODED) of each row: its ids, and what its frequent words add to the base score."""
-    common = {t.encode(): math.log10(c + 1) for t, c in _most_frequent(counts, frequent).collect()}
-    sent = docs.sparkSession.sparkContext.broadcast(common)
-    end_id = encoder(vocabulary).tokenizer.get_vocab_size()
+    sent = docs.sparkSession.sparkContext.broadcast(words)
 
     def rows(slices: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
-        common, coder = sent.value, word_ids(vocabulary)
-        end, unknown = common.get(END.encode()), itertools.repeat(math.nan)
+        words, coder, end, unknown = sent.value, word_ids(vocabulary), END.encode(), itertools.repeat(-1)
         for part in slices:
-            out: dict[str, list] = {"n_tokens": [], "n_known": [], "logs": [], "rare": [], "ids": []}
+            tokens, ends = [], []
             for text in part["text"]:
-                own = space_words(text)
-                logs = np.fromiter(map(common.get, own, unknown), np.float64, len(own))
-                rare = np.flatnonzero(np.isnan(logs)).tolist()
-                out["n_tokens"].append(len(own) + 1)
-                out["n_known"].append(len(own) - len(rare) + (end is not None))
-                out["logs"].append(float(np.nansum(logs)) + (end or 0.0))
-                out["rare"].append([*Counter([own[k] for k in rare]).items()])
-                out["ids"].append(coder.sequence(own, end_id).astype("<u4").tobytes())
-            yield out
+                tokens += space_words(text)
+                tokens.append(end)
+                ends.append(len(tokens))
+            at = np.fromiter(map(words.get, tokens, unknown), np.int64, len(tokens))
+            rare = np.flatnonzero(at < 0)
+            names = [tokens[k] for k in rare.tolist()]
+            spelled = coder.of(names)
+            logs, length, start = np.take(words.logs, at), np.take(words.length, at), np.take(words.start, at)
+            logs[rare] = 0.0
+            length[rare] = own = np.array([len(b) // 4 for b in spelled], np.int64)
+            start[rare] = len(words.ids) + np.cumsum(own) - own
+            upto = np.cumsum(length)
+            source = np.repeat(start - upto + length, length)
+            source += np.arange(len(source))
+            ids = np.take(np.concatenate([words.ids, np.frombuffer(b"".join(spelled), "<u4")]), source).astype("<u4")
+            docs_from = np.append(0, ends[:-1])
+            n_rare = np.searchsorted(rare, np.append(0, ends))
+            cuts = np.append(0, upto[np.array(ends) - 1]).tolist()
+            n_tokens = np.diff(ends, prepend=0)
+            yield {
+                "n_tokens": n_tokens.tolist(),
+                "n_known": (n_tokens - np.diff(n_rare) - (not words.end_known)).tolist(),
+                "logs": np.add.reduceat(logs, docs_from).tolist(),
+                "rare": [[*Counter(names[lo:hi]).items()] for lo, hi in itertools.pairwise(n_rare.tolist())],
+                "ids": [ids[lo:hi].tobytes() for lo, hi in itertools.pairwise(cuts)],
+            }
 
     kept = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("kept"), learn.alias("learn"), F.col(text_col).cast("string").alias("text"), F.monotonically_increasing_id().alias("rid"))
     found = map_rows(kept, {"text": "text"}, ENCODED, rows, keep_row=True, carry=["kept", "rid", "learn"])
@@ -378,15 +489,16 @@ def score_documents(docs: DataFrame, learn: Column, vocabulary: str, text_col: s
     spark = docs.sparkSession
     counts = materialize(word_counts(docs.filter(learn), text_col), "word-counts")
     n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    encoded = encode_documents(docs, learn, counts, vocabulary, text_col, carry or docs.columns, frequent)
+    words = frequent_words(counts, vocabulary, frequent)
+    encoded = encode_documents(docs, learn, words, vocabulary, text_col, carry or docs.columns)
     coder = encoder(vocabulary)
     names = coder.tokenizer.get_vocab()
-    size = coder.tokenizer.get_vocab_size() + 1
+    size = words.end + 1
     learned = encoded.filter("learn").select("rid", "ids")
     ids = id_counts(learned, size)
     opens = np.zeros(size, bool)
     opens[[k for t, k in names.items() if t[:1] == coder.letters[32]]] = True
-    opens[-1] = True
+    opens[words.n_subwords :] = True
     vocab = Vocabulary(ids, opens)
     after = class_counts(learned, vocab)
     model = train_attention(learned, vocab, after, int(ids.sum()))

@@ -279,6 +279,57 @@ def test_every_training_document_is_trained_on_once(spark, monkeypatch):
     assert np.allclose(one, other, atol=1e-4) and not np.allclose(one, lm.Attention(vocab, after).vector())
 
 
+def test_log_class_equals_a_plain_softmax():
+    rng = np.random.default_rng(3)
+    vocab = lm.Vocabulary(rng.integers(0, 99, 60), np.arange(60) % 3 > 0, classes=16, own_slots=16)
+    model, first = lm.Attention(vocab, rng.integers(0, 9, (vocab.slots, 16)).astype(float)), lm.WINDOW - lm.STRIDE
+    model.weights["out"] = (0.3 * rng.standard_normal(model.weights["out"].shape)).astype(np.float32)
+    x, y = rng.integers(0, vocab.slots, (5, lm.WINDOW)), rng.integers(0, 16, (5, lm.STRIDE))
+    y[0] = 3  # groups without a row
+    for large in (1, 6):  # exponents far under the bound, and not
+        w = {k: v.astype(np.float64) * (large if k == "query" else 1) for k, v in model.weights.items()}
+        model.load(np.concatenate([w[k].ravel() for k in model.NAMES]))
+        for rows, places in ((x, y), (x[:1], y[:1])):
+            h = model.embed[rows] + w["place"]
+            q, k, v = h @ w["query"], h @ w["key"], h @ w["value"]
+            wanted = np.empty(places.shape)
+            for i, t in np.ndindex(*places.shape):
+                a = np.exp(np.minimum(k[i, : first + t + 1] @ q[i, first + t] * lm.WIDTH**-0.5, lm.LARGEST))
+                z = (a / a.sum()) @ v[i, : first + t + 1] @ w["out"] + w["base"]
+                z += np.concatenate([model.group_table[rows[i, first + t]], model.member_table[rows[i, first + t]]])
+                group, member = divmod(int(places[i, t]), model.members)
+                logs = lambda s: s - np.log(np.exp(s).sum())
+                wanted[i, t] = logs(z[: model.groups])[group] + logs(z[model.groups :].reshape(-1, model.members)[group])[member]
+            assert np.allclose(model.log_class(rows, places), wanted, atol=2e-3)
+
+
+def test_words_and_their_marks_have_the_ids_of_the_whole_word(monkeypatch):
+    rng, plain = random.Random(5), Encoder(vocabulary_path())
+    monkeypatch.setattr(lm, "CACHED_WORDS", 40)
+    coder = lm.WordIds(vocabulary_path())
+    stems = ["the", "é", "naïve", "a1", "don't", "7", "x" * 60, "über", "\u00a0", "-", "日本", "q"]
+    words = [(rng.choice(stems) + "".join(rng.choices(".,!?$%&*)-'\"_`", k=rng.randrange(5)))).encode() for _ in range(3000)]
+    for k in range(0, len(words), 100):
+        assert coder.of(words[k : k + 100]) == [plain.encoded(b" " + w) for w in words[k : k + 100]]
+    assert len(coder) <= 200 and coder.older
+
+
+def test_frequent_words_are_one_id_and_others_are_spelled(spark):
+    docs = [(k, "often often, seldom once%d" % k) for k in range(lm.LEAST_SEEN)] + [(50, None), (51, "often unseen$$$ often,")]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(2)
+    counts = lm.word_counts(df.filter("doc_id < 50"), "text")
+    words = lm.frequent_words(counts.filter("token != 'seldom'").unionByName(spark.createDataFrame([("seldom", lm.LEAST_SEEN - 1)], counts.schema)), vocabulary_path(), lm.FREQUENT)
+    assert words.n_words == 2 and words.end == words.n_subwords + 2
+    plain = Encoder(vocabulary_path())
+    own = {"often": [words.n_subwords], "often,": [words.n_subwords + 1]}
+    got = {r._row.doc_id: r for r in lm.encode_documents(df, F.lit(True), words, vocabulary_path(), "text", ["doc_id"]).collect()}
+    for k, text in docs:
+        wanted = [i for w in (text or "").split() for i in own.get(w, np.frombuffer(plain.encoded(f" {w}".encode()), "<u4").tolist())]
+        assert np.frombuffer(got[k].ids, "<u4").tolist() == [*wanted, words.end]
+    assert (got[51].n_tokens, got[51].n_known) == (4, 3) and [tuple(r) for r in got[51].rare] == [("unseen$$$", 1)]
+    assert (got[50].n_tokens, got[50].n_known, got[50].rare) == (1, 1, [])
+
+
 def test_windows_score_each_token_once():
     ids, starts, lengths = lm.windows([np.arange(5), np.arange(100), np.arange(1)], -7)
     first = lm.WINDOW - lm.STRIDE
