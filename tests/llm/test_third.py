@@ -130,6 +130,18 @@ def test_trie_edges(spark):
     assert {tuple(r) for r in trie.prefix_trie(spark.createDataFrame(long, schema), 10).collect()} == brute_trie(long)
 
 
+def test_trie_of_long_equal_conversations(spark):
+    """What test_trie_edges asks of 3,000 turns, against the closed form: its brute force takes cubic time."""
+    turns, none = 3000, hashlib.sha256(b"").hexdigest()
+    rows = [(c, t, "u", "w" * (t % 7)) for c in (300, 400) for t in range(turns)]
+    wanted, saved = {(300, turns, 300, 2, 0, 1, (turns - 1) % 7, hashlib.sha256(b"300,400").hexdigest())}, (turns - 1) % 7
+    for d in range(turns - 1, -1, -1):
+        saved += (d - 1) % 7 if d else 0
+        wanted.add((300, d, 300 if d else None, 2, 1, 1, saved, none))
+    out = trie.prefix_trie(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), 10).collect()
+    assert len(out) == turns + 1 and {tuple(r) for r in out} == wanted
+
+
 def test_digests_stream_through_pieces(spark, monkeypatch):
     monkeypatch.setattr(trie, "PIECE", 3)
     rows = spark.range(100).select(F.lit(b"a").alias("class"), F.col("id").alias("conv_id")).unionByName(spark.range(1).select(F.lit(b"b").alias("class"), (F.col("id") - 5).alias("conv_id")))
