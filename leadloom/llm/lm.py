@@ -45,7 +45,7 @@ COUNT_LEVELS = 16
 WINDOW, STRIDE, WIDTH, CLASSES, GROUPS, OWN_SLOTS = 32, 24, 16, 128, 8, 512
 #: Each document is in one round; ids of a trainer in all rounds; windows of a step of training and of scoring.
 ROUNDS, TRAINER_IDS, BATCH, RATE, WINDOWS_AT_ONCE = 3, 4_000_000, 96, 0.01, 96
-#: Exponents are held below this, where sums of them stay finite.
+#: Where exponents may lie further than this from zero, they are taken relative to their largest, so that sums of them are neither infinite nor zero.
 LARGEST = np.float32(60)
 #: Stands for the end mark among the words.
 END = ""
@@ -214,7 +214,8 @@ class Attention:
         kv += pkv
         a = q @ kv[:, :, :WIDTH].transpose(0, 2, 1)
         if not low:
-            np.minimum(a, LARGEST, out=a)
+            a += (self.mask - 1) * np.float32(1e9)
+            a -= a.max(axis=2, keepdims=True)
         np.exp(a, out=a)
         a *= self.mask
         # Products with ones sum short rows faster than sum().
@@ -234,7 +235,7 @@ class Attention:
         parts, rows = [], np.arange(len(so))
         for z, n in ((zg, group), (zm, member)):
             if not low:
-                np.minimum(z, LARGEST, out=z)
+                z -= z.max(axis=1, keepdims=True)
             picked = z[rows, n]
             np.exp(z, out=z)
             total = z @ np.ones((z.shape[1], 1), np.float32)
@@ -450,7 +451,7 @@ def encode_documents(docs: DataFrame, learn: Column, words: Words, vocabulary: s
     def rows(slices: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
         words, coder, end, unknown = sent.value, word_ids(vocabulary), END.encode(), itertools.repeat(-1)
         for part in slices:
-            tokens, ends = [], []
+            tokens, ends = [], [0]
             for text in part["text"]:
                 tokens += space_words(text)
                 tokens.append(end)
@@ -467,14 +468,13 @@ def encode_documents(docs: DataFrame, learn: Column, words: Words, vocabulary: s
             source = np.repeat(start - upto + length, length)
             source += np.arange(len(source))
             ids = np.take(np.concatenate([words.ids, np.frombuffer(b"".join(spelled), "<u4")]), source).astype("<u4")
-            docs_from = np.append(0, ends[:-1])
-            n_rare = np.searchsorted(rare, np.append(0, ends))
-            cuts = np.append(0, upto[np.array(ends) - 1]).tolist()
-            n_tokens = np.diff(ends, prepend=0)
+            bounds = np.array(ends)
+            n_rare, n_tokens = np.searchsorted(rare, bounds), np.diff(bounds)
+            cuts = np.append(0, upto[bounds[1:] - 1]).tolist()
             yield {
                 "n_tokens": n_tokens.tolist(),
                 "n_known": (n_tokens - np.diff(n_rare) - (not words.end_known)).tolist(),
-                "logs": np.add.reduceat(logs, docs_from).tolist(),
+                "logs": np.add.reduceat(logs, bounds[:-1]).tolist(),
                 "rare": [[*Counter(names[lo:hi]).items()] for lo, hi in itertools.pairwise(n_rare.tolist())],
                 "ids": [ids[lo:hi].tobytes() for lo, hi in itertools.pairwise(cuts)],
             }

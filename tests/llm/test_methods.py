@@ -286,7 +286,7 @@ def test_log_class_equals_a_plain_softmax():
     model.weights["out"] = (0.3 * rng.standard_normal(model.weights["out"].shape)).astype(np.float32)
     x, y = rng.integers(0, vocab.slots, (5, lm.WINDOW)), rng.integers(0, 16, (5, lm.STRIDE))
     y[0] = 3  # groups without a row
-    for large in (1, 6):  # exponents far under the bound, and not
+    for large in (1, 6, 600):  # exponents far under the bound, and not
         w = {k: v.astype(np.float64) * (large if k == "query" else 1) for k, v in model.weights.items()}
         model.load(np.concatenate([w[k].ravel() for k in model.NAMES]))
         for rows, places in ((x, y), (x[:1], y[:1])):
@@ -294,7 +294,8 @@ def test_log_class_equals_a_plain_softmax():
             q, k, v = h @ w["query"], h @ w["key"], h @ w["value"]
             wanted = np.empty(places.shape)
             for i, t in np.ndindex(*places.shape):
-                a = np.exp(np.minimum(k[i, : first + t + 1] @ q[i, first + t] * lm.WIDTH**-0.5, lm.LARGEST))
+                a = k[i, : first + t + 1] @ q[i, first + t] * lm.WIDTH**-0.5
+                a = np.exp(a - a.max())
                 z = (a / a.sum()) @ v[i, : first + t + 1] @ w["out"] + w["base"]
                 z += np.concatenate([model.group_table[rows[i, first + t]], model.member_table[rows[i, first + t]]])
                 group, member = divmod(int(places[i, t]), model.members)
@@ -303,6 +304,11 @@ def test_log_class_equals_a_plain_softmax():
             assert np.allclose(model.log_class(rows, places), wanted, atol=2e-3)
 
 
+def test_few_short_texts_have_finite_scores(spark):
+    df = spark.createDataFrame([(1, "a b, c"), (3, None), (5, "Ünï z ... don't $$$ " + "w" * 300), (6, " \t ")], "doc_id bigint, text string")
+    assert all(np.isfinite(r.score) and r.score < 0 for r in lm.score_documents(df, F.lit(True), vocabulary_path()).collect())
+
+
 def test_words_and_their_marks_have_the_ids_of_the_whole_word(monkeypatch):
     rng, plain = random.Random(5), Encoder(vocabulary_path())
     monkeypatch.setattr(lm, "CACHED_WORDS", 40)
